@@ -15,6 +15,7 @@ two stay apart when their joint bytes are merged on their own.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -28,8 +29,8 @@ from .common import read_table, text_of
 
 # Fixed values of the byte-level scheme: the pre-tokenizer's pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encodings of distinct words that a worker keeps between batches; beyond, it starts anew.
-CACHE_WORDS = 300_000
+#: Distinct words that each of a worker's two generations of encodings holds; a word met again moves to the younger.
+CACHE_WORDS = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,7 +65,8 @@ class Codec:
         self.endings: list[list[tuple[int, int]]] = [[]]  # of each state, the tokens that end there, longest first
         self.step: dict[int, int] = {}  # state * 256 + byte -> state, filled as met
         self.apart: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[list[int], str, bytes]] = {}  # ids, ids as text, bytes decoded from the ids
+        self.older: dict[str, tuple[list[int], str, bytes]] = {}
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -129,12 +131,15 @@ class Codec:
             while at:
                 ids.append(last[at])
                 at -= size[last[at]]
-            self.words[word] = ids[::-1]
+            self.words[word] = self.record(ids[::-1])
             before = raw
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Special tokens' strings become their ids, as the library does."""
-        split, out = self.split.findall, []
+    def record(self, ids: list[int]) -> tuple[list[int], str, bytes]:
+        return ids, ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def records(self, texts: list[str]) -> Iterator[list[tuple[list[int], str, bytes]]]:
+        """What is known of each word of each text. Special tokens' strings become their ids, as the library does."""
+        split = self.split.findall
         pieces: list[list[str]] = []
         for text in texts:
             if self.marks and self.marks.search(text):
@@ -142,19 +147,20 @@ class Codec:
             else:
                 pieces.append(split(text))
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = set().union(*pieces).difference(self.words) if pieces else set()
-        if self.special:
-            self.words |= {s: [i] for s, i in self.special.items()}
-            new -= self.special.keys()
-        self.learn(new)
+            self.older, self.words = self.words, {}
+        new = set().union(*pieces).difference(self.words)
+        for s in new & self.special.keys():
+            self.words[s] = self.record([self.special[s]])
+        new -= self.special.keys()
+        for w in new & self.older.keys():
+            self.words[w] = self.older[w]
+        self.learn(new.difference(self.words))
         words = self.words
-        for got in pieces:
-            ids: list[int] = []
-            for w in got:
-                ids += words[w]
-            out.append(ids)
-        return out
+        return ([words[w] for w in got] for got in pieces)
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        return [[i for r in got for i in r[0]] for got in self.records(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are not UTF-8 become the replacement character; unknown ids raise KeyError."""
@@ -217,17 +223,16 @@ def digests(spark: SparkSession, df: DataFrame, vocabulary_path: str, key: str =
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
+        gc.disable()  # the caches hold no cycles; walking them again and again is all that a collection would do
         codec = _codec(shared)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             for at, texts in _chunks(b, "__text"):
-                ids = codec.encode_batch(texts)
-                yield pa.RecordBatch.from_pydict({
-                    key: b.column(key).slice(at, len(texts)),
-                    "n_tokens": pa.array(map(len, ids), pa.int64()),
-                    "ids_sha256": pa.array([sha(",".join(map(codec.text_of.__getitem__, x))) for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([sha(codec.decode(x)) for x in ids], pa.string()),
-                })
+                out = []
+                for got in codec.records(texts):
+                    decoded = b"".join([r[2] for r in got]).decode("utf-8", "replace")
+                    out.append((sum([len(r[0]) for r in got]), sha(",".join([r[1] for r in got])), sha(decoded)))
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string())))], schema.names)
 
     return df.select(key, text_of(text).alias("__text")).mapInArrow(run, schema)
 
