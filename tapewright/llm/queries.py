@@ -8,10 +8,10 @@ from importlib import import_module
 _WHERE = {
     "op1_bpe": "bpe",
     "op2_simhash": "simhash",
-#    "op3_mixture": "mixture",
+    "op3_mixture": "mixture",
 #    "op4_quality": "quality",
 #    "op5_outliers": "outliers",
-#    "op6_minhash": "minhash",
+    "op6_minhash": "minhash",
 #    "op7_chat": "chat",
 #    "op8_lines": "lines",
 #    "op9_suffix": "suffix",
