@@ -10,7 +10,7 @@ _WHERE = {
     "op2_simhash": "simhash",
     "op3_mixture": "mixture",
 #    "op4_quality": "quality",
-#    "op5_outliers": "outliers",
+    "op5_outliers": "outliers",
     "op6_minhash": "minhash",
 #    "op7_chat": "chat",
 #    "op8_lines": "lines",
