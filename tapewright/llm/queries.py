@@ -9,7 +9,7 @@ _WHERE = {
     "op1_bpe": "bpe",
     "op2_simhash": "simhash",
     "op3_mixture": "mixture",
-#    "op4_quality": "quality",
+    "op4_quality": "quality",
     "op5_outliers": "outliers",
     "op6_minhash": "minhash",
 #    "op7_chat": "chat",
