@@ -13,7 +13,7 @@ _WHERE = {
     "op5_outliers": "outliers",
     "op6_minhash": "minhash",
     "op7_chat": "chat",
-#    "op8_lines": "lines",
+    "op8_lines": "lines",
 #    "op9_suffix": "suffix",
 #    "op10_toxicity": "toxicity",
 }
