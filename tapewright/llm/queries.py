@@ -15,7 +15,7 @@ _WHERE = {
     "op7_chat": "chat",
     "op8_lines": "lines",
 #    "op9_suffix": "suffix",
-#    "op10_toxicity": "toxicity",
+    "op10_toxicity": "toxicity",
 }
 
 
