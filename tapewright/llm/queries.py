@@ -14,7 +14,7 @@ _WHERE = {
     "op6_minhash": "minhash",
     "op7_chat": "chat",
     "op8_lines": "lines",
-#    "op9_suffix": "suffix",
+    "op9_suffix": "suffix",
     "op10_toxicity": "toxicity",
 }
 
