@@ -2,7 +2,8 @@
 
 The kernel of two strings sums, over their common subsequences of three
 characters spread over at most SPAN positions, DECAY to the power of both
-spreads, and is normalised to 1 for equal strings. Gapped, lengthened and
+spreads, over the root of what each string would have with itself if no
+subsequence came twice in it: 1 for most equal strings. Gapped, lengthened and
 misspelt words therefore stay near the word meant, and a stem near all its
 forms. Subsequences with bounded spread are few enough to be listed, so the
 kernel is an inner product of sparse vectors and needs no dynamic programme.
@@ -70,34 +71,30 @@ def tokens(text: str) -> set[str]:
     return found
 
 
-def _subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the subsequences of each unit, a row each, and their weights; weight 0 fills up."""
-    n = len(units)
-    width = max(map(len, units)) + SPAN
-    chars = np.zeros((n, width), np.uint64)
-    flat = np.frombuffer("".join(u.ljust(width, "\0") for u in units).encode("utf-32-le"), "<u4")
-    chars[:] = flat.reshape(n, width)
-    first, live = chars[:, : width - SPAN], chars > 0
-    codes, weights = [], []
-    for a, b in _PATTERNS:
-        code = (first * _A + chars[:, a : width - SPAN + a]) * _B + chars[:, b : width - SPAN + b]
-        codes.append((code ^ (code >> np.uint64(29))) * _A)
-        weights.append(np.where(live[:, b : width - SPAN + b], np.float32(DECAY ** (b + 1)), np.float32(0)))
-    return np.concatenate(codes, 1), np.concatenate(weights, 1)
-
-
-def _vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sparse vectors: row, code, value of each entry, and the norm of each row."""
-    codes, weights = _subsequences(units)
-    order = np.argsort(codes, axis=1)
-    codes, weights = np.take_along_axis(codes, order, 1), np.take_along_axis(weights, order, 1)
-    new = np.ones(codes.shape, bool)
-    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
-    at = np.flatnonzero(new.ravel())
-    value = np.add.reduceat(weights.ravel(), at)
-    row = at // codes.shape[1]
-    norm = np.sqrt(np.bincount(row, value.astype(np.float64) ** 2, len(units)))
-    return row, codes.ravel()[at], value, norm
+def _scale(length: int) -> float:
+    """One over the root of the squared weights of all subsequences of a string of that length."""
+    total = sum(max(0, length - b) * DECAY ** (2 * (b + 1)) for _, b in _PATTERNS)
+    return 1 / np.sqrt(total) if total else 0.0
+
+
+_SCALES = np.array([_scale(n) for n in range(WIDTH + 1)])
+
+
+def _slices(units: list[str], rows: int = 16_384):
+    """Row numbers, codes and weights of the subsequences of units of one length, some units at a time."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    for n in np.unique(sizes).tolist():
+        every = np.flatnonzero(sizes == n)
+        for at in range(0, len(every) if n > 2 else 0, rows):
+            take = every[at : at + rows]
+            chars = np.frombuffer("".join([units[i] for i in take.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(take), n).astype(np.uint64)
+            codes, weights = [], []
+            for a, b in _PATTERNS:
+                if b < n:
+                    code = (chars[:, : n - b] * _A + chars[:, a : n - b + a]) * _B + chars[:, b:]
+                    codes.append((code ^ (code >> np.uint64(29))) * _A)
+                    weights += [DECAY ** (b + 1) * _SCALES[n]] * (n - b)
+            yield take, np.concatenate(codes, 1), np.array(weights, np.float32)
 
 
 class Landmarks:
@@ -105,27 +102,36 @@ class Landmarks:
 
     def __init__(self, strings: list[str]):
         self.strings = strings
-        row, code, value, norm = _vectors(strings)
-        keep = value > 0
-        self.codes, at = np.unique(code[keep], return_inverse=True)
+        got = [(np.repeat(take, codes.shape[1]), codes.ravel(), np.tile(w, len(take))) for take, codes, w in _slices(strings)]
+        row, code, value = map(np.concatenate, zip(*got))
+        self.codes, at = np.unique(code, return_inverse=True)
         self.matrix = np.zeros((len(self.codes), len(strings)), np.float32)
-        self.matrix[at, row[keep]] = value[keep] / norm[row[keep]]
+        np.add.at(self.matrix, (at, row), value)
         self.seen = np.zeros(1 << 17, bool)  # a first look, which few codes of other words pass
         self.seen[self.codes >> np.uint64(47)] = True
 
+    def _hits(self, units: list[str]):
+        """Rows, places among the known codes, and weights of the subsequences that a landmark has."""
+        for take, codes, w in _slices(units):
+            r, col = np.nonzero(self.seen[codes >> np.uint64(47)])
+            code = codes[r, col]
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[place] == code
+            yield take[r[hit]], place[hit], w[col[hit]]
+
     def kernel(self, units: list[str]) -> np.ndarray:
         out = np.zeros((len(units), len(self.strings)), np.float32)
-        for at in range(0, len(units), 8192):
-            row, code, value, norm = _vectors(units[at : at + 8192])
-            maybe = np.flatnonzero(self.seen[code >> np.uint64(47)] & (value > 0))
-            place = np.minimum(np.searchsorted(self.codes, code[maybe]), len(self.codes) - 1)
-            hit = self.codes[place] == code[maybe]
-            maybe, place = maybe[hit], place[hit]
-            if len(maybe):
-                r = row[maybe]
-                cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                got = np.add.reduceat(self.matrix[place] * value[maybe, None], cut, axis=0)
-                out[at + r[cut]] = got / norm[r[cut], None]
+        for row, place, w in self._hits(units):
+            if len(row):
+                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                out[row[cut]] = np.add.reduceat(self.matrix[place] * w[:, None], cut, axis=0)
+        return out
+
+    def weighted(self, units: list[str], weights: np.ndarray) -> np.ndarray:
+        """The kernel times a vector, without the kernel: each code counts with its own sum."""
+        of_code, out = self.matrix.astype(np.float64) @ weights, np.zeros(len(units))
+        for row, place, w in self._hits(units):
+            out += np.bincount(row, of_code[place] * w, len(units))
         return out
 
 
@@ -169,7 +175,7 @@ class Model:
         return (kernel.astype(np.float64) @ self.whiten) @ self.w[:-1] + self.w[-1]
 
     def scores(self, units: list[str]) -> np.ndarray:
-        m = self.margins(self.landmarks.kernel(units))
+        m = self.landmarks.weighted(units, self.whiten @ self.w[:-1]) + self.w[-1]
         return 0.5 * (1 + np.tanh(0.5 * (self.curve[0] * m + self.curve[1])))
 
     def of_texts(self, texts: list[str]) -> list[float]:
@@ -201,13 +207,18 @@ def _stretches(text: str) -> set[str]:
 def _count(df: DataFrame, wanted=None) -> DataFrame:
     """Rows (stretch, n): in how many texts it occurs."""
 
+    counted = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["s", "n"])
+
     def run(batches):
         for b in batches:
             c: Counter = Counter()
             for t in b.column("text").to_pylist():
                 s = _stretches(t)
                 c.update(s if wanted is None else s & wanted.value)
-            yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["s", "n"])
+                if len(c) > 200_000:
+                    yield counted(c)
+                    c.clear()
+            yield counted(c)
 
     return df.select("text").mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
 
@@ -352,20 +363,20 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, column: str
     shared, names = spark.sparkContext.broadcast(model), docs.columns
     def run(batches):
         for b in batches:
-            texts, got = b.column("__text").to_pylist(), []
+            texts, got = [t or "" for t in b.column("text").to_pylist()], []
             if shared.value is None:
                 got = [0.0] * len(texts)
             at = 0
             while len(got) < len(texts):
                 end, size = at, 0
-                while end < len(texts) and size < 3_000_000:
-                    size += len(texts[end] or "")
+                while end < len(texts) and size < 1_500_000:
+                    size += len(texts[end])
                     end += 1
                 got += shared.value.of_texts(texts[at:end])
                 at = end
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, pa.float64())], [*names, column])
 
-    return docs.withColumn("__text", text_of()).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
