@@ -66,12 +66,12 @@ def examples(flagged: DataFrame, calls: DataFrame, most: int = 3) -> DataFrame:
     return one.withColumn("rn", F.row_number().over(w)).where(c("rn") <= most)
 
 
-def ordinary_days(bars: DataFrame, marked: DataFrame, apart: int = 15) -> DataFrame:
-    """Every fifth bar of the marked instruments, at least 15 days from any mark: an anti join on the instrument and a band."""
+def ordinary_days(bars: DataFrame, marked: DataFrame, apart: int = 15, first: int = 30, tail: int = 12) -> DataFrame:
+    """Every fifth bar of the marked instruments, far enough from any mark: an anti join on the instrument and a band."""
     w = W.partitionBy("instrument_id")
     n = bars.join(marked.select("instrument_id").distinct(), "instrument_id", "left_semi")
     n = n.withColumn("rn", F.row_number().over(w.orderBy("d")) - 1).withColumn("n", F.count("*").over(w))
-    n = n.where("rn >= 30 AND rn < n - 12 AND rn % 5 = 0").select("instrument_id", "d")
+    n = n.where(f"rn >= {first} AND rn < n - {tail} AND (rn - {first}) % 5 = 0").select("instrument_id", "d")
     m = marked.select(c("instrument_id").alias("__i"), c("day").alias("__m")).distinct()
     return n.join(m, (c("instrument_id") == c("__i")) & (F.abs(c("__m") - c("d")) < apart), "left_anti")
 

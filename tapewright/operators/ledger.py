@@ -140,7 +140,8 @@ _LINE_COLUMNS = [x.split()[0] for x in _LINES.split(", ")]
 def lines(queued: DataFrame) -> DataFrame:
     """Ledger lines of the funded fold: taken or no-funds, with the balance after each settlement."""
     need = ["channel_id", "reading", "param_id", "capital", "borrowed_fraction", "loan_monthly_rate", "call_id", "msg_id", "pos", "kind", "side", "cls", "entry_day", "exit_day", "entry_price", "exit_price", "move", "days_held", "lot", "unit", "wanted"]
-    return queued.where("status = 'queued'").select(*need).groupBy("channel_id", "reading", "param_id").applyInPandas(_fold, _LINES)
+    q = queued.where("status = 'queued'").withColumn("call_id", c("call_id").cast("string")).withColumn("lot", c("lot").cast("long"))
+    return q.select(*need).groupBy("channel_id", "reading", "param_id").applyInPandas(_fold, _LINES)
 
 
 def account(folded: DataFrame) -> DataFrame:

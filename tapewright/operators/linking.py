@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 c = F.col
 
@@ -37,7 +38,7 @@ def reposts(drafts: DataFrame, key: list[str], hours: float = 18.0) -> DataFrame
     The anchor is the last *kept* draft, which no window frame expresses. The
     fold runs per key of one channel's identical calls, ordered by time.
     """
-    schema = drafts.schema.add("repost", "boolean")
+    schema = T.StructType([*drafts.schema.fields, T.StructField("repost", T.BooleanType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "msg_id"], kind="stable").reset_index(drop=True)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round2
+from ..functions.plan import settle
 
 # Fixed values of the replay rules.
 TOLERANCE, TRIGGER_BARS, EARLY_MINUTES, EPS = 0.02, 3, 15, 0.003
@@ -77,6 +78,7 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
     t = t.withColumn("quoted", F.when(c("entry_type") == "range", (F.coalesce("lo", F.lit(0.0)) + F.coalesce("hi", F.lit(0.0))) / 2).when(c("entry_type") != "none", c("lo")))
     t = t.withColumn("breakout", c("quoted").isNotNull() & ((c("up") & (c("entry_type") == "above")) | (~c("up") & (c("entry_type") == "below"))))
 
+    t = settle(t)
     # ---- entry
     window = F.when(c("horizon") == "intraday", 1).otherwise(TRIGGER_BARS)
 
@@ -118,6 +120,7 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
         ),
     )
 
+    t = settle(t)
     # ---- levels and holding period
     t = t.withColumn("target", F.get(F.filter("targets", lambda x: c("dir") * (x - c("entry")) > 0), F.lit(0)))
     t = t.withColumn("stop_at", F.when(c("dir") * (c("entry") - c("stop")) > 0, c("stop")))
@@ -129,6 +132,7 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
         F.when(c("period") == "intraday", c("entry_day")).when(c("period") == "btst", c("entry_day") + 1).when(c("period") == "swing", c("entry_day") + SWING).when(c("period") == "positional", c("entry_day") + POSITIONAL).otherwise(F.coalesce(c("expiry_day"), c("entry_day") + SWING)),
     ).withColumn("hold", F.least("hold", "expiry_day"))
 
+    t = settle(t)
     # ---- exit
     def verdict(k: Column) -> Column:
         b, d = F.get("bars", k), c("dir")
@@ -156,6 +160,7 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
 
     steps = F.when(c("code").isNull() & (c("scan") < c("n")), F.sequence(c("scan"), c("n") - 1)).otherwise(F.array().cast("array<int>"))
     t = t.withColumn("out", F.get(F.filter(F.transform(steps, verdict), lambda x: x.isNotNull()), F.lit(0)))
+    t = settle(t)
     # nothing happened on any bar: settled, closed at the last price, or still running
     t = t.withColumn("k_last", F.greatest(c("i"), F.size(F.filter("bars", lambda b: b.d <= c("hold"))) - 1)).withColumn("b_last", F.get("bars", c("k_last")))
     settled = c("expiry_day").isNotNull() & (c("hold") == c("expiry_day")) & (c("expiry_day") <= c("last_day"))
@@ -169,6 +174,7 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
         .otherwise(_exit("horizon", c("k_last"), c("b_last.c"), "last-price")),
     )
     t = t.withColumn("out", F.when(c("code").isNull(), c("out")))
+    t = settle(t)
     t = t.withColumn("exit_day", F.when(c("out.k") >= 0, F.get("bars", c("out.k")).d).otherwise(F.coalesce("expiry_day", "entry_day")))
     t = t.withColumn("raw_move", c("dir") * (c("out.price") - c("entry")))
     b_out, same_bar = F.get("bars", F.greatest(c("out.k"), F.lit(0))), c("out.k") == c("i")
@@ -200,13 +206,13 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
     )
     cls = F.when(c("code") == "level-not-reached", "not-triggered").when(c("code").isNotNull(), "unverifiable").otherwise(c("out.cls"))
     known = lambda x: F.when(entered, x)
-    return t.select(
+    return settle(t.select(
         "call_id", "reading", cls.alias("cls"), "code",
         known(c("entry_day")).alias("entry_day"), known(round2(c("entry"))).alias("entry_price"), known(c("basis")).alias("entry_basis"),
         known(c("exit_day")).alias("exit_day"), round2(c("out.price")).alias("exit_price"), c("out.basis").alias("exit_basis"),
         known(round2(c("raw_move"))).alias("move"), known(round2(c("raw_move") / c("entry") * 100)).alias("ret_pct"), known(c("exit_day") - c("entry_day")).alias("days_held"),
         notes.alias("notes"),
-    )
+    ))
 
 
 def firm(outcomes: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ f5 AS (SELECT *, CASE WHEN basis = 'close' THEN c WHEN basis = 'open' OR beyond
 f6 AS (SELECT *, coalesce(code0, CASE WHEN NOT e > 0 THEN 'not-traded' END) AS code,
   CASE WHEN basis = 'stated' THEN CASE WHEN early THEN greatest(o, e) ELSE h END WHEN basis = 'trigger' AND NOT beyond THEN CASE WHEN NOT up THEN h WHEN NOT (n1 = n0 AND live) THEN e WHEN early THEN greatest(o, e) ELSE h END END AS bh,
   CASE WHEN basis = 'stated' THEN CASE WHEN early THEN least(o, e) ELSE l END WHEN basis = 'trigger' AND NOT beyond THEN CASE WHEN up THEN l WHEN NOT (n1 = n0 AND live) THEN e WHEN early THEN least(o, e) ELSE l END END AS bl,
-  list_filter(targets, x -> dir * (x - e) > 0)[1] AS t, CASE WHEN dir * (e - stop) > 0 THEN stop END AS s, CASE WHEN horizon = 'unspecified' AND kind = 'equity' THEN 'swing' ELSE horizon END AS period FROM f5),
+  list_filter(targets, lambda x: dir * (x - e) > 0)[1] AS t, CASE WHEN dir * (e - stop) > 0 THEN stop END AS s, CASE WHEN horizon = 'unspecified' AND kind = 'equity' THEN 'swing' ELSE horizon END AS period FROM f5),
 f7 AS (SELECT *, least(CASE period WHEN 'intraday' THEN entry_day WHEN 'btst' THEN entry_day + 1 WHEN 'swing' THEN entry_day + 10 WHEN 'positional' THEN entry_day + 60 ELSE expiry_day END, coalesce(expiry_day, 999999)) AS hold FROM f6),
 x0 AS (SELECT f.call_id, f.reading, f.best, f.up, f.dir, f.t, f.s, f.period, f.hold, f.expiry_day, f.bh, f.bl, f.n1, b.n, b.d, b.o, b.h, b.l, b.c, b.n > f.n1 AS later FROM f7 f JOIN bn b ON b.instrument_id = f.instrument_id AND b.n >= f.n1 + CASE WHEN f.basis = 'close' THEN 1 ELSE 0 END AND b.d <= f.hold WHERE f.code IS NULL),
 x1 AS (SELECT *, CASE WHEN up THEN h >= t ELSE l <= t END AS tm, CASE WHEN up THEN l <= s ELSE h >= s END AS sm,
@@ -202,7 +202,7 @@ def agg_codes(spark, d):
 
 @query(
     _REPLAY
-    + ", bo AS (SELECT b.*, n FROM bn b), s AS (SELECT o.call_id, o.reading, min(b.n) AS a, max(b.n) AS z, any_value(k.instrument_id) AS i FROM outcomes o JOIN calls k USING (call_id) JOIN bn b ON b.instrument_id = k.instrument_id AND b.d BETWEEN o.entry_day AND o.exit_day WHERE o.entry_day IS NOT NULL GROUP BY 1, 2) "
+    + ", s AS (SELECT o.call_id, o.reading, min(b.n) AS a, max(b.n) AS z, any_value(k.instrument_id) AS i FROM outcomes o JOIN calls k USING (call_id) JOIN bn b ON b.instrument_id = k.instrument_id AND b.d BETWEEN o.entry_day AND o.exit_day WHERE o.entry_day IS NOT NULL GROUP BY 1, 2) "
     "SELECT call_id, reading, count(*) AS n, floor(sum(b.c) * 100 + 0.5) / 100 AS total FROM s JOIN bn b ON b.instrument_id = i AND b.n BETWEEN a - 6 AND z + 6 GROUP BY 1, 2"
 )
 def win_mini_bars(spark, d):
@@ -215,7 +215,7 @@ def win_mini_bars(spark, d):
 _QUEUE = (
     _REPLAY
     + """, q0 AS (SELECT o.*, k.channel_id, k.kind, k.up, k.targets, k.stop, k.confidence, greatest(1, floor(10000 / o.entry_price)) AS qty FROM outcomes o JOIN calls k USING (call_id) WHERE o.cls NOT IN ('unverifiable', 'not-triggered') AND k.confidence <> 'low'),
-q1 AS (SELECT *, CASE WHEN up THEN entry_price ELSE exit_price END * qty AS buy, CASE WHEN up THEN exit_price ELSE entry_price END * qty AS sell, list_filter(targets, x -> CASE WHEN up THEN x > entry_price ELSE x < entry_price END)[1] AS t,
+q1 AS (SELECT *, CASE WHEN up THEN entry_price ELSE exit_price END * qty AS buy, CASE WHEN up THEN exit_price ELSE entry_price END * qty AS sell, list_filter(targets, lambda x: CASE WHEN up THEN x > entry_price ELSE x < entry_price END)[1] AS t,
   CASE WHEN CASE WHEN up THEN stop < entry_price ELSE stop > entry_price END THEN stop WHEN up THEN 0.0 END AS fl FROM q0),
 q2 AS (SELECT *, qty * move - CASE WHEN kind = 'option' THEN 40 + sell * 0.0015 WHEN days_held = 0 THEN 40 + sell * 0.0003 ELSE (buy + sell) * 0.0012 END AS net, abs(entry_price - fl) / abs(t - fl) AS chance FROM q1)
 """
@@ -297,7 +297,7 @@ _CASE = """, m AS (SELECT DISTINCT instrument_id, d FROM shapes WHERE d % 7 = 3)
 @query(
     _SHAPES
     + ", fi AS (SELECT instrument_id, d, post_gain >= 0.08 AND post_volume >= 3 AS spike, fall >= 0.15 AS dump, pre_gain >= 0.1 AND pre_volume >= 3 AS pre_run, turnover > 0 AND turnover < 2500000 AS thin FROM shapes) "
-    "SELECT instrument_id, d, unnest(list_filter([CASE WHEN thin THEN 'thin' END, CASE WHEN pre_run THEN 'pre-run' END, CASE WHEN spike AND dump THEN 'pump-shape' WHEN spike THEN 'spike' END], x -> x IS NOT NULL)) AS kind FROM fi"
+    "SELECT instrument_id, d, unnest(list_filter([CASE WHEN thin THEN 'thin' END, CASE WHEN pre_run THEN 'pre-run' END, CASE WHEN spike AND dump THEN 'pump-shape' WHEN spike THEN 'spike' END], lambda x: x IS NOT NULL)) AS kind FROM fi"
 )
 def flags(spark, d):
     """Flags of every bar that has a shape."""
@@ -324,11 +324,11 @@ def agg_case(spark, d):
 
 @query(
     ", m AS (SELECT DISTINCT instrument_id, day FROM calls WHERE call_id % 40 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM bars7 WHERE instrument_id IN (SELECT instrument_id FROM m)) "
-    "SELECT instrument_id, d FROM b WHERE rn >= 30 AND rn < n - 12 AND rn % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 15)"
+    "SELECT instrument_id, d FROM b WHERE rn >= 5 AND rn < n - 2 AND (rn - 5) % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 6)"
 )
 def jn_ordinary(spark, d):
     marked = V.calls(spark, d).where("call_id % 40 = 0")
-    return detect.ordinary_days(V.bars(spark, d, sundays=True), marked).select("instrument_id", c("d").cast("long").alias("d"))
+    return detect.ordinary_days(V.bars(spark, d, sundays=True), marked, 6, 5, 2).select("instrument_id", c("d").cast("long").alias("d"))
 
 
 # ---- linking
