@@ -34,7 +34,7 @@ def intrinsic(spot: Column, strike: Column, opt_type: Column) -> Column:
 
 def paise(x: Column) -> Column:
     """Decimal text to integer hundredths."""
-    return F.floor(x.cast("double") * 100 + 0.5).cast("long")
+    return F.floor(x.try_cast("double") * 100 + 0.5).cast("long")
 
 
 def compound(borrowed: Column, monthly: Column, first_day: Column, last_day: Column) -> Column:
