@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 from ..operators import bars as B
-from ..operators import detect, ledger, linking, replay
+from ..operators import detect, ledger, linking, replay, report
 from . import bindings as V
 
 c = F.col
@@ -230,7 +230,7 @@ def queued(spark, d, params: DataFrame | None = None, readings=replay.READINGS)
     _QUEUE
     + """SELECT channel_id, reading, count(*) AS checked, count(*) FILTER (cls = 'target') AS target, count(*) FILTER (cls = 'stop') AS stop, count(*) FILTER (cls = 'expired') AS expired, count(*) FILTER (cls = 'horizon') AS horizon, count(*) FILTER (cls = 'open') AS open,
 count(*) FILTER (cls = 'expired' AND exit_price <= entry_price * 0.05) AS expired_worthless, count(*) FILTER (net > 0) AS profitable, floor(count(*) FILTER (cls = 'target') / count(*) * 10000 + 0.5) / 10000 AS hit_rate,
-floor(avg(chance) * 10000 + 0.5) / 10000 AS chance_hit_rate, floor(avg(CASE WHEN chance IS NOT NULL THEN (cls = 'target')::INT END) * 10000 + 0.5) / 10000 AS hit_rate_with_target, floor(avg(coalesce(ret_pct, 0)) * 10 + 0.5) / 10 AS mean_return_pct, floor(sum(net) + 0.5) AS flat_net FROM q2 GROUP BY 1, 2"""
+floor(avg(chance) * 10000 + 0.5) / 10000 AS chance_hit_rate, floor(avg(CASE WHEN chance IS NOT NULL THEN (cls = 'target')::INT END) * 10000 + 0.5) / 10000 AS hit_rate_with_target, floor(floor(avg(coalesce(ret_pct, 0)) * 100 + 0.5) / 100 * 10 + 0.5) / 10 AS mean_return_pct, floor(floor(sum(net) * 100 + 0.5) / 100 + 0.5) AS flat_net FROM q2 GROUP BY 1, 2"""
 )
 def agg_record(spark, d):
     """agg_chance and agg_flat_net as well."""
@@ -288,6 +288,22 @@ def win_running(spark, d):
     return ledger.running_balance(ledger.lines(queued(spark, d)))
 
 
+@query()
+def snk_calls_csv(spark, d):
+    """The fifteen columns of the call list under the likely reading."""
+    k = V.calls(spark, d).withColumn("text", F.concat(F.lit("SYM"), c("instrument_id").cast("string"))).withColumn("contract", c("text"))
+    k = k.withColumn("entry", F.struct(c("entry_type").alias("type"), c("lo"), c("hi"))).select("call_id", "ts", "text", "contract", "side", "entry", "targets", "stop")
+    o = outcomes(spark, d).cache()
+    q = ledger.queue(V.calls(spark, d).drop("day", "session"), o.where("reading = 'likely'").withColumn("lot", F.lit(1)), ledger.params_table(spark))
+    return report.call_list(k, o.where("reading = 'likely'"), q, replay.firm(o), V.calendar(spark, d))
+
+
+@query()
+def snk_complaint(spark, d):
+    f = detect.follow_through(V.calls(spark, d), outcomes(spark, d, ("likely",)), linked(spark, d).where("call_id IS NOT NULL"))
+    return report.complaint(ledger.account(ledger.lines(queued(spark, d, None, ("likely",)))), f)
+
+
 # ---- patterns
 
 _CASE = """, m AS (SELECT DISTINCT instrument_id, d FROM shapes WHERE d % 7 = 3), o AS (SELECT instrument_id, d FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY instrument_id) AS n FROM bars7 WHERE instrument_id IN (SELECT instrument_id FROM m)) b WHERE k >= 20 AND k < n - 2 AND k % 5 = 0)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.say import say_column
 from ..operators import linking
 from ..operators import messages as M
-from ..sources import chats
+from ..sources import chats, transcripts
 from . import bindings as V
 
 c = F.col
@@ -144,3 +145,35 @@ def src_pasted(spark, d):
     e = V.table(spark, d, "events").where("event_type = 'signup'")
     t = e.select(c("event_id").alias("doc_id"), F.concat(F.lit("BUY SYM"), c("user_id").cast("string"), F.lit("\n\nSL "), c("event_id").cast("string")).alias("text"))
     return chats.pasted(t, "2025-01-01 00:00:00").select("doc_id", c("msg_id").cast("long").alias("msg_id"), "text")
+
+
+@query("SELECT event_id AS msg_id, 'call' AS cls FROM events WHERE event_type = 'signup'")
+def prj_tape(spark, d):
+    """Every rendered tip is a call, whatever else it says."""
+    names = V.table(spark, d, "events").select(F.concat(F.lit("SYM"), c("user_id").cast("string")).alias("key")).distinct()
+    t = tips(spark, d)
+    k = M.read_calls(t, names.select("key", c("key").alias("symbol"), F.lit("stock").alias("kind")))
+    return M.tape(t, k, M.follow_ups(t)).select("msg_id", "cls")
+
+
+@query("SELECT c_custkey, n, say FROM (SELECT c_custkey, c_custkey % 20 AS n, ['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'][c_custkey % 20 + 1] AS say FROM customer)")
+def fn_say(spark, d):
+    t = V.table(spark, d, "customer").withColumn("n", c("c_custkey") % 20)
+    return t.select("c_custkey", "n", say_column(c("n").cast("double"), F.lit("en")).alias("say"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS edits FROM part")
+def fn_distance(spark, d):
+    """A swap of neighbours is one edit, two replaced letters are two."""
+    a = F.concat(F.lit("ABCD"), c("p_partkey").cast("string"))
+    b = F.concat(F.when(c("p_partkey") % 2 == 0, "ABDC").otherwise("XYCD"), c("p_partkey").cast("string"))
+    return V.table(spark, d, "part").select("p_partkey", T.osa_distance(a, b).alias("edits"))
+
+
+@query()
+def src_ocr_text(spark, d):
+    """A transcript of three bubbles per supplier."""
+    i = c("s_suppkey").cast("string")
+    text = F.concat(F.lit("BUY SYM"), i, F.lit(" AT 100 SL 90 TARGET 120\n10:05\nBUY SYM"), i, F.lit(" AT 100...\nTARGET HIT\n11:30\nGOOD MORNING\n9:15 pm"))
+    t = V.table(spark, d, "supplier").select(c("s_suppkey").alias("doc_id"), text.alias("text"), F.to_date(F.lit("2025-12-01")).alias("day"))
+    return transcripts.transcripts(t)
