@@ -159,7 +159,9 @@ def replay(calls: DataFrame, bars: DataFrame, readings: tuple[str, ...] = READIN
         )
 
     steps = F.when(c("code").isNull() & (c("scan") < c("n")), F.sequence(c("scan"), c("n") - 1)).otherwise(F.array().cast("array<int>"))
-    t = t.withColumn("out", F.get(F.filter(F.transform(steps, verdict), lambda x: x.isNotNull()), F.lit(0)))
+    # the first verdict ends the search: bars after it are not looked at
+    nothing = F.lit(None).cast("struct<cls:string,k:int,price:double,basis:string>")
+    t = t.withColumn("out", F.aggregate(steps, nothing, lambda found, k: F.when(found.isNotNull(), found).otherwise(verdict(k).cast("struct<cls:string,k:int,price:double,basis:string>"))))
     t = settle(t)
     # nothing happened on any bar: settled, closed at the last price, or still running
     t = t.withColumn("k_last", F.greatest(c("i"), F.size(F.filter("bars", lambda b: b.d <= c("hold"))) - 1)).withColumn("b_last", F.get("bars", c("k_last")))

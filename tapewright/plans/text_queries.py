@@ -124,7 +124,7 @@ def win_repost(spark, d):
     return linking.reposts(e, ["k"]).select("msg_id", "repost")
 
 
-@query("SELECT page_id, page_id AS msg_id, 'BUY & HOLD' || chr(10) || page_id AS text, page_id % 2 = 0 AS has_photo, CASE WHEN page_id % 3 = 0 THEN 7 END AS reply_to FROM pages UNION ALL SELECT page_id, page_id + 1, '', false, NULL FROM pages")
+@query("SELECT page_id, page_id AS msg_id, 'BUY & HOLD' || chr(10) || page_id AS text, page_id % 2 = 0 AS has_photo, CASE WHEN page_id % 3 = 0 THEN 7::BIGINT END AS reply_to FROM pages UNION ALL SELECT page_id, page_id + 1, '', false, NULL FROM pages")
 def src_preview(spark, d):
     """Preview pages made from the page ids: a message with text, one without, and a service notice."""
     i = c("page_id").cast("string")
