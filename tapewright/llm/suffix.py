@@ -181,25 +181,42 @@ class Texts:
         return at
 
 
+def shared_by_few(groups: list[tuple[list[int], list[bytes]]]) -> list[list[list[tuple[int, int]]]]:
+    """Of many anchors with few distinct runs each: per run the starts, as ranges, of strings that another run of its anchor has too.
+
+    All pairs of all these anchors are extended at once.
+    """
+    t = Texts([p for _, pieces in groups for p in pieces])
+    o = np.array([x for offsets, _ in groups for x in offsets])
+    last = np.array([len(p) for _, pieces in groups for p in pieces]) - SIZE  # the last start in each run
+    pairs, at = [], 0
+    for offsets, _ in groups:
+        pairs += [(at + a, at + b) for a in range(len(offsets)) for b in range(a + 1, len(offsets))]
+        at += len(offsets)
+    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+    x, y = t.begin[i] + o[i], t.begin[j] + o[j]
+    left = t.back(x, y, np.minimum(o[i], o[j]))
+    right = t.ahead(x, y, np.minimum(last[i] + SIZE - o[i], last[j] + SIZE - o[j]))
+    # strings that begin at most left before the anchor, and end at most right after its start
+    first, end = x - left, x + right - SIZE
+    ok = first <= end
+    ok[ok] = t.same(first[ok], (y - left)[ok]) & t.same(end[ok], (y + right - SIZE)[ok])
+    flat: list[list[tuple[int, int]]] = [[] for _ in range(at)]
+    own = o.tolist()
+    for a, b, before, upto in zip(i[ok].tolist(), j[ok].tolist(), left[ok].tolist(), (right - SIZE)[ok].tolist()):
+        flat[a].append((own[a] - before, own[a] + upto))
+        flat[b].append((own[b] - before, own[b] + upto))
+    ends = np.cumsum([len(offsets) for offsets, _ in groups]).tolist()
+    return [flat[e - len(offsets) : e] for e, (offsets, _) in zip(ends, groups)]
+
+
 def shared_strings(pieces: list[bytes], offsets: list[int]) -> list[list[tuple[int, int]]]:
-    """Of distinct runs with one anchor: the starts, as ranges, of strings that another of them has too."""
+    """The same for one anchor with any number of distinct runs."""
+    if len(pieces) <= FEW:
+        return shared_by_few([(offsets, pieces)])[0]
     t, g = Texts(pieces), len(pieces)
     o = np.array(offsets)
-    last = np.array(list(map(len, pieces))) - SIZE  # the last start in each run
-    if g <= FEW:
-        i, j = np.triu_indices(g, 1)
-        x, y = t.begin[i] + o[i], t.begin[j] + o[j]
-        left = t.back(x, y, np.minimum(o[i], o[j]))
-        right = t.ahead(x, y, np.minimum(last[i] + SIZE - o[i], last[j] + SIZE - o[j]))
-        # strings that begin at most left before the anchor, and end at most right after its start
-        first, end = x - left, x + right - SIZE
-        ok = first <= end
-        ok[ok] = t.same(first[ok], (y - left)[ok]) & t.same(end[ok], (y + right - SIZE)[ok])
-        out: list[list[tuple[int, int]]] = [[] for _ in range(g)]
-        for a, b, l, e in zip(i[ok].tolist(), j[ok].tolist(), left[ok].tolist(), (right - SIZE)[ok].tolist()):
-            out[a].append((offsets[a] - l, offsets[a] + e))
-            out[b].append((offsets[b] - l, offsets[b] + e))
-        return out
+    last = np.array(list(map(len, pieces))) - SIZE
     found: list[list[int]] = [[] for _ in range(g)]
     owner = np.searchsorted(t.begin, np.arange(t.n), "right") - 1
     for step in range(0, SIZE - GRAM + 1, 16):  # places of the anchor in the string, some at a time
@@ -228,30 +245,49 @@ def _ranges(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(batches):
+def _compare(batches, most_bytes: int = 2_000_000):
     """Rows (a, r, o, bytes) sorted by a: rows (a, r, first, end) of shared starts."""
     now, held = None, {}
+    waiting: list = []  # anchors with few runs, compared together
+    size, out = 0, []
+
+    def flush():
+        nonlocal size
+        if waiting:
+            for (a, keys, _, _), found in zip(waiting, shared_by_few([w[2:] for w in waiting])):
+                out.extend((a, k, x, y) for k, ranges in zip(keys, found) for x, y in ranges)
+        waiting.clear()
+        size = 0
 
     def done():
+        nonlocal size
         if len(held) < 2:
-            return []
-        keys = list(held)
-        found = shared_strings([held[k][1] for k in keys], [held[k][0] for k in keys])
-        return [(now, k, x, y) for k, ranges in zip(keys, found) for x, y in ranges]
-
-    def batch(out):
+            return
+        keys, offsets, pieces = list(held), [o for o, _ in held.values()], [p for _, p in held.values()]
+        if len(keys) > FEW:
+            out.extend((now, k, x, y) for k, ranges in zip(keys, shared_strings(pieces, offsets)) for x, y in ranges)
+            return
+        waiting.append((now, keys, offsets, pieces))
+        size += sum(map(len, pieces))
+        if size > most_bytes:
+            flush()
+
+    def batch():
         cols = list(zip(*out)) if out else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "r", "x", "y"])
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "r", "x", "y"])
+        out.clear()
+        return made
 
     for b in batches:
-        out = []
         for a, r, o, piece in zip(*(b.column(c).to_pylist() for c in ("a", "r", "o", "piece"))):
             if a != now:
-                out += done()
+                done()
                 now, held = a, {}
             held.setdefault(r, (o, piece))
-        yield batch(out)
-    yield batch(done())
+        yield batch()
+    done()
+    flush()
+    yield batch()
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
