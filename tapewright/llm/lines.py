@@ -86,6 +86,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     win = stage(spark, windows(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "first", "before", "after")
     known = win.groupBy("fp", "whole").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = stage(spark, known, "lines-known")  # a join whose sides are only dealt out can be split at a hot line
     common = lambda a, b: F.expr(f"size(filter(transform(sequence(1, greatest(1, least(size({a}), size({b})))), k -> slice({a}, 1, k) = slice({b}, 1, k) AND k <= least(size({a}), size({b}))), x -> x))")
     hits = win.join(known, ["fp", "whole"]).where(~(F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("tid") == F.col("o.tid")) & (F.col("first") == F.col("o.first"))))
     # how many lines with a word the match is extended by, to either side

@@ -293,7 +293,8 @@ def _compare(batches, most_bytes: int = 2_000_000):
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows (uid, b, e): bytes b to e (exclusive) of ``docs(uid, __text)`` are under a repeated string."""
     rows = stage(spark, all_runs(docs), "suffix-runs")
-    common = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # written before it is joined: a join whose sides are only dealt out can be split where an anchor is hot
+    common = stage(spark, rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "suffix-common")
     rows = stage(spark, rows.join(common, "a", "left_semi"), "suffix-shared")
     kinds = rows.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("uid", "s", "e", "o")).alias("one"))
     kinds = stage(spark, kinds, "suffix-kinds")
