@@ -343,8 +343,8 @@ def agg_case(spark, d):
     "SELECT instrument_id, d FROM b WHERE rn >= 5 AND rn < n - 2 AND (rn - 5) % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 6)"
 )
 def jn_ordinary(spark, d):
-    marked = V.calls(spark, d).where("call_id % 40 = 0")
-    return detect.ordinary_days(V.bars(spark, d, sundays=True), marked, 6, 5, 2).select("instrument_id", c("d").cast("long").alias("d"))
+    """Every call is a mark, at the operator's distances: 30 days of bars hold no such day. The SQL has a fortieth of the marks and shorter distances."""
+    return detect.ordinary_days(V.bars(spark, d, sundays=True), V.calls(spark, d)).select("instrument_id", c("d").cast("long").alias("d"))
 
 
 # ---- linking
