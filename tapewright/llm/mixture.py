@@ -143,8 +143,8 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, passes: int = 2) -> l
     return [{x: net.room[e ^ 1] for x, e in a.items()} for a in arcs]
 
 
-def mix(spark: SparkSession, docs: DataFrame, members: DataFrame | None = None, share: Fraction = Fraction(3, 2), most: int = 2, seed: str = SEED) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def mix(spark: SparkSession, docs: DataFrame, members: DataFrame | None = None, share: Fraction = Fraction(3, 2), most: int = 2, seed: str = SEED, carry: tuple = ()) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken) for every row of ``docs``, and its columns ``carry``.
 
     ``members(doc_id, source)`` lists further sources of documents; a document's
     own ``source`` counts anyway, and size, target and source_size are of its own.
@@ -152,7 +152,7 @@ def mix(spark: SparkSession, docs: DataFrame, members: DataFrame | None = None,
     is that of md5(seed:doc_id), so reruns and other partitionings agree; rows
     that repeat a doc_id are ordered by size and share the seeded place.
     """
-    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"))
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), *carry)
     own = own.withColumn("pattern", F.array("source"))
     if members is not None:
         more = members.select("doc_id", F.col("source").cast("string").alias("s")).groupBy("doc_id").agg(F.collect_set(F.struct("s")).alias("more"))
@@ -195,8 +195,8 @@ def mix(spark: SparkSession, docs: DataFrame, members: DataFrame | None = None,
     placed = own.withColumn("upto", F.sum("size").over(w)).join(begin, ["pkey", "slice"])
     rest = F.expr("flow % greatest(all_words, 1)") - F.col("before") - F.col("upto") + F.col("size")
     taken = F.expr("(flow div greatest(all_words, 1)) * size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest))
-    placed = placed.select("doc_id", "source", "size", taken.cast("long").alias("taken"))
-    return placed.join(source_df, placed.source.eqNullSafe(source_df.source)).select("doc_id", placed.source, "size", "source_size", "target", "taken")
+    placed = placed.select("doc_id", "source", "size", taken.cast("long").alias("taken"), *carry)
+    return placed.join(source_df, placed.source.eqNullSafe(source_df.source)).select("doc_id", placed.source, "size", "source_size", "target", "taken", *carry)
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +212,15 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resample(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: each document once per pass taken, the last pass cut to the words taken.
 
+    Each row gets what is taken of itself, null doc_ids and other texts of one
+    doc_id too; only rows that agree in doc_id, source and text share equally.
     Documents of which nothing is taken go. Where ``n_chars`` is a column, it
     follows the text of a cut pass.
     """
-    taken = mix(spark, docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
-    both = docs.join(taken, "doc_id").withColumn("__size", n_words(text_of()))
+    docs, names = docs.withColumn("__tid", F.xxhash64(text_of())), docs.columns
+    taken = mix(spark, docs, carry=("__tid",), **options).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__tid").alias("__t")).agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__tid") == F.col("__t"))
+    both = docs.join(taken, same).withColumn("__size", n_words(text_of()))
     both = both.withColumn("__mine", F.least(F.col("__size") * 2, F.expr("__taken div __rows"))).where("__mine > 0")
     both = both.withColumn("__pass", F.explode(F.expr("sequence(0L, (__mine - 1) div __size)")))
     words = F.least(F.col("__size"), F.col("__mine") - F.col("__pass") * F.col("__size"))
@@ -224,7 +228,7 @@ def resample(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     both = both.withColumn("text", F.when(words == F.col("__size"), F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+    return both.select(*names)
 
 
 ORACLE_SQL = r"""
