@@ -14,7 +14,9 @@ that toxic documents have more often, and clean ones less, than
 chance explains it, and clean words that are likest to those. Kernel values to the
 landmarks, whitened by the landmarks' own kernel matrix (Nyström), are the
 features of a unit. A label is known of a document, not of a sentence, so the
-SVM learns from the most suspicious sentences of each document. A text is as toxic as its most toxic unit.
+SVM learns from the most suspicious sentences of each document. A text's score
+is a logistic function of its TOP largest unit margins: one plain insult is
+enough, and so are several words each of which clean texts have now and then.
 """
 
 from __future__ import annotations
@@ -39,9 +41,13 @@ MOST_STRETCHES, MOST_LANDMARKS, CLEAN_LANDMARKS = 60_000, 96, 48
 #: A stretch is a landmark if chance would give it so many toxic documents less often than this.
 CHANCE = 1e-5
 THRESHOLD = 0.5
-CACHE_UNITS = 150_000
+CACHE_UNITS = 60_000
+#: Largest margins of a text's units that its score rests on, and the margin below which a unit says nothing.
+TOP, NOTHING = 4, -1.0
 #: Rounds in which the SVM is fitted anew with the clean units that it got wrong.
 MINING = 3
+#: Units that a toxic document, a clean one, and a clean one in a round of mining give the SVM at most.
+PER_TOXIC, PER_CLEAN, PER_MINED = 8, 4, 3
 _PATTERNS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 _MARKS = re.compile(r"[\W_]+")
 _SPELT = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
@@ -80,7 +86,7 @@ def _scale(length: int) -> float:
 _SCALES = np.array([_scale(n) for n in range(WIDTH + 1)])
 
 
-def _slices(units: list[str], rows: int = 16_384):
+def _slices(units: list[str], rows: int = 4096):
     """Row numbers, codes and weights of the subsequences of units of one length, some units at a time."""
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     for n in np.unique(sizes).tolist():
@@ -155,31 +161,35 @@ class Model:
                 break
             w = 0.5 * (w + new)
         self.w = w
-        self.curve = 1.0, 0.0
-        self.known: dict[str, float] = {}
-        self.older: dict[str, float] = {}
-
-    def fit_curve(self, margin: np.ndarray, toxic: np.ndarray) -> None:
-        """The curve that makes the largest margin of a document a probability, with the classes as frequent as they are."""
-        a, b = 1.0, 0.0
-        for _ in range(200):  # Newton steps on the log loss, slightly regularised
-            p = 0.5 * (1 + np.tanh(0.5 * (a * margin + b)))
-            g = np.array([(p - toxic) @ margin, (p - toxic).sum()]) + 1e-2 * np.array([a, b])
-            v = p * (1 - p)
-            h = np.array([[v @ margin**2, v @ margin], [v @ margin, v.sum()]]) + 1e-2 * np.eye(2)
-            step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
-            a, b = max(0.05, a - step[0]), b - step[1]
-        self.curve = float(a), float(b)
+        self.curve = np.zeros(TOP + 1)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what is remembered of tokens, so that a worker carries nothing from one task to the next."""
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+
+    def fit_curve(self, tops: np.ndarray, toxic: np.ndarray) -> None:
+        """Weights, none negative, that make the largest margins of documents a probability, with the classes as frequent as they are."""
+        x, w = np.c_[tops - NOTHING, np.ones(len(tops))], np.zeros(TOP + 1)
+        free = np.ones(TOP + 1, bool)
+        for _ in range(200):  # damped Newton steps on the log loss, slightly regularised; a weight that falls below zero leaves
+            p = 0.5 * (1 + np.tanh(0.5 * (x @ w)))
+            part = x[:, free]
+            h = (part.T * (p * (1 - p))) @ part + 1e-1 * np.eye(free.sum())
+            w[free] -= np.clip(np.linalg.solve(h, part.T @ (p - toxic) + 1e-1 * w[free]), -0.5, 0.5)
+            free[:-1] &= w[:-1] >= 0
+            w[~free] = 0
+        self.curve = w
 
     def margins(self, kernel: np.ndarray) -> np.ndarray:
         return (kernel.astype(np.float64) @ self.whiten) @ self.w[:-1] + self.w[-1]
 
-    def scores(self, units: list[str]) -> np.ndarray:
-        m = self.landmarks.weighted(units, self.whiten @ self.w[:-1]) + self.w[-1]
-        return 0.5 * (1 + np.tanh(0.5 * (self.curve[0] * m + self.curve[1])))
+    def probability(self, tops: np.ndarray) -> np.ndarray:
+        return 0.5 * (1 + np.tanh(0.5 * ((tops - NOTHING) @ self.curve[:-1] + self.curve[-1])))
 
-    def of_texts(self, texts: list[str]) -> list[float]:
-        """Score of each text: that of its most toxic unit; without units, 0."""
+    def tops(self, texts: list[str]) -> np.ndarray:
+        """Of each text the TOP largest margins of distinct units, NOTHING where there are fewer."""
         bags = [tokens(t) for t in texts]
         if len(self.known) > CACHE_UNITS:
             self.older, self.known = self.known, {}
@@ -190,10 +200,21 @@ class Model:
         new = list(new.difference(known))
         units = [units_of(t) for t in new]
         flat = sorted({u for us in units for u in us})
-        got = dict(zip(flat, self.scores(flat).tolist())) if flat else {}
+        m = (self.landmarks.weighted(flat, self.whiten @ self.w[:-1]) + self.w[-1]).tolist() if flat else []
+        got = dict(zip(flat, m))
         for t, us in zip(new, units):
-            known[t] = max((got[u] for u in us), default=0.0)
-        return [max(map(known.__getitem__, bag), default=0.0) for bag in bags]
+            best = max(((got[u], u) for u in us), default=(NOTHING, ""))
+            known[t] = best if best[0] > NOTHING else None
+        out = np.full((len(texts), TOP), NOTHING)
+        for i, bag in enumerate(bags):
+            best = sorted({x for t in bag if (x := known[t]) is not None}, reverse=True)[:TOP]
+            out[i, : len(best)] = [x for x, _ in best]
+        return out
+
+    def of_texts(self, texts: list[str]) -> list[float]:
+        """Score of each text; without units, 0."""
+        tops = self.tops(texts)
+        return np.where(tops[:, 0] > NOTHING, self.probability(tops), 0.0).tolist()
 
 
 def _bag(text: str) -> set[str]:
@@ -230,18 +251,21 @@ def _least(text: str, n: int = 24) -> list[int]:
 
 
 def _unlike(sample: DataFrame) -> set:
-    """Ids of the sample's texts, one of each set of near copies: texts that share one of the 24 least hashes of their four-word runs are one."""
+    """Ids of the sample's texts, one of each set of near copies: texts that share half of the 24 least hashes of their four-word runs are one."""
 
     def run(batches):
         for b in batches:
             least = [_least(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "h"])
 
-    met, stay = set(), set()
+    met: dict[int, list] = {}
+    stay = set()
     for r in sorted(sample.select("doc_id", "text").mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, h array<long>").collect()):  # bounded as the sample is
-        if not met.intersection(r.h):
+        alike = Counter(i for h in r.h for i in met.get(h, ()))
+        if max(alike.values(), default=0) * 2 < len(r.h):
             stay.add(r.doc_id)
-        met.update(r.h)
+            for h in r.h:
+                met.setdefault(h, []).append(r.doc_id)
     return stay
 
 
@@ -262,6 +286,7 @@ def _choose(spark: SparkSession, toxic: DataFrame, clean: DataFrame) -> list[str
     wanted = spark.sparkContext.broadcast(set(often))
     also = {r.s: r.n for r in _count(clean, wanted).collect()}
     share, least = n_toxic / (n_toxic + n_clean), np.log(CHANCE)
+    wanted.destroy()
     odd = {s: n for s, n in often.items() if also.get(s, 0) * n_toxic <= 0.1 * n * n_clean and _log_chance(n, also.get(s, 0), share) < least}
     chosen: list[str] = []
     for s in sorted(odd, key=lambda s: (-odd[s], -len(s), s)):
@@ -325,17 +350,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | No
                 near = dict(zip(flat, k[:, :n_bad].max(axis=1).tolist()))
                 tops = sorted({max(bag, key=lambda u: near[u]) for bag in bags if bag}, key=lambda u: (-near[u], u))
                 # all that come near the worst of a toxic text are taken as meant; of a clean one those that come nearest
-                for u in [u for u in tops if near[u] >= 0.8 * near[tops[0]]][:8] if y else tops[:4]:
-                    out.append(k[flat.index(u)].tolist())
+                for u in [u for u in tops if near[u] >= 0.8 * near[tops[0]]][:PER_TOXIC] if y else tops[:PER_CLEAN]:
+                    out.append(k[flat.index(u)].tobytes())
                     who.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), pa.array(who, pa.int32())], ["k", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(who, pa.int32())], ["k", "y"])
 
-    rows = sample.select("text", "toxic").mapInArrow(examples, "k array<double>, y int").collect()
-    k, y = np.array([r.k for r in rows]), np.array([r.y for r in rows])
+    wide = lambda rows: np.frombuffer(b"".join(rows), np.float32).reshape(-1, len(marks.strings))
+    rows = sample.select("text", "toxic").mapInArrow(examples, "k binary, y int").collect()
+    k, y = wide(r.k for r in rows), np.array([r.y for r in rows])
     if not (y == 0).any():
         return None
     # the landmarks themselves and their forms with an inserted character count as seen in toxic sentences
-    more = marks.kernel([f"<{v}>" for s in bad if len(w := s.strip("<>")) > 3 for v in (w, *variants(w))]).astype(np.float64)
+    more = marks.kernel([f"<{v}>" for s in bad if len(w := s.strip("<>")) > 3 for v in (w, *variants(w))])
     positive, negative = np.r_[k[y == 1], more], k[y == 0]
     for again in range(MINING + 1):
         model = Model(marks, positive, negative)
@@ -346,35 +372,41 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | No
                 out = []
                 for t in b.column("text").to_pylist():
                     bag = sorted(_bag(t))
-                    k = fitted.value.landmarks.kernel(bag) if bag else np.zeros((1, len(fitted.value.landmarks.strings)))
+                    k = fitted.value.landmarks.kernel(bag) if bag else np.zeros((1, len(fitted.value.landmarks.strings)), np.float32)
                     m = fitted.value.margins(k)
-                    top = np.argsort(-m, kind="stable")[:3]
-                    out.append((k[top].astype(float).tolist(), float(m[top[0]])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.list_(pa.float64()))), pa.array([o[1] for o in out]), b.column("toxic").cast(pa.int32())], ["k", "m", "y"])
-
-        got = sample.select("text", "toxic").mapInArrow(worst, "k array<array<double>>, m double, y int").collect()
-        negative = np.r_[negative, np.array([r for g in got if not g.y and g.m > -1 for r in g.k]).reshape(-1, negative.shape[1])]
-    model.fit_curve(np.array([g.m for g in got]), np.array([float(g.y) for g in got]))
+                    top = np.argsort(-m, kind="stable")[:TOP]
+                    padded = np.full(TOP, NOTHING)
+                    padded[: len(top)] = np.maximum(m[top], NOTHING)
+                    out.append((k[top[:PER_MINED]].tobytes(), padded.tobytes()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)), b.column("toxic").cast(pa.int32())], ["k", "m", "y"])
+
+        got = sample.select("text", "toxic").mapInArrow(worst, "k binary, m binary, y int").collect()
+        fitted.destroy()
+        tops = np.frombuffer(b"".join(g.m for g in got), np.float64).reshape(-1, TOP)
+        negative = np.r_[negative, wide(g.k for g, m in zip(got, tops) if not g.y and m[0] > NOTHING)]
+    for b in (seen, shared):
+        b.destroy()
+    model.fit_curve(tops, np.array([float(g.y) for g in got]))
     return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; 0 for all where there is no model. One narrow pass, the model is some kB."""
     shared, names = spark.sparkContext.broadcast(model), docs.columns
+
     def run(batches):
+        model = shared.value
         for b in batches:
-            texts, got = [t or "" for t in b.column("text").to_pylist()], []
-            if shared.value is None:
-                got = [0.0] * len(texts)
-            at = 0
-            while len(got) < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < 1_500_000:
-                    size += len(texts[end])
-                    end += 1
-                got += shared.value.of_texts(texts[at:end])
-                at = end
+            got, held, size = [], [], 0
+            for i, t in enumerate(b.column("text")):
+                held.append(t.as_py() or "")
+                size += len(held[-1])
+                if size > 500_000 or i == b.num_rows - 1:
+                    got += model.of_texts(held) if model else [0.0] * len(held)
+                    held, size = [], 0
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, pa.float64())], [*names, column])
+        if model:
+            model.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
