@@ -15,7 +15,6 @@ two stay apart when their joint bytes are merged on their own.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -29,8 +28,12 @@ from .common import read_table, text_of
 
 # Fixed values of the byte-level scheme: the pre-tokenizer's pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that each of a worker's two generations of encodings holds; a word met again moves to the younger.
-CACHE_WORDS = 250_000
+#: Bytes of words that each of a worker's two generations of encodings holds; a word met again moves to the younger.
+CACHE_BYTES = 1_200_000
+#: A word is kept from its second sight on; first sights leave one byte in a table of so many (a power of two).
+SIGHTS = 1 << 21
+#: Pairs of tokens whose compatibility is remembered.
+MOST_PAIRS = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -65,11 +68,16 @@ class Codec:
         self.endings: list[list[tuple[int, int]]] = [[]]  # of each state, the tokens that end there, longest first
         self.step: dict[int, int] = {}  # state * 256 + byte -> state, filled as met
         self.apart: dict[int, bool] = {}
-        self.words: dict[str, tuple[list[int], str, bytes]] = {}  # ids, ids as text, bytes decoded from the ids
-        self.older: dict[str, tuple[list[int], str, bytes]] = {}
+        self.forget()
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def forget(self) -> None:
+        """Drops all words: number of ids, ids as text, bytes decoded from the ids."""
+        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.held, self.sights = 0, bytearray(SIGHTS)
+
     def merged(self, piece: bytes) -> list[bytes]:
         """The pieces left after merging by rank, lowest first, leftmost first."""
         part = [piece[i : i + 1] for i in range(len(piece))]
@@ -83,7 +91,7 @@ class Codec:
     def compatible(self, key: int) -> bool:
         """Whether two tokens, packed in one key, stay apart when merged together."""
         a, b = self.bytes_of[key >> 20], self.bytes_of[key & 0xFFFFF]
-        if len(self.apart) > 1_500_000:
+        if len(self.apart) > MOST_PAIRS:
             self.apart.clear()
         found = self.apart[key] = self.merged(a + b) == [a, b]
         return found
@@ -100,8 +108,9 @@ class Codec:
         found = self.step[key] = self.state_of[piece]
         return found
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, str, bytes]]:
         """Encodes distinct words in one depth-first walk of their trie."""
+        out = {}
         step, endings, apart, size = self.step, self.endings, self.apart, {i: len(b) for i, b in self.bytes_of.items()}
         last, path = [-1], [0]  # at each depth of the path: the last token, the state of token endings
         before = b""
@@ -131,13 +140,21 @@ class Codec:
             while at:
                 ids.append(last[at])
                 at -= size[last[at]]
-            self.words[word] = self.record(ids[::-1])
+            out[word] = self.record(ids[::-1])
             before = raw
+        return out
+
+    def record(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def record(self, ids: list[int]) -> tuple[list[int], str, bytes]:
-        return ids, ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+    def keep(self, word: str, record: tuple[int, str, bytes]) -> None:
+        """Remembers a word; when the younger generation is full it becomes the older, and what only that one had goes."""
+        if self.held > CACHE_BYTES:
+            self.older, self.words, self.held, self.sights = self.words, {}, 0, bytearray(SIGHTS)
+        self.words[word] = record
+        self.held += len(record[2])
 
-    def records(self, texts: list[str]) -> Iterator[list[tuple[list[int], str, bytes]]]:
+    def records(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
         """What is known of each word of each text. Special tokens' strings become their ids, as the library does."""
         split = self.split.findall
         pieces: list[list[str]] = []
@@ -146,43 +163,49 @@ class Codec:
                 pieces.append([w for i, x in enumerate(self.marks.split(text)) for w in ([x] if i % 2 else split(x))])
             else:
                 pieces.append(split(text))
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
-        new = set().union(*pieces).difference(self.words)
-        for s in new & self.special.keys():
-            self.words[s] = self.record([self.special[s]])
-        new -= self.special.keys()
-        for w in new & self.older.keys():
-            self.words[w] = self.older[w]
-        self.learn(new.difference(self.words))
-        words = self.words
-        return ([words[w] for w in got] for got in pieces)
+        met, here = set().union(*pieces), {}
+        for w in met:
+            if (r := self.words.get(w)) is not None:
+                here[w] = r
+            elif (r := self.older.get(w)) is not None:
+                here[w] = r
+                self.keep(w, r)
+        here |= {s: self.record([self.special[s]]) for s in met & self.special.keys()}
+        new = self.learn(met.difference(here))
+        for w, r in new.items():
+            at = hash(w) & SIGHTS - 1
+            if self.sights[at]:
+                self.keep(w, r)
+            else:
+                self.sights[at] = 1
+        here |= new
+        return ([here[w] for w in got] for got in pieces)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        return [[i for r in got for i in r[0]] for got in self.records(texts)]
+        return [[int(i) for r in got for i in r[1].split(",")] for got in self.records(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are not UTF-8 become the replacement character; unknown ids raise KeyError."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def _codec(shared) -> Codec:
-    key = id(shared)
-    if key not in _codecs:
+def _codec(path: str, shared) -> Codec:
+    """The worker's codec of a vocabulary file; its tables are kept from task to task, words are not."""
+    if path not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
+        _codecs[path] = Codec(shared.value)
+    return _codecs[path]
 
 
-def _chunks(batch: pa.RecordBatch, column: str, most_chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def _chunks(batch: pa.RecordBatch, column: str, most_chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch in slices of bounded size."""
     at, held, size = 0, [], 0
-    for i, text in enumerate(batch.column(column).to_pylist()):
-        held.append(text or "")
+    for i, text in enumerate(batch.column(column)):
+        held.append(text.as_py() or "")
         size += len(held[-1])
         if size >= most_chars:
             yield at, held
@@ -201,7 +224,7 @@ def encode(spark: SparkSession, df: DataFrame, vocabulary_path: str, keep: list[
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode_too)
 
     def run(batches):
-        codec = _codec(shared)
+        codec = _codec(vocabulary_path, shared)
         for b in batches:
             for at, texts in _chunks(b, "__text"):
                 ids = codec.encode_batch(texts)
@@ -209,6 +232,7 @@ def encode(spark: SparkSession, df: DataFrame, vocabulary_path: str, keep: list[
                 if decode_too:
                     cols["decoded"] = pa.array([codec.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_pydict(cols)
+        codec.forget()
 
     keep_order = [f.name for f in df.schema.fields if f.name in keep]
     return df.select(*keep_order, text_of(text).alias("__text")).mapInArrow(run, schema)
@@ -223,16 +247,16 @@ def digests(spark: SparkSession, df: DataFrame, vocabulary_path: str, key: str =
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
-        gc.disable()  # the caches hold no cycles; walking them again and again is all that a collection would do
-        codec = _codec(shared)
+        codec = _codec(vocabulary_path, shared)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             for at, texts in _chunks(b, "__text"):
                 out = []
                 for got in codec.records(texts):
                     decoded = b"".join([r[2] for r in got]).decode("utf-8", "replace")
-                    out.append((sum([len(r[0]) for r in got]), sha(",".join([r[1] for r in got])), sha(decoded)))
+                    out.append((sum([r[0] for r in got]), sha(",".join([r[1] for r in got])), sha(decoded)))
                 yield pa.RecordBatch.from_arrays([b.column(key).slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string())))], schema.names)
+        codec.forget()
 
     return df.select(key, text_of(text).alias("__text")).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,19 +16,28 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 GAP_RE = r"[\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size, so that a worker's memory does not grow with the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, through Spark's reader (any file system)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the driver and every executor share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and set.
+    Where the session names none, a temporary folder is made and set, but only
+    if all executors are threads of this machine; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tapewright-")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
@@ -51,10 +61,19 @@ def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     Survives lost executors (the table is not kept by any of them), is computed
     once however often it is read, and lets later scans prune columns.
     """
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def done_with(spark: SparkSession, *staged: DataFrame) -> None:
+    """Deletes staged tables whose last reader has run."""
+    for df in staged:
+        _remove(spark, df.stage_path)
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:
@@ -73,18 +92,19 @@ def fold_of(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def components(spark: SparkSession, links: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, tag: str = "cc", most_rounds: int = 200) -> DataFrame:
     """Connected components of ``links(a, b)``: rows (node, component), component = smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which end
     after a number of rounds logarithmic in the longest path. Every round is one
     written table; nothing but a row count and a checksum reaches the driver.
     Self links give isolated nodes; null ends are ignored; no links, no rows.
+    Raises if ``most_rounds`` have not been enough, rather than return parts.
     """
-    e = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
-    nodes = e
-    e = stage(spark, e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    nodes = stage(spark, nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct(), tag + "n")
+    ends = stage(spark, links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null"), tag + "l")
+    nodes = stage(spark, ends.select(F.explode(F.array("a", "b")).alias("node")).distinct(), tag + "n")
+    e = stage(spark, ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+    done_with(spark, ends)
     last = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -95,10 +115,13 @@ def components(spark: SparkSession, links: DataFrame, tag: str = "cc", most_roun
         # small star: each smaller neighbour and a itself hang on a's smallest
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage(spark, small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), tag)
+        before, e = e, stage(spark, small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), tag)
+        done_with(spark, before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if now[0] == now[2] and now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("m"))
     return nodes.join(roots, nodes.node == roots.a, "left").select("node", F.coalesce("m", "node").alias("component"))
