@@ -1,21 +1,25 @@
 """Line dedup by winnowing over line hashes.
 
-Lines with a word are hashed. A window is the least run of consecutive lines
-that holds WORDS words; its smallest line hash is its fingerprint. Two equal
-runs of at least WORDS words hold an equal window, which chooses the same line
-in both: no such run goes unseen, while a short line alone is never a match. A
-fingerprint carries the hash of its window, so that a frequent short line with
-other neighbours is not joined at all.
-
-Positions with one fingerprint meet in the first of them, found by an
-aggregation that combines on the map side; a hot line is one row per task. A
-match is extended both ways while its neighbours agree with those of the first
-occurrence. Less than WORDS words of neighbours can be outside any window of
-their own, so each position carries them along, and no second look at the text
-is needed. All runs but the first are deleted.
+Lines with a word are hashed. A window is a least run of consecutive lines that
+holds WORDS words, counted from its first line on or back from its last. The
+line with the least hash in a window (the leftmost of equal ones) is selected;
+neighbouring windows mostly select the same line, so a text leaves fewer
+positions than lines. Two equal runs of at least WORDS words hold an equal
+window, which selects the same line in both: no such run goes unseen, while a
+short line alone is never a match.
+
+Positions are brought together by the hash of the selected line, and those that
+are alone with theirs, nearly all, are dropped after a count that combines on
+the map side. What is left is extended both ways, to every window that the
+position was selected by, and each is compared with the first place that has
+it. Every line of a repeated run is in a window inside the run that starts or
+ends with the run or with the line itself, so the windows together are the
+whole of every repeated run, also where its parts first stood in several
+places. All but first places are deleted.
 
 Order is that of (doc_id, line), null ids last; rows that agree in doc_id and
-text are one document and get one result.
+text are one document and get one result. A hot line is one row per task in
+both counts, and the joins have one row a key on one side.
 """
 
 from __future__ import annotations
@@ -27,91 +31,108 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, stage, text_of
+from .common import done_with, read_table, stage, text_of
 
 #: Least words of a run that counts as repeated.
 WORDS = 10
 
 
-def line_windows(text: str, words: int = WORDS) -> list[tuple]:
-    """(first line, last line, fingerprint, window hash, hashes before, hashes after) of each window.
-
-    Hashes before go backwards, and both sides end where WORDS words are reached.
-    """
-    lines = [(i, x.rstrip()) for i, x in enumerate(text.encode().split(b"\n")) if x.strip()]
-    n = len(lines)
-    size = [min(words, len(x.split(None, words))) for _, x in lines]
-    h = [xxhash.xxh64_intdigest(x) for _, x in lines]
-    signed = np.array(h, np.uint64).view(np.int64).tolist()
-
-    def aside(at: int, step: int) -> list[int]:
-        got, held = [], 0
-        while 0 <= at < n and (held := held + size[at]) < words:
-            got.append(signed[at])
-            at += step
-        return got
-
-    out, end, held = [], 0, 0  # window: lines[start:end]
-    for start in range(n):
+def spans_of(size: list[int], words: int) -> list[tuple[int, int]]:
+    """First and last line of each window, given the number of words of each line."""
+    n, held, end = len(size), 0, 0
+    out = set()
+    for start in range(n):  # counted from a first line on
         while end < n and held < words:
             held += size[end]
             end += 1
         if held < words:
             break
-        whole = xxhash.xxh64(np.array(h[start:end], np.uint64).tobytes(), 1).intdigest()
-        out.append((lines[start][0], lines[end - 1][0], min(signed[start:end]), whole - (1 << 64) if whole >> 63 else whole, aside(start - 1, -1), aside(end, 1)))
+        out.add((start, end - 1))
         held -= size[start]
-    return out
+    held, start = 0, n - 1
+    for end in range(n - 1, -1, -1):  # counted back from a last line
+        while start >= 0 and held < words:
+            held += size[start]
+            start -= 1
+        if held < words:
+            break
+        out.add((start + 1, end))
+        held -= size[end]
+    return sorted(out)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, tid, first, last, fp, whole, before, after); one narrow pass."""
+def selected(text: str, words: int = WORDS) -> list[tuple]:
+    """(line hash, firsts, lasts, hashes) of each selected line: the windows that select it, by line numbers, and the hash of each."""
+    lines = [(i, x.rstrip()) for i, x in enumerate(text.encode().split(b"\n")) if x.strip()]
+    h = np.array([xxhash.xxh64_intdigest(x) for _, x in lines], np.uint64)
+    raw, ids = h.tobytes(), h.tolist()
+    found: dict[int, tuple] = {}
+    for a, b in spans_of([min(words, len(x.split(None, words))) for _, x in lines], words):
+        at = min(range(a, b + 1), key=ids.__getitem__)
+        row = found.setdefault(at, (ids[at], [], [], []))
+        for column, x in zip(row[1:], (lines[a][0], lines[b][0], xxhash.xxh64_intdigest(raw[8 * a : 8 * b + 8], b - a))):
+            column.append(x)
+    return list(found.values())
+
+
+def positions(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows (doc_id, tid, fp, first, last, whole), one per selected line; one narrow pass."""
+    signed = lambda xs: np.array(xs, np.uint64).view(np.int64)
 
     def run(batches):
         for b in batches:
             take, rows = [], []
             for i, text in enumerate(b.column("__text").to_pylist()):
-                got = line_windows(text)
+                got = selected(text, words)
                 take += [i] * len(got)
                 rows += got
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(take, pa.int64())) for k in ("doc_id", "tid")), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "tid", "first", "last", "fp", "whole", "before", "after"])
+            cut = pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]), pa.int32())
+            flat = lambda k: [x for r in rows for x in r[k]]
+            lists = [pa.ListArray.from_arrays(cut, pa.array(flat(k), pa.int32())) for k in (1, 2)] + [pa.ListArray.from_arrays(cut, pa.array(signed(flat(3))))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(take, pa.int64())) for k in ("doc_id", "tid")), pa.array(signed([r[0] for r in rows])), *lists], ["doc_id", "tid", "fp", "first", "last", "whole"])
 
-    return docs.select("doc_id", F.xxhash64("__text").alias("tid"), "__text").mapInArrow(run, "doc_id long, tid long, first int, last int, fp long, whole long, before array<long>, after array<long>")
+    return docs.select("doc_id", F.xxhash64("__text").alias("tid"), "__text").mapInArrow(run, "doc_id long, tid long, fp long, first array<int>, last array<int>, whole array<long>")
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def repeated_runs(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows (doc_id, tid, a, b): lines a to b, counted from 0, repeat what came earlier."""
-    win = stage(spark, windows(docs), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "first", "before", "after")
-    known = win.groupBy("fp", "whole").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = stage(spark, known, "lines-known")  # a join whose sides are only dealt out can be split at a hot line
-    common = lambda a, b: F.expr(f"size(filter(transform(sequence(1, greatest(1, least(size({a}), size({b})))), k -> slice({a}, 1, k) = slice({b}, 1, k) AND k <= least(size({a}), size({b}))), x -> x))")
-    hits = win.join(known, ["fp", "whole"]).where(~(F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("tid") == F.col("o.tid")) & (F.col("first") == F.col("o.first"))))
-    # how many lines with a word the match is extended by, to either side
-    return hits.select("doc_id", "tid", F.col("first").alias("a"), F.col("last").alias("b"), common("before", "o.before").alias("more_a"), common("after", "o.after").alias("more_b"))
+    chosen = stage(spark, positions(docs, words), "lines")
+    met = chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    met = stage(spark, met, "lines-met")  # a join whose sides are only dealt out can be split at a hot line
+    windows = chosen.join(met, "fp").select("doc_id", "tid", "fp", F.explode(F.arrays_zip("first", "last", "whole")).alias("w"))
+    windows = stage(spark, windows.select("doc_id", "tid", "fp", "w.*"), "lines-windows")
+    done_with(spark, chosen, met)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "first")
+    known = windows.groupBy("fp", "whole").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = stage(spark, known, "lines-known")
+    hits = windows.join(known, ["fp", "whole"]).where(~(F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("tid") == F.col("o.tid")) & (F.col("first") == F.col("o.first"))))
+    return hits.select("doc_id", "tid", F.col("first").alias("a"), F.col("last").alias("b"))
 
 
 def _removed(text: str, spans: list[dict]) -> list[bool]:
-    raw = text.split("\n")
-    worded = [i for i, x in enumerate(raw) if x.encode().strip()]
-    at = {i: k for k, i in enumerate(worded)}
-    gone = [0] * (len(raw) + 1)
-    for s in spans:
-        a = worded[at[s["a"]] - s["more_a"]]
-        b = worded[at[s["b"]] + s["more_b"]]
-        gone[a] += 1
-        gone[b + 1] -= 1
-    return (np.cumsum(gone[:-1]) > 0).tolist()
-
-
-def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` less its repeated runs, and __lines, __removed, __spans. Null texts stay null."""
+    """Whether each line goes; one without a word goes if the lines with words on both its sides go."""
+    worded = np.array([bool(x.encode().strip()) for x in text.split("\n")])
+    edge = np.zeros(len(worded) + 1, np.int64)
+    np.add.at(edge, [s["a"] for s in spans], 1)
+    np.add.at(edge, [s["b"] + 1 for s in spans], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    at = np.flatnonzero(worded)
+    after = np.searchsorted(at, np.arange(len(worded)))  # the next line with a word, or this
+    inside = ~worded & (after > 0) & (after < len(at))
+    gone[inside] = gone[at[after[inside] - 1]] & gone[at[after[inside]]]
+    return (gone & (worded | inside)).tolist()
+
+
+def dedup(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with ``text`` less its repeated runs of ``words`` words or more, and __lines, __removed, __spans.
+
+    Null texts stay null; texts without a word are as they were; other columns
+    are passed through, except that names beginning with __ are the operator's.
+    """
     names = docs.columns
     keyed = docs.withColumn("__text", text_of()).withColumn("__doc", F.col("doc_id").cast("long"))
-    runs = repeated_runs(spark, keyed.select(F.col("__doc").alias("doc_id"), "__text"))
-    spans = runs.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("a", "b", "more_a", "more_b")).alias("__s"))  # bounded by the lines of one document
+    runs = repeated_runs(spark, keyed.select(F.col("__doc").alias("doc_id"), "__text"), words)
+    spans = runs.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("a", "b")).alias("__s"))  # bounded by the lines of one document
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"), "__s")
     both = keyed.withColumn("__tid", F.xxhash64("__text")).join(spans, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__tid") == F.col("__t")), "left").select(*names, "__s")
 
