@@ -3,36 +3,46 @@
 Equal strings are brought together by content, never by sorting the corpus in
 one place. Of each string of SIZE bytes the least hash of its GRAM-byte pieces
 is its anchor, so equal strings have equal anchors at equal places. Consecutive
-strings with one anchor are a run. A run is known by (anchor, digest of its
-bytes); an anchor met once is dropped after a count that combines on the map
-side, which leaves a small part of a corpus.
-
-* A run met more than once is repeated whole.
-* Of the other runs with a shared anchor, the strings that are shared have to
-  be found. The distinct runs of an anchor are compared by prefix polynomial
-  hashes: binary search over them gives the common extension of two positions
-  in a logarithmic number of steps. Few runs are extended around their anchor
-  pair by pair; many are put in order, all their strings (suffixes) of one place
-  at a time, by a mergesort whose comparisons are such extensions, and equal
-  neighbours are the repeats. Bytes of equal ones are compared before they count.
-
-A hot anchor (a passage that many documents share) is one row per distinct run.
+strings with one anchor are a run. Anchors that only one text has, at one
+place, are dropped after an aggregation that combines on the map side, which
+leaves a small part of a corpus. The runs around each other anchor are cut out
+of the texts and put in order by prefix polynomial hashes: binary search over
+them gives the common extension of two positions in a logarithmic number of
+steps, a mergesort whose comparisons are such extensions sorts all strings
+(suffixes) of one place, and equal neighbours are the repeats. Of two runs the
+sort is one comparison to either side. Every repeat is compared on its bytes
+before it counts.
+
+Texts are known by 128 bits of their SHA-256; copies of a whole text need no
+more than that, and are cut once.
+
+A hot anchor (a passage that many documents share) is dealt out in chunks of
+CHUNK runs. A chunk settles runs that are equal in it, and hands one of each on
+to the next round, under two narrower anchors: the bytes common to the strings
+that have the anchor in their first half, and to those that have it in their
+second. So a group shrinks by CHUNK where runs are equal and is split where
+they differ, until it is one chunk; no task ever holds more.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, read_table, stage, text_of
+from .common import done_with, read_table, stage, text_of
 
 SIZE, GRAM = 200, 32
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers never vanish
-#: Runs of an anchor that are extended pair by pair; more are sorted.
-FEW = 6
+#: Runs of one anchor that a task holds at a time.
+CHUNK = 2048
+#: Bytes of runs whose sorts go together.
+TOGETHER = 1_000_000
+WIDEST = SIZE - GRAM  # the last place that an anchor can have in a string
 
 
 _known: dict[int, np.ndarray] = {}
@@ -83,26 +93,46 @@ def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] |
     return h[at], at, first, np.r_[first[1:], n - SIZE + 1] - 1
 
 
+def _packed(raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """Anchor hash of each run, and its first start, number of further starts and anchor's place in one number."""
+    got = runs(raw)
+    if got is None:
+        return None
+    a, at, s, e = got
+    return a.view(np.int64), s << 16 | e - s << 8 | at - s
+
+
+def _each(batches, of):
+    """Row numbers in the batch and columns of all runs of its texts."""
+    for b in batches:
+        take, cols = [], []
+        for i, text in enumerate(b.column("__text")):
+            if (got := _packed(text.as_py().encode())) is not None:
+                take.append(np.full(len(got[0]), i))
+                cols.append(got)
+        if take:
+            yield of(b, np.concatenate(take), *map(np.concatenate, zip(*cols)))
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """Rows (a, n): anchors that have more than one place, a place in a copy of a text being the same; n counts copies too."""
+
+    def of(b, take, a, where):
+        u = b.column("u").to_numpy()[take].view(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(_mix(u ^ _mix(where.view(np.uint64))).view(np.int64))], ["a", "k"])
+
+    places = docs.select("u", "__text").mapInArrow(lambda batches: _each(batches, of), "a long, k long")
+    return places.groupBy("a").agg(F.count("*").alias("n"), F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("a", "n")
+
+
 def all_runs(docs: DataFrame) -> DataFrame:
-    """Rows (uid, a, r, s, e, o): anchor hash, run digest, first and last start, anchor's place in the run."""
+    """Rows (a, u, v, place): every run of every text."""
 
-    def run(batches):
-        for b in batches:
-            take, cols, digests = [], [], []
-            for i, text in enumerate(b.column("__text").to_pylist()):
-                raw = text.encode()
-                got = runs(raw)
-                if got is not None:
-                    a, at, s, e = got
-                    take.append(np.full(len(a), i))
-                    cols.append((a.view(np.int64), s, e, at - s))
-                    d = xxhash.xxh64_intdigest
-                    digests += [d(raw[x : y + SIZE]) for x, y in zip(s.tolist(), e.tolist())]
-            if take:
-                a, s, e, o = map(np.concatenate, zip(*cols))
-                yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(np.concatenate(take))), pa.array(a), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(o.astype(np.int16))], ["uid", "a", "r", "s", "e", "o"])
+    def of(b, take, a, where):
+        rows = pa.array(take)
+        return pa.RecordBatch.from_arrays([pa.array(a), b.column("u").take(rows), b.column("v").take(rows), pa.array(where)], ["a", "u", "v", "place"])
 
-    return docs.select("uid", "__text").mapInArrow(run, "uid long, a long, r long, s int, e int, o short")
+    return docs.select("u", "v", "__text").mapInArrow(lambda batches: _each(batches, of), "a long, u long, v long, place long")
 
 
 class Texts:
@@ -181,155 +211,196 @@ class Texts:
         return at
 
 
-def shared_by_few(groups: list[tuple[list[int], list[bytes]]]) -> list[list[list[tuple[int, int]]]]:
-    """Of many anchors with few distinct runs each: per run the starts, as ranges, of strings that another run of its anchor has too.
+def _windows_of(o: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start, in a run, of strings that have the anchor at places lo to hi."""
+    return np.maximum(0, o - hi), np.minimum(size - SIZE, o - lo)
 
-    All pairs of all these anchors are extended at once.
-    """
-    t = Texts([p for _, pieces in groups for p in pieces])
-    o = np.array([x for offsets, _ in groups for x in offsets])
-    last = np.array([len(p) for _, pieces in groups for p in pieces]) - SIZE  # the last start in each run
-    pairs, at = [], 0
-    for offsets, _ in groups:
-        pairs += [(at + a, at + b) for a in range(len(offsets)) for b in range(a + 1, len(offsets))]
-        at += len(offsets)
-    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+
+def shared_strings(groups: list[tuple[int, int, list[tuple[bytes, int]]]]) -> list[list[tuple[int, int]]]:
+    """Of many anchors' distinct runs, (lo, hi, [(bytes, anchor's place)]): per run the starts, as ranges, of strings that another run of its anchor has too."""
+    flat = [(g, lo, hi, piece, o) for g, (lo, hi, rows) in enumerate(groups) for piece, o in rows]
+    of, lo, hi, o = (np.array([f[i] for f in flat], np.int64) for i in (0, 1, 2, 4))
+    t = Texts([f[3] for f in flat])
+    first, last = _windows_of(o, lo, hi, np.diff(np.r_[t.begin, t.n]))
+    found: list[list[tuple[int, int]]] = [[] for _ in flat]
+    members = np.bincount(of, minlength=len(groups))
+    # two runs: extended around the anchor, once to either side
+    i = np.flatnonzero(np.r_[of[1:] == of[:-1], False] & (members[of] == 2))
+    j = i + 1
     x, y = t.begin[i] + o[i], t.begin[j] + o[j]
-    left = t.back(x, y, np.minimum(o[i], o[j]))
+    left = t.back(x, y, np.minimum(o[i] - first[i], o[j] - first[j]))
     right = t.ahead(x, y, np.minimum(last[i] + SIZE - o[i], last[j] + SIZE - o[j]))
-    # strings that begin at most left before the anchor, and end at most right after its start
-    first, end = x - left, x + right - SIZE
-    ok = first <= end
-    ok[ok] = t.same(first[ok], (y - left)[ok]) & t.same(end[ok], (y + right - SIZE)[ok])
-    flat: list[list[tuple[int, int]]] = [[] for _ in range(at)]
-    own = o.tolist()
+    ok = (left + right >= SIZE) & (lo[i] <= left) & (SIZE - hi[i] <= right)
+    ok[ok] = t.same((x - left)[ok], (y - left)[ok]) & t.same((x + right - SIZE)[ok], (y + right - SIZE)[ok])
     for a, b, before, upto in zip(i[ok].tolist(), j[ok].tolist(), left[ok].tolist(), (right - SIZE)[ok].tolist()):
-        flat[a].append((own[a] - before, own[a] + upto))
-        flat[b].append((own[b] - before, own[b] + upto))
-    ends = np.cumsum([len(offsets) for offsets, _ in groups]).tolist()
-    return [flat[e - len(offsets) : e] for e, (offsets, _) in zip(ends, groups)]
-
-
-def shared_strings(pieces: list[bytes], offsets: list[int]) -> list[list[tuple[int, int]]]:
-    """The same for one anchor with any number of distinct runs."""
-    if len(pieces) <= FEW:
-        return shared_by_few([(offsets, pieces)])[0]
-    t, g = Texts(pieces), len(pieces)
-    o = np.array(offsets)
-    last = np.array(list(map(len, pieces))) - SIZE
-    found: list[list[int]] = [[] for _ in range(g)]
-    owner = np.searchsorted(t.begin, np.arange(t.n), "right") - 1
-    for step in range(0, SIZE - GRAM + 1, 16):  # places of the anchor in the string, some at a time
-        place = np.arange(step, min(step + 16, SIZE - GRAM + 1))
-        start = o[None, :] - place[:, None]
-        ok = (start >= 0) & (start <= last[None, :])
-        at, bucket = (t.begin[None, :] + start)[ok], np.broadcast_to(place[:, None], ok.shape)[ok]
-        if len(at) < 2:
-            continue
+        for q in (a, b):
+            r = max(int(first[q]), int(o[q]) - before), min(int(last[q]), int(o[q]) + upto)
+            if r[0] <= r[1]:
+                found[q].append(r)
+    # more: all strings of one anchor and place are sorted; equal neighbours are the repeats
+    many = np.flatnonzero((members[of] > 2) & (first <= last))
+    count = (last - first + 1)[many]
+    run = np.repeat(many, count)
+    start = np.repeat(first[many], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    bucket = of[run] * (WIDEST + 1) + o[run] - start
+    order = np.argsort(bucket, kind="stable")
+    size = np.bincount(bucket, minlength=1)
+    order = order[size[bucket[order]] > 1]
+    if len(order):
+        at, bucket = (t.begin[run] + start)[order], bucket[order]
         at = t.merge_sort(at, bucket)
         pair = np.flatnonzero(bucket[1:] == bucket[:-1])
         pair = pair[t.ahead(at[pair], at[pair + 1], np.full(len(pair), SIZE)) == SIZE]
         pair = pair[t.same(at[pair], at[pair + 1])]
-        for p in np.unique(np.r_[at[pair], at[pair + 1]]).tolist():
-            found[owner[p]].append(int(p - t.begin[owner[p]]))
-    return [_ranges(sorted(f)) for f in found]
-
-
-def _ranges(starts: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s in starts:
-        if out and s == out[-1][1] + 1:
-            out[-1] = (out[-1][0], s)
-        else:
-            out.append((s, s))
-    return out
+        hit = np.unique(np.r_[at[pair], at[pair + 1]])
+        owner = np.searchsorted(t.begin, hit, "right") - 1
+        cut = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[1:] != owner[:-1])]) if len(hit) else []
+        for k, n in zip(cut, [*cut[1:], len(hit)]):
+            q = owner[k]
+            found[q].append((int(hit[k] - t.begin[q]), int(hit[n - 1] - t.begin[q])))
+    return found
+
+
+def narrower(a: int, lo: int, hi: int, piece: bytes, o: int):
+    """The run under two anchors of half the places each: (a, lo, hi, bytes cut off, bytes, place). One place is left as it is."""
+    mid = (lo + hi) // 2
+    for x, y in ((lo, mid), (mid + 1, hi)) if lo < hi else ((lo, hi),):
+        first, last = max(0, o - y), min(len(piece) - SIZE, o - x)
+        if first <= last:
+            context = piece[o - x : o - y + SIZE]  # what all strings with the anchor at places x to y have in common
+            yield xxhash.xxh64_intdigest(context + struct.pack("<qhh", a, x, y)) - (1 << 63), x, y, first, piece[first : last + SIZE], o - first
+
 
+_ROW = {"a": pa.int64(), "u": pa.int64(), "v": pa.int64(), "s": pa.int32(), "e": pa.int32(), "lo": pa.int16(), "hi": pa.int16(), "o": pa.int16(), "known": pa.bool_(), "piece": pa.binary()}
+_SCHEMA = "a long, u long, v long, s int, e int, lo short, hi short, o short, known boolean, piece binary"
 
-def _compare(batches, most_bytes: int = 2_000_000):
-    """Rows (a, r, o, bytes) sorted by a: rows (a, r, first, end) of shared starts."""
-    now, held = None, {}
-    waiting: list = []  # anchors with few runs, compared together
+
+def _settle(batches):
+    """Rows of runs sorted by (a, c): repeated strings, as rows without a piece, and the runs that a chunk of several hands on."""
+    now, held, chunks = None, {}, 1
+    waiting: list = []  # anchors whose sorts go together
     size, out = 0, []
 
+    def repeated(owner, first, last):
+        u, v, s, known = owner
+        if not known:
+            out.append((None, u, v, s + first, s + last + SIZE, None, None, None, None, None))
+
     def flush():
         nonlocal size
         if waiting:
-            for (a, keys, _, _), found in zip(waiting, shared_by_few([w[2:] for w in waiting])):
-                out.extend((a, k, x, y) for k, ranges in zip(keys, found) for x, y in ranges)
+            found = iter(shared_strings([w[:3] for w in waiting]))
+            for _, _, rows, owners in waiting:
+                for (_, _), owner, ranges in zip(rows, owners, found):
+                    for x, y in ranges:
+                        repeated(owner, x, y)
         waiting.clear()
         size = 0
 
-    def done():
+    def close():
         nonlocal size
-        if len(held) < 2:
+        if not held:
             return
-        keys, offsets, pieces = list(held), [o for o, _ in held.values()], [p for _, p in held.values()]
-        if len(keys) > FEW:
-            out.extend((now, k, x, y) for k, ranges in zip(keys, shared_strings(pieces, offsets)) for x, y in ranges)
-            return
-        waiting.append((now, keys, offsets, pieces))
-        size += sum(map(len, pieces))
-        if size > most_bytes:
-            flush()
+        a, _, lo, hi = now
+        for (piece, o), owners in held.items():
+            if len(owners) > 1:  # the same bytes, compared as keys
+                first, last = max(0, o - hi), min(len(piece) - SIZE, o - lo)
+                for owner in owners if first <= last else ():
+                    repeated(owner, first, last)
+        if chunks > 1:
+            for (piece, o), owners in held.items():
+                u, v, s, known = owners[0]
+                out.extend((k, u, v, s + cut, None, x, y, at, known or len(owners) > 1, p) for k, x, y, cut, p, at in narrower(a, lo, hi, piece, o))
+        elif len(held) > 1 and any(len(x) == 1 and not x[0][3] for x in held.values()):
+            waiting.append((lo, hi, list(held), [(*x[0][:3], x[0][3] or len(x) > 1) for x in held.values()]))
+            size += sum(len(p) for p, _ in held)
+            if size > TOGETHER:
+                flush()
 
     def batch():
-        cols = list(zip(*out)) if out else [()] * 4
-        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "r", "x", "y"])
+        made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(_ROW.values())], list(_ROW))
         out.clear()
         return made
 
     for b in batches:
-        for a, r, o, piece in zip(*(b.column(c).to_pylist() for c in ("a", "r", "o", "piece"))):
-            if a != now:
-                done()
-                now, held = a, {}
-            held.setdefault(r, (o, piece))
+        for a, c, k, u, v, s, lo, hi, o, known, piece in zip(*(b.column(x).to_pylist() for x in ("a", "c", "k", "u", "v", "s", "lo", "hi", "o", "known", "piece"))):
+            if (a, c, lo, hi) != now:
+                close()
+                now, held, chunks = (a, c, lo, hi), {}, k
+            held.setdefault((piece, o), []).append((u, v, s, known))
         yield batch()
-    done()
+    close()
     flush()
     yield batch()
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows (uid, b, e): bytes b to e (exclusive) of ``docs(uid, __text)`` are under a repeated string."""
-    rows = stage(spark, all_runs(docs), "suffix-runs")
-    # written before it is joined: a join whose sides are only dealt out can be split where an anchor is hot
-    common = stage(spark, rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "suffix-common")
-    rows = stage(spark, rows.join(common, "a", "left_semi"), "suffix-shared")
-    kinds = rows.groupBy("a", "r").agg(F.count("*").alias("n"), F.min(F.struct("uid", "s", "e", "o")).alias("one"))
-    kinds = stage(spark, kinds, "suffix-kinds")
-    # anchors with several distinct runs, of which one or more is met once
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("a")
-    wanted = kinds.join(mixed, "a", "left_semi").select("a", "r", "one.*")
-    wanted = wanted.groupBy("uid").agg(F.collect_list(F.struct("a", "r", "s", "e", "o")).alias("want"))  # bounded by one document
-
-    def cut(batches):
+def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The runs that are wanted of each text, cut out of it; of copies that stand together the first is cut."""
+
+    def run(batches):
+        last = None
         for b in batches:
             out = []
-            for text, want in zip(b.column("__text").to_pylist(), b.column("want").to_pylist()):
-                raw = text.encode()
-                out += [(w["a"], w["r"], w["o"], raw[w["s"] : w["e"] + SIZE]) for w in want]
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int16(), pa.binary()))], ["a", "r", "o", "piece"])
+            for u, v, text, want in zip(*(b.column(c) for c in ("u", "v", "__text", "want"))):
+                u, v = u.as_py(), v.as_py()
+                if (u, v) == last:
+                    continue
+                last, raw = (u, v), text.as_py().encode()
+                for w in want.as_py():
+                    s, more, o = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
+                    out.append((w["a"], u, v, s, None, 0, WIDEST, o, False, raw[s : s + more + SIZE], w["k"]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate([*_ROW.values(), pa.int64()])], [*_ROW, "k"])
 
-    pieces = docs.join(wanted, "uid").select("__text", "want").mapInArrow(cut, "a long, r long, o short, piece binary")
-    pieces = pieces.repartition(parts(spark, 4), "a").sortWithinPartitions("a")
-    shared = stage(spark, pieces.mapInArrow(_compare, "a long, r long, x int, y int"), "suffix-strings")
-    whole = rows.join(kinds.where("n > 1").select("a", "r"), ["a", "r"], "left_semi").select("uid", F.col("s").alias("b"), (F.col("e") + SIZE).alias("e"))
-    partly = rows.join(shared, ["a", "r"]).select("uid", (F.col("s") + F.col("x")).alias("b"), (F.col("s") + F.col("y") + SIZE).alias("e"))
-    return whole.unionByName(partly)
+    return docs.join(wanted, ["u", "v"]).select("u", "v", "__text", "want").mapInArrow(run, _SCHEMA + ", k long")
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows (u, v, b, e): bytes b to e (exclusive) of the texts of ``docs(u, v, __text)`` are under a string that another text or place has."""
+    # written before it is joined: a join whose sides are only dealt out can be split where an anchor is hot
+    met = stage(spark, anchors(docs), "suffix-met")
+    shared = stage(spark, all_runs(docs).join(met, "a"), "suffix-shared")
+    most = met.agg(F.max("n")).first()[0] or 0
+    done_with(spark, met)
+    chunks = shared.withColumn("k", F.lit(1).cast("long"))
+    if most > CHUNK:  # copies of a text are one run; only what is left is chunked
+        hot = shared.where(F.col("n") > CHUNK).select("a", "u", "v", "place").distinct().groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+        chunks = shared.join(stage(spark, hot, "suffix-hot"), "a", "left").withColumn("k", F.coalesce("k", F.lit(1)).cast("long"))
+    wanted = chunks.groupBy("u", "v").agg(F.collect_set(F.struct("a", "k", "place")).alias("want"))  # bounded by one document
+    rows, found = _pieces(docs, wanted), []
+    for turn in range(100):
+        dealt = rows.withColumn("c", F.pmod(F.xxhash64("u", "v", "s", F.lit(turn)), F.col("k")).cast("int"))
+        out = stage(spark, dealt.repartition("a", "c").sortWithinPartitions("a", "c", "lo", "hi").mapInArrow(_settle, _SCHEMA), f"suffix-strings{turn}")
+        found.append(out.where("piece IS NULL").select("u", "v", F.col("s").alias("b"), "e"))
+        if turn == 0:
+            done_with(spark, shared)
+            if most <= CHUNK:
+                break
+        left = out.where("piece IS NOT NULL")
+        counts = stage(spark, left.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("k")), f"suffix-left{turn}")
+        if counts.isEmpty():
+            break
+        rows = left.join(counts, "a")
+    else:
+        raise RuntimeError("an anchor's runs are still not settled")
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """Rows that agree in doc_id and text share a uid; they repeat each other, so they share their spans too."""
-    return docs.withColumn("__text", text_of()).withColumn("uid", F.xxhash64("doc_id", "__text"))
+    """With the text, null as empty, and 128 bits of its SHA-256 in two numbers."""
+    sha = F.sha2("__text", 256)
+    half = lambda at: F.conv(F.substring(sha, at, 16), 16, -10).cast("long")
+    return docs.withColumn("__text", text_of()).withColumns({"u": half(1), "v": half(17)})
 
 
 def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows (doc_id, kept binary, n_bytes, n_removed, n_spans): the bytes left of each text."""
-    own = _identified(docs.select("doc_id", "text")).select("doc_id", "uid", "__text")
-    spans = repeated_spans(spark, own.select("uid", "__text"))
-    spans = spans.groupBy("uid").agg(F.flatten(F.collect_list(F.array("b", "e"))).alias("spans"))  # bounded by one document
+    own = _identified(docs.select("doc_id", "text")).select("doc_id", "u", "v", "__text")
+    spans = repeated_spans(spark, own.select("u", "v", "__text"))
+    copies = own.groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v", F.lit(0).alias("b"), F.lit(2**31 - 1).alias("e"))
+    spans = spans.unionByName(copies).groupBy("u", "v").agg(F.flatten(F.collect_set(F.array("b", "e"))).alias("spans"))  # bounded by one document
 
     def run(batches):
         for b in batches:
@@ -338,10 +409,10 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 raw = text.encode()
                 gone = 0
                 k = 0
-                if s:
+                if s and len(raw) >= SIZE:
                     edge = np.zeros(len(raw) + 1, np.int32)
                     np.add.at(edge, s[0::2], 1)
-                    np.add.at(edge, s[1::2], -1)
+                    np.add.at(edge, np.minimum(s[1::2], len(raw)), -1)
                     under = np.cumsum(edge[:-1]) > 0
                     gone, k = int(under.sum()), int(under[0]) + int((under[1:] & ~under[:-1]).sum())
                     left = np.frombuffer(raw, np.uint8)[~under].tobytes()
@@ -353,7 +424,7 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.join(spans, "uid", "left").select("doc_id", "__text", "spans").mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return own.join(spans, ["u", "v"], "left").select("doc_id", "__text", "spans").mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

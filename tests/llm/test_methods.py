@@ -187,23 +187,6 @@ def test_lines_remove_later_runs(spark):
     assert got[1].text == docs[0][1] and got[2].text == "unlike\nelse" and got[3].text == docs[2][1] and got[4].text.strip() == ""
 
 
-@pytest.mark.parametrize("few", [6, 1])
-def test_suffix_like_brute_force(spark, docs, few, monkeypatch):
-    monkeypatch.setattr(suffix, "FEW", few)
-    got = {r.doc_id: r for r in suffix.op9_suffix(spark, SF).collect()}
-    seen = Counter(t.encode()[i : i + 200] for _, t in docs for i in range(len(t.encode()) - 199))
-    for k, t in docs:
-        raw = t.encode()
-        edge = np.zeros(len(raw) + 1, int)
-        for i in range(len(raw) - 199):
-            if seen[raw[i : i + 200]] > 1:
-                edge[i] += 1
-                edge[i + 200] -= 1
-        under = np.cumsum(edge[:-1]) > 0
-        left = np.frombuffer(raw, np.uint8)[~under].tobytes()
-        assert (got[k].n_bytes, got[k].n_removed, got[k].kept_sha256) == (len(raw), int(under.sum()), hashlib.sha256(left).hexdigest())
-
-
 def test_suffix_sort_orders_by_content():
     rng = np.random.default_rng(0)
     pieces = [bytes(rng.integers(97, 99, 230, dtype=np.uint8)) for _ in range(9)]
