@@ -6,14 +6,19 @@ within ``most`` bits differ by at most ``most`` in every coordinate, so a pair
 whose largest coordinate difference is above it is discarded unseen; survivors
 are verified on the fingerprints themselves.
 
-Tables are compared inside cells, never all against all. The 64 bits are cut
-into ``most + r`` blocks; two fingerprints within ``most`` bits agree on at
-least ``r`` whole blocks, so every pair that must link meets in the cell of
-some choice of r blocks: no link is lost. r grows with the number of distinct
-fingerprints, so that cells stay small at any size. A cell of more than
-``CELL`` rows is cut into chunks, and each pair of chunks is a task's work of
-its own. A cell yields a spanning forest of its links, not the links, so the
-output is linear in the rows even where thousands are mutually near.
+The table also says which pairs to look at, so that tables are never compared
+all against all. The pivots come in ``most + r`` groups, each with ones in a
+block of bits of its own, and the zero fingerprint is a pivot to all groups.
+How much nearer a fingerprint is to a pivot than to zero depends on the pivot's
+block alone; two fingerprints within ``most`` bits are alike in at least r
+blocks, hence in all coordinates of at least r groups. A cell is a choice of r
+groups and a value of all their coordinates: every pair that must link meets in
+a cell, and no link is lost. r grows with the number of distinct fingerprints,
+so that cells stay small at any size. The rows of cells of more than ``CELL``
+rows go to a finer table with two more groups; what is still hot in the finest
+is cut into chunks, and each pair of chunks is a task's work of its own. A cell
+yields a spanning forest of its links, not the links, so the output is linear
+in the rows even where thousands are mutually near.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from .common import components, parts, read_table, stage, text_of
 
 #: Rows of one cell compared in one piece; more are compared in chunks of so many.
 CELL = 1024
-#: Number of pivots. Each discards about half of unrelated pairs at 4 bits.
-PIVOTS = 24
+#: Groups that a cell is a choice of, at most.
+FINEST = 6
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -64,9 +69,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return df.select(key, text_of(text).alias("__text")).mapInArrow(run, T.StructType([df.schema[key], T.StructField("fp", T.LongType())]))
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Fixed reference fingerprints, spread by a multiplicative sequence."""
-    return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 7) for i in range(n)], np.uint64)
+def pivots(most: int, r: int) -> list[list[int]]:
+    """Groups of reference fingerprints: seeded bits in one block of the most + r that the 64 bits are cut into."""
+    n = most + r
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [[(xxhash.xxh64_intdigest(b"pivot %d" % i, 7) & ((1 << (y - x)) - 1)) << x for i in range(max(1, min(8, y - x - 2)))] for x, y in zip(cuts, cuts[1:])]
 
 
 def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -74,12 +81,13 @@ def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def _masks(most: int, r: int) -> list[int]:
-    """A mask for each choice of r of the most + r blocks."""
-    n = most + r
-    cuts = [64 * i // n for i in range(n + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return [sum(block[i] for i in chosen) for chosen in combinations(range(n), r)]
+def cells_of(rows: DataFrame, most: int, r: int) -> DataFrame:
+    """Rows (fp, id, m, cell): of each choice of r groups of pivots the coordinates there, as a hash."""
+    groups = pivots(most, r)
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))))
+    of_group = [F.xxhash64(*[distance(p) - F.bit_count("fp") for p in g]).alias(f"g{i}") for i, g in enumerate(groups)]
+    table = rows.select("fp", "id", *of_group)
+    return table.select("fp", "id", F.posexplode(F.array(*[F.xxhash64(*[f"g{i}" for i in chosen]) for chosen in combinations(range(len(groups)), r)])).alias("m", "cell"))
 
 
 def _signed(x: int) -> int:
@@ -88,7 +96,7 @@ def _signed(x: int) -> int:
 
 def choose_r(n: int, most: int) -> int:
     """The least r whose cells hold about one of n spread fingerprints."""
-    return next((r for r in range(1, 9) if n <= 2 ** (64 * r // (most + r) - 1)), 9)
+    return next((r for r in range(1, FINEST) if n <= 2 ** (64 * r // (most + r) - 1)), FINEST)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +137,8 @@ def cell_links(fp: np.ndarray, side: np.ndarray, most: int, refs: np.ndarray) ->
     return _forest(len(fp), np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.array([], int),) * 2
 
 
-def _link_batches(batches, most: int):
-    """Rows (mask_no, cell, pair, side, fp, id) sorted by cell: links (a, b) of ids."""
-    refs = pivots()
+def _link_batches(batches, most: int, refs: np.ndarray):
+    """Rows (m, cell, pair, side, fp, id) sorted by cell: links (a, b) of ids."""
     held: list[np.ndarray] = []
 
     def run(cols, final):
@@ -168,19 +175,26 @@ def _link_batches(batches, most: int):
 
 def link(spark: SparkSession, distinct: DataFrame, most: int = 4) -> DataFrame:
     """Links (a, b) of ids that span every component of ``distinct(fp, id)`` under at most ``most`` differing bits."""
-    distinct = stage(spark, distinct.select("fp", "id"), "simhash-fp")
-    masks = [_signed(m) for m in _masks(most, choose_r(distinct.count(), most))]
-    cells = distinct.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "cell"))
-    full = cells.groupBy("m", "cell").agg(F.count("*").alias("n")).where(f"n > 1 and n <= {CELL}").select("m", "cell")
-    hot = cells.groupBy("m", "cell").agg(F.count("*").alias("n")).where(f"n > {CELL}")
-    # ordinary cells meet as they are; a cell of one row is dropped before anything is sent to Python
-    plain = cells.join(full, ["m", "cell"]).select("m", "cell", F.lit(0).cast("long").alias("pair"), F.lit(2).alias("side"), "fp", "id")
-    chunk = (F.pmod(F.xxhash64("fp"), F.col("k"))).alias("c")
-    split = cells.join(hot, ["m", "cell"]).withColumn("k", F.ceil(F.col("n") / CELL)).select("m", "cell", "k", "fp", "id", chunk)
-    split = split.select("m", "cell", "fp", "id", "c", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("d"))
-    split = split.select("m", "cell", (F.least("c", "d") * F.col("k") + F.greatest("c", "d") + 1).alias("pair"), F.when(F.col("c") == F.col("d"), 2).when(F.col("c") < F.col("d"), 0).otherwise(1).alias("side"), "fp", "id")
-    work = plain.unionByName(split).repartition(parts(spark, 4), "m", "cell", "pair").sortWithinPartitions("m", "cell", "pair")
-    return work.mapInArrow(lambda batches: _link_batches(batches, most), "a long, b long")
+    rows = stage(spark, distinct.select("fp", "id"), "simhash-fp")
+    r, out = choose_r(rows.count(), most), None
+    while True:
+        cells, last = cells_of(rows, most, r), r + 2 > FINEST
+        # a cell of one row is dropped before anything is sent to Python
+        full = stage(spark, cells.groupBy("m", "cell").agg(F.count("*").alias("n")).where("n > 1"), f"simhash-cells{r}")
+        met = cells.join(full if last else full.where(F.col("n") <= CELL), ["m", "cell"]).withColumn("k", F.ceil(F.col("n") / CELL))
+        # chunk c of a cell meets each chunk d; a cell of one chunk is one pair of chunks
+        dealt = met.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k"))).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        pair = F.least("c", "d") * F.col("k") + F.greatest("c", "d")
+        side = F.when(F.col("c") == F.col("d"), 2).when(F.col("c") < F.col("d"), 0).otherwise(1)
+        work = dealt.select("m", "cell", pair.alias("pair"), side.alias("side"), "fp", "id").repartition(parts(spark, 4), "m", "cell", "pair").sortWithinPartitions("m", "cell", "pair")
+        refs = np.array([0, *(p for g in pivots(most, r) for p in g)], np.uint64)
+        found = work.mapInArrow(lambda batches, refs=refs: _link_batches(batches, most, refs), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        hot = full.where(F.col("n") > CELL)
+        if last or hot.isEmpty():
+            return out
+        rows = stage(spark, cells.join(hot.select("m", "cell"), ["m", "cell"]).select("fp", "id").distinct(), f"simhash-hot{r}")
+        r += 2
 
 
 def classes(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:

@@ -77,20 +77,30 @@ def test_simhash_links_all(spark, cell, monkeypatch):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
-def test_simhash_fingerprint_matches_definition(spark, docs):
-    from pyspark.sql import functions as F
+def test_simhash_fingerprint_like_a_plain_loop(spark, docs):
+    import xxhash
 
-    h = spark.createDataFrame([("a b c d",)], "s string").select(F.xxhash64("s")).first()[0]
-    assert simhash._signed(simhash.fingerprint("A  b\nC\td")) == h
-    assert simhash.fingerprint(" \n") == 0
-
-
-def test_pivots_never_discard_a_link():
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    y = x ^ np.uint64(0b1111)
-    t, u = simhash.pivot_table(x, simhash.pivots()), simhash.pivot_table(y, simhash.pivots())
-    assert np.abs(t - u).max() <= 4
+    got = {r.doc_id: r.fingerprint for r in simhash.op2_simhash(spark, SF).collect()}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+        assert got[i] == f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
+
+
+@pytest.mark.parametrize("r", [1, 3, 6])
+def test_pivot_cells_and_tables_lose_no_link(spark, r):
+    """Of pairs 4 bits apart every one shares a cell, and no coordinate differs by more; most random pairs share none."""
+    rng = np.random.default_rng(r)
+    x = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    y = np.array([int(v) ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for v in x], np.uint64)
+    refs = np.array([p for g in simhash.pivots(4, r) for p in g], np.uint64)
+    assert np.abs(simhash.pivot_table(x, refs) - simhash.pivot_table(y, refs)).max() <= 4
+    rows = [(simhash._signed(int(v)), i) for i, v in enumerate(x)] + [(simhash._signed(int(v)), 1000 + i) for i, v in enumerate(y)]
+    cells: dict = {}
+    for row in simhash.cells_of(spark.createDataFrame(rows, "fp long, id long"), 4, r).collect():
+        cells.setdefault(row.id, set()).add((row.m, row.cell))
+    assert all(cells[i] & cells[1000 + i] for i in range(300))
+    assert np.mean([bool(cells[i] & cells[j]) for i in range(300) for j in range(i)]) < 0.01
 
 
 def test_components_on_a_long_path(spark):
