@@ -58,6 +58,20 @@ STOP_KEY = r"(?:STOP\s*LOSS|STOPLOSS|S\.L\.?|S/L|CBSL|SL)"
 OPTION = rf"(?<![\d.])({NUM})\s*(?:STRIKE\s*)?(CE|PE|CALLS?|PUTS?)\b"
 STOP_LEVEL = rf"\b{STOP_KEY}\s*(?:PRICE|LEVEL)?\s*[:=>.\-@]*\s*(?:AT|BELOW|ABOVE|NEAR|OF|IS|JUST)?\s*[:=-]?\s*({NUM})"
 TARGET_LEVEL = rf"\b{TARGET_KEY}\s*(?:[123]\s*[:=)\-]\s*|[123]\s+(?=\d))?(?:PRICE)?[\s:=>.\-]*((?:{NUM}\+*\s*(?:[/,&\-]+|\bTO\b|\bAND\b)?\s*){{1,8}})"
+SOFT_TARGET_KEY = "(?:VIEW|EXPECTING|EXPECTED|RESISTANCE|UPSIDE)"
+SOFT_STOP_KEY = "(?:SUPPORT)"
+TRADE_HEAD = r"\b(?:TRADE|IDEA|RECOMMENDATION|INTRADAY|BTST|SWING|POSITIONAL|DELIVERY)\b"
+AWAY = r"(\s*(?:POINTS?|PTS?)\b|\s*(?:-\s*\d+(?:\.\d+)?\s*)?%)?"
+NOT_PRICE = rf"(?!\s*(?:ST|ND|RD|TH|SHARES?|LOTS?|QTY|QUANTITY|DAYS?|WEEKS?|MONTHS?|MINS?|MINUTES?|HRS?|EMA|SMA|DMA|TF|PTS?|POINTS?|{MONTH[1:-1]})\b)(?!\s*%)"
+SEP = r"\s*(?:OF|IS)?\s*[@:=-]?\s*"
+SPAN = rf"({NUM}){NOT_PRICE}(?:\s*(?:-+|TO|/|&|AND)\s*({NUM}))?"
+ENTRY_ABOVE = (rf"\b(?:ABOVE|ABV|OVER|CROSS(?:ES|ING)?){SEP}{SPAN}", rf"(?<![\d.])({NUM})\s*ABOVE\b")
+ENTRY_BELOW = (rf"\b(?:BELOW|BLW|UNDER){SEP}{SPAN}", rf"(?<![\d.])({NUM})\s*BELOW\b")
+ENTRY_AT = (rf"(?:@|\b(?:AT|NEAR|NR|AROUND|ENTRY|RANGE|BETWEEN|PRICE|ZONE|LEVEL)\b)\s*(?:PRICE|RANGE|ZONE|LEVEL)?{SEP}{SPAN}", rf"\b(?:CMP|LTP){SEP}{SPAN}", rf"(?<![A-Z0-9.]){SPAN}(?![A-Z0-9])")
+TARGETS_AFTER_TO = rf"\b(?:ABOVE|BELOW|AT|@|CMP)\s*{NUM}\s*(?:TO|FOR)\s+((?:{NUM}\+*\s*[/,\-]?\s*){{2,6}})"
+DAY_MONTH = rf"(?<![\d.])(\d{{1,2}})\s*(?:ST|ND|RD|TH)?[\s.-]*{MONTH}"
+MONTH_DAY = rf"\b{MONTH}\s*(\d{{1,2}})\b(?!\d)"
+MONTH_ONLY = (rf"\b{MONTH}\b", rf"\b{MONTH}\s+(?:EXPIRY|EXP|SERIES|CONTRACT)\b", rf"\b(?:EXPIRY|EXP|MONTHLY)\s*[:=-]?\s*{MONTH}\b")
 RUNNING = rf"\bCMP(?:\s+PRICE)?\W{{0,6}}({NUM})\W{{1,8}}{NUM}\W{{0,3}}(?:POINTS?|PTS)\b"
 MOVE = rf"(?<![\d.])({NUM})\s*(?:TO|>+|-+>)\s*({NUM})(?![\d.])"
 CLAIM_A = r"(\d{2,3}(?:\.\d+)?)\s*%\s*(?:\+\s*)?(?:ACCURACY|ACCURATE|SUCCESS|WIN|STRIKE\s*RATE|SURE|GUARANTEE)"
@@ -72,6 +86,21 @@ SWING = r"\bSWING\b|\bSHORT\s?TERM\b|\b\d+\s*(?:-\s*\d+\s*)?DAYS?\b"
 ENTITIES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "))
 
 
+def target_level(soft: bool) -> str:
+    """A target's numbers (group 1), and whether they are points or percent away (group 2)."""
+    key = f"(?:{TARGET_KEY}|{SOFT_TARGET_KEY})" if soft else TARGET_KEY
+    return rf"\b{key}\s*(?:[123]\s*[:=)\-]\s*|[123]\s+(?=\d))?(?:PRICE)?[\s:=>.\-]*((?:{NUM}\+*\s*(?:[/,&\-]+|\bTO\b|\bAND\b)?\s*){{1,8}}){AWAY}"
+
+
+def stop_level(soft: bool) -> str:
+    key = f"(?:{STOP_KEY}|{SOFT_STOP_KEY})" if soft else STOP_KEY
+    return rf"\b{key}\s*(?:PRICE|LEVEL)?\s*[:=>.\-@]*\s*(?:AT|BELOW|ABOVE|NEAR|OF|IS|JUST)?\s*[:=-]?\s*({NUM}){AWAY}"
+
+
+def level_start(soft: bool) -> str:
+    return rf"\b(?:{TARGET_KEY}|{STOP_KEY}" + (f"|{SOFT_TARGET_KEY}|{SOFT_STOP_KEY}" if soft else "") + r")\b"
+
+
 def bounded(pattern: str) -> str:
     """The pattern with ASCII word boundaries, which Java's own are not beside other scripts."""
     return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
