@@ -154,6 +154,11 @@ def _candidate(prio, key: Column, n, mode: str, how: str, rest: Column, phrase:
     return F.struct(lit(prio).cast("int").alias("prio"), key.alias("key"), lit(n).cast("int").alias("n"), F.lit(mode).alias("mode"), F.lit(how).alias("how"), rest.cast("int").alias("rest_at"), phrase.alias("phrase"))
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x worked out once: the lambda's variable stands for it."""
+    return F.flatten(F.transform(F.array(x), f))
+
+
 def _ending(words: Column, prio, how: str, rest: Column, phrase: Column) -> Column:
     """Names of three words down to one that end the words; first as they stand, then without filler words."""
 
@@ -162,61 +167,80 @@ def _ending(words: Column, prio, how: str, rest: Column, phrase: Column) -> Colu
         key = lambda n: F.when(F.size(t) >= n, squash(F.array_join(tail(n), "")))
         return F.array(*[_candidate(prio + i * 3 + 3 - n, F.when(~_filler(F.try_element_at(t, F.lit(-1))), key(1)) if n == 1 else key(n), n, "exact", how, rest, phrase) for n in (3, 2, 1)])
 
-    return F.flatten(F.transform(F.array(words, F.filter(words, lambda t: ~_filler(t))), of))
+    return _bound(words, lambda w: F.flatten(F.transform(F.array(w, F.filter(w, lambda t: ~_filler(t))), of)))
 
 
 def _starting(words: Column, prio, how: str, rest: Column, phrase: Column, modes: tuple) -> Column:
     """Names of three words down to one that start the words behind leading filler words."""
 
-    def of(t: Column, _: Column) -> Column:
+    def of(t: Column) -> Column:
         key = lambda n: F.when(F.size(t) >= n, squash(F.array_join(F.slice(t, 1, n), "")))
         return F.array(*[_candidate(prio + 3 * k + 3 - n, key(n), n, mode, how, rest, phrase) for k, mode in enumerate(modes) for n in (3, 2, 1)])
 
-    first = F.array_position(F.transform(words, lambda t: ~_filler(t)), F.lit(True)).cast("int")
-    return F.flatten(F.transform(F.array(F.when(first > 0, F.slice(words, F.greatest(first, F.lit(1)), 3)).otherwise(F.array().cast("array<string>"))), of))
+    def behind(w: Column) -> Column:
+        first = F.array_position(F.transform(w, lambda t: ~_filler(t)), F.lit(True)).cast("int")
+        return F.when(first > 0, F.slice(w, F.greatest(first, F.lit(1)), 3)).otherwise(F.array().cast("array<string>"))
+
+    return _bound(words, lambda w: _bound(behind(w), of))
+
+
+def with_marks(texts: DataFrame) -> DataFrame:
+    """Adds what candidates are read from beside options and actions: label, tag and the first line, with their places."""
+    norm = c("norm")
+    return texts.withColumns({
+        "label": F.regexp_extract(norm, P.bounded(LABEL), 0), "label_at": F.regexp_instr(norm, F.lit(P.bounded(LABEL))), "labelled": F.regexp_extract(norm, P.bounded(LABEL), 1),
+        "tag": F.regexp_extract(norm, TAG, 0), "tag_at": F.regexp_instr(norm, F.lit(TAG)), "first_line": F.substring_index(F.regexp_replace(norm, r"^\s+|\s+$", ""), "\n", 1),
+    })
+
 
+def candidates() -> Column:
+    """All candidate names of a text: (prio, key, n, mode, how, rest_at, phrase), prio in the order in which they count.
 
-def candidates(norm: Column, options: Column, actions: Column) -> Column:
-    """All candidate names of a text: (prio, key, n, mode, how, rest_at, phrase), prio in the order in which they count."""
+    Reads norm, options, actions and the columns of ``with_marks``.
+    """
+    norm = c("norm")
     between = lambda a, b: F.substring(norm, a, F.greatest(b - a, F.lit(0)))
     one = lambda n: F.greatest(n, F.lit(1))
 
     def at_option(o: Column, i: Column) -> Column:
-        before = between(one(o["at"] - 60), o["at"])
-        line, phrase = F.substring_index(before, "\n", -1), between(one(o["at"] - 40), o["upto"] + 22)
-        slip = F.array(_candidate(i * 100 + 20, squash(F.try_element_at(F.filter(tokens(line), lambda t: ~_filler(t)), F.lit(-1))), 1, "underlying", "option", o["upto"], phrase))
-        return F.concat(_ending(tokens(line), i * 100, "option", o["upto"], phrase), _ending(tokens(before), i * 100 + 10, "option", o["upto"], phrase), slip)
+        phrase = between(one(o["at"] - 40), o["upto"] + 22)
+        last = lambda w: F.try_element_at(F.filter(w, lambda t: ~_filler(t)), F.lit(-1))
+        return _bound(
+            between(one(o["at"] - 60), o["at"]),
+            lambda before: F.concat(
+                _bound(tokens(F.substring_index(before, "\n", -1)), lambda w: F.concat(_ending(w, i * 100, "option", o["upto"], phrase), F.array(_candidate(i * 100 + 20, squash(last(w)), 1, "underlying", "option", o["upto"], phrase)))),
+                _ending(tokens(before), i * 100 + 10, "option", o["upto"], phrase),
+            ),
+        )
 
     def at_action(a: Column, i: Column) -> Column:
-        base, phrase = i * 100 + 2_000_000, between(one(a["at"] - 40), a["at"] + 60)
+        base, phrase, rest = i * 100 + 2_000_000, between(one(a["at"] - 40), a["at"] + 60), a["upto"]
         after = F.substring_index(F.substring(norm, a["upto"], F.length(norm)), "\n", 1)
         before = F.substring_index(between(F.lit(1), a["at"]), "\n", -1)
-        above = F.substring_index(F.regexp_replace(between(F.lit(1), a["at"] - F.length(before)), r"\s+$", ""), "\n", -1)
-        rest = a["upto"]
+        above = lambda b: F.substring_index(F.regexp_replace(between(F.lit(1), a["at"] - F.length(b)), r"\s+$", ""), "\n", -1)
         return F.concat(
             _starting(tokens(after), base, "action", rest, phrase, ("exact", "near")),
-            _ending(tokens(before), base + 10, "action", rest, phrase),
-            _starting(tokens(above), base + 20, "action", rest, phrase, ("exact", "near")),
+            _bound(before, lambda b: F.concat(_ending(tokens(b), base + 10, "action", rest, phrase), _starting(tokens(above(b)), base + 20, "action", rest, phrase, ("exact", "near")))),
         )
 
-    label, label_at = F.regexp_extract(norm, P.bounded(LABEL), 0), F.regexp_instr(norm, F.lit(P.bounded(LABEL)))
-    tag, tag_at = F.regexp_extract(norm, TAG, 0), F.regexp_instr(norm, F.lit(TAG))
-    first_line = F.substring_index(F.regexp_replace(norm, r"^\s+|\s+$", ""), "\n", 1)
-    words = tokens(first_line)
-
-    def at_word(t: Column, i: Column) -> Column:
-        return _starting(F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))), i * 10 + 4_000_000, "scan", F.instr(norm, t) + F.length(t), first_line, ("strict",))
+    def scan(words: Column) -> Column:
+        at_word = lambda t, i: _starting(F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))), i * 10 + 4_000_000, "scan", F.instr(norm, t) + F.length(t), c("first_line"), ("strict",))
+        return F.flatten(F.transform(F.slice(words, 1, 8), at_word))
 
+    tag, tag_end = squash(c("tag")), c("tag_at") + F.length("tag")
     every = F.concat(
-        F.flatten(F.transform(options, at_option)),
-        _starting(tokens(F.regexp_extract(norm, P.bounded(LABEL), 1)), 1_000_000, "label", label_at + F.length(label), label, ("exact", "near")),
-        F.flatten(F.transform(actions, at_action)),
-        F.array(*[_candidate(3_000_000 + k, squash(F.regexp_extract(norm, TAG, 1)), 1, mode, "tag", tag_at + F.length(tag), tag) for k, mode in enumerate(("exact", "near"))]),
-        F.flatten(F.transform(F.slice(words, 1, 8), at_word)),
+        F.flatten(F.transform("options", at_option)),
+        F.when(c("label_at") > 0, _starting(tokens(c("labelled")), 1_000_000, "label", c("label_at") + F.length("label"), c("label"), ("exact", "near"))).otherwise(F.array().cast(_CANDIDATE)),
+        F.flatten(F.transform("actions", at_action)),
+        F.array(*[_candidate(3_000_000 + k, F.when(c("tag_at") > 0, tag), 1, mode, "tag", tag_end, c("tag")) for k, mode in enumerate(("exact", "near"))]),
+        _bound(tokens(c("first_line")), scan),
     )
     return F.filter(every, lambda x: x.key.isNotNull() & (x.key != ""))
 
 
+_CANDIDATE = "array<struct<prio: int, key: string, n: int, mode: string, how: string, rest_at: int, phrase: string>>"
+
+
 def resolve(found: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     """Per ``by`` the instrument of its first candidate that means one: struct ``inst``.
 

@@ -111,7 +111,7 @@ def with_instrument(texts: DataFrame, dictionary: DataFrame, by: list[str]) -> D
 
     An option whose index is not named is symbol "?". texts: by, d, norm, options, actions.
     """
-    x = texts.select(*by, "d", F.explode(I.candidates(c("norm"), c("options"), c("actions"))).alias("x"))
+    x = settle(I.with_marks(texts)).select(*by, "d", F.explode(I.candidates()).alias("x"))
     t = texts.join(I.resolve(x, I.completed(dictionary), by), by, "left")
     i, n_options = c("inst"), F.size("options")
     several = F.expr(OPTION_DISTINCT) > 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.say import say_column
+from ..operators import instruments as I
 from ..operators import linking
 from ..operators import messages as M
 from ..sources import chats, transcripts
@@ -71,6 +72,82 @@ def extract_calls(spark, d):
     return k.select("msg_id", "symbol", "side", c("entry.lo").alias("entry"), F.round(c("targets")[0], 2).alias("target"), F.round(c("stop"), 2).alias("stop"))
 
 
+def rule_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Signups as texts of ten shapes, one for each way in which an instrument and its levels can be written."""
+    e, n = V.table(spark, d, "events").where("event_type = 'signup'"), c("event_id") % 10
+    v = F.floor(c("value") * 100 + 0.5) / 100 + 10
+    num = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
+    sym, p = F.concat(F.lit("SYM"), c("user_id").cast("string")), num(v)
+    levels = F.concat(F.lit(" TGT "), num(v + 3), F.lit(" SL "), num(v - 2))
+    shapes = [
+        [F.lit("BUY NIFTY 24500 CE ABOVE "), p, F.lit(" TGT "), num(v + 3), F.lit("/"), num(v + 5), F.lit(" SL "), num(v - 2)],
+        [F.lit("SELL "), sym, F.lit(" BELOW "), (c("user_id") + 100).cast("string"), F.lit(" TARGET 3 POINTS SL 5 %")],
+        [F.lit("STOCK NAME = "), sym, F.lit("\nBUY ABOVE "), p, levels],
+        [F.lit("BUY "), sym, F.lit(" AT "), p, levels, F.lit("\n\nSELL "), sym, F.lit(" AT "), p, F.lit(" TGT "), num(v - 3), F.lit(" SL "), num(v + 2)],
+        [F.lit("BUY SEP 57100 PE @ "), p, levels],
+        [F.lit("#"), sym, F.lit(" "), p, levels],
+        [F.lit("BUY "), sym, F.lit(" AT 130-40 TGT 150 SL 120 btst")],
+        [F.lit("BUY NIFTY 25 SEP 24000 PE @ "), p, levels],
+        [F.lit("NIFTY 24000 CE BUY "), p, levels, F.lit("\nBANKNIFTY 52000 PE BUY "), p, levels],
+        [F.lit("BUY "), sym, F.lit(" ABOVE "), p, F.lit(" TO "), num(v + 3), F.lit("-"), num(v + 5), F.lit("-"), num(v + 7), F.lit(" SL "), num(v - 2)],
+    ]
+    text = F.element_at(F.array(*[F.concat(*x) for x in shapes]), (n + 1).cast("int"))
+    return e.select((c("user_id") % 10).alias("channel_id"), c("event_id").alias("msg_id"), "ts", text.alias("text"), F.lit(False).alias("has_photo"))
+
+
+def _row(n, symbol, kind, strike, opt, side, etype, lo, t1, targets, stop, confidence, how, pos=1, hi="NULL", hint="NULL, NULL", horizon="unspecified", several=False):
+    call = f"event_id::VARCHAR || '.{pos}'" if several else "event_id::VARCHAR"
+    return f"SELECT {call} AS call_id, {symbol} AS symbol, '{kind}' AS kind, {strike}::DOUBLE AS strike, {opt} AS opt_type, '{side}' AS side, '{horizon}' AS horizon, '{etype}' AS entry, round({lo}, 2)::DOUBLE AS lo, {hi}::DOUBLE AS hi, {hint.split(', ')[0]}::INT AS hint_day, {hint.split(', ')[1]}::INT AS hint_month, round({t1}, 2)::DOUBLE AS target, {targets} AS n_targets, round({stop}, 2)::DOUBLE AS stop, '{confidence}' AS confidence, '{how}' AS how FROM e WHERE n = {n}"
+
+
+_S, _O = "'SYM' || user_id", ("v", "v + 3", 1, "v - 2")
+RULES_SQL = "WITH e AS (SELECT event_id, user_id, event_id % 10 AS n, floor(value * 100 + 0.5) / 100 + 10 AS v FROM events WHERE event_type = 'signup') " + " UNION ALL ".join([
+    _row(0, "'NIFTY'", "option", 24500, "'CE'", "long", "above", "v", "v + 3", 2, "v - 2", "high", "option"),
+    _row(1, _S, "equity", "NULL", "NULL", "short", "below", "user_id + 100", "user_id + 97", 1, "(user_id + 100) * 1.05", "high", "action"),
+    _row(2, _S, "equity", "NULL", "NULL", "long", "above", *_O, "high", "label"),
+    _row(3, _S, "equity", "NULL", "NULL", "long", "at", *_O, "high", "action", several=True),
+    _row(3, _S, "equity", "NULL", "NULL", "short", "at", "v", "v - 3", 1, "v + 2", "high", "action", pos=2, several=True),
+    _row(4, "'?'", "option", 57100, "'PE'", "long", "at", *_O, "medium", "option", hint="NULL, 9"),
+    _row(5, _S, "equity", "NULL", "NULL", "long", "at", *_O, "medium", "tag"),
+    _row(6, _S, "equity", "NULL", "NULL", "long", "range", 130, 150, 1, 120, "high", "action", hi="140", horizon="btst"),
+    _row(7, "'NIFTY'", "option", 24000, "'PE'", "long", "at", *_O, "high", "option", hint="25, 9"),
+    _row(8, "'NIFTY'", "option", 24000, "'CE'", "long", "at", *_O, "high", "option", several=True),
+    _row(8, "'BANKNIFTY'", "option", 52000, "'PE'", "long", "at", *_O, "high", "option", pos=2, several=True),
+    _row(9, _S, "equity", "NULL", "NULL", "long", "above", "v", "v + 3", 3, "v - 2", "high", "action"),
+])
+
+
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    names = V.table(spark, d, "events").select(F.concat(F.lit("SYM"), c("user_id").cast("string")).alias("key"), F.lit("stock").alias("kind")).distinct()
+    return names.unionByName(spark.createDataFrame([("NIFTY", "index"), ("BANKNIFTY", "index")], "key string, kind string")).withColumn("symbol", c("key"))
+
+
+@query(RULES_SQL)
+def prj_find_instrument(spark, d):
+    """prj_find_named, prj_name_window, prj_kind, prj_by_contract, prj_paragraphs, prj_call_id, prj_entry, prj_targets, prj_stop,
+    prj_expiry_hint, flt_is_call, prj_confidence: ten shapes of text read back into what they were made of."""
+    k = M.read_calls(rule_texts(spark, d), _symbols(spark, d))
+    r2 = lambda x: F.round(x, 2)
+    return k.select("call_id", "symbol", "kind", "strike", "opt_type", "side", "horizon", c("entry.type").alias("entry"), r2("entry.lo").alias("lo"), "entry.hi", "hint_day", "hint_month", r2(c("targets")[0]).alias("target"), F.size("targets").alias("n_targets"), r2("stop").alias("stop"), "confidence", "how")
+
+
+@query("WITH t AS (SELECT s_suppkey, 'SUPPLIER' || right(s_name, 9) AS name FROM supplier), a AS (SELECT left(name, 15) || right(name, 1) || substr(name, 16, 1) AS word, 1 + s_suppkey % 2 AS most FROM t) SELECT DISTINCT word, name AS target FROM a, t WHERE damerau_levenshtein(word, name) <= most")
+def jn_fuzzy(spark, d):
+    """Supplier names with two figures swapped against all names, one or two edits off; the SQL compares all pairs."""
+    t = V.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("SUPPLIER"), F.right("s_name", F.lit(9))).alias("target"))
+    word = F.concat(F.left("target", F.lit(15)), F.right("target", F.lit(1)), F.substring("target", 16, 1))
+    return I.within_edits(t.select(word.alias("word"), (1 + c("s_suppkey") % 2).cast("int").alias("most")).distinct(), t.select("target").distinct())
+
+
+@query("WITH p AS (SELECT 'T' || p_partkey || 'X' AS symbol, upper(p_brand || ' ' || p_partkey || 'Z ' || p_name) AS name FROM part), w AS (SELECT symbol, list_filter(regexp_split_to_array(name, '[^A-Z0-9&]+'), lambda x: x <> '') AS w FROM p), k AS (SELECT DISTINCT symbol, unnest([array_to_string(w, ''), array_to_string(w[1:2], '')]) AS key FROM w), one AS (SELECT key FROM k GROUP BY key HAVING count(*) = 1), f AS (SELECT w[1] AS key, min(symbol) AS symbol FROM w WHERE length(w[1]) >= 5 GROUP BY 1 HAVING count(*) = 1) SELECT key, symbol FROM k JOIN one USING (key) UNION SELECT key, symbol FROM f WHERE key NOT IN (SELECT key FROM k JOIN one USING (key))")
+def prj_name_keys(spark, d):
+    """agg_name_unique too: spellings of company names made of brands, numbers and part names."""
+    p = V.table(spark, d, "part")
+    sym = p.select(F.concat(F.lit("T"), c("p_partkey").cast("string"), F.lit("X")).alias("symbol"), F.concat_ws(" ", "p_brand", F.concat(c("p_partkey").cast("string"), F.lit("Z")), "p_name").alias("name"), F.lit(0).alias("first_d"), F.lit(9).alias("last_d"))
+    none = spark.createDataFrame([], "symbol string, kind string")
+    return I.dictionary(spark, sym, none, spark.createDataFrame([], "alias string, symbol string")).where("via = 'name'").select("key", "symbol")
+
+
 @query()
 def flt_unread(spark, d):
     names = V.table(spark, d, "events").where("user_id % 2 = 0").select(F.concat(F.lit("SYM"), c("user_id").cast("string")).alias("key")).distinct()
