@@ -140,13 +140,21 @@ def _filler(t: Column) -> Column:
     return F.array_contains(F.split(F.lit(" ".join(N.words(N.FILLER))), " "), t)  # the list folds into a constant
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x), an array, with x worked out once: the lambda's variable stands for it."""
+    return F.flatten(F.transform(F.array(x), f))
+
+
 def spots(x: Column, pattern: str, groups: int = 0) -> Column:
     """All matches of a pattern: array of (at, upto, g1, ..): first place, the place behind, and groups."""
     lead = F.lit(f"(?s)(.*?)(?:{P.bounded(pattern)})")
     got = F.arrays_zip(*[F.regexp_extract_all(x, lead, F.lit(i)).alias(f"p{i}") for i in range(groups + 2)])
-    end = lambda i: F.aggregate(F.slice(got, 1, i + 1), F.lit(1), lambda n, m: n + F.length(m.p0))
-    begin = lambda m, i: end(i) - F.length(m.p0) + F.length(m.p1)
-    return F.transform(got, lambda m, i: F.struct(begin(m, i).alias("at"), end(i).alias("upto"), *[m[f"p{g + 1}"].alias(f"g{g}") for g in range(1, groups + 1)]))
+
+    def placed(every: Column) -> Column:
+        end = lambda i: F.aggregate(F.slice(every, 1, i + 1), F.lit(1), lambda n, m: n + F.length(m.p0))
+        return F.transform(every, lambda m, i: F.struct((end(i) - F.length(m.p0) + F.length(m.p1)).alias("at"), end(i).alias("upto"), *[m[f"p{g + 1}"].alias(f"g{g}") for g in range(1, groups + 1)]))
+
+    return _bound(got, placed)
 
 
 def _candidate(prio, key: Column, n, mode: str, how: str, rest: Column, phrase: Column) -> Column:
@@ -154,11 +162,6 @@ def _candidate(prio, key: Column, n, mode: str, how: str, rest: Column, phrase:
     return F.struct(lit(prio).cast("int").alias("prio"), key.alias("key"), lit(n).cast("int").alias("n"), F.lit(mode).alias("mode"), F.lit(how).alias("how"), rest.cast("int").alias("rest_at"), phrase.alias("phrase"))
 
 
-def _bound(x: Column, f) -> Column:
-    """f(x) with x worked out once: the lambda's variable stands for it."""
-    return F.flatten(F.transform(F.array(x), f))
-
-
 def _ending(words: Column, prio, how: str, rest: Column, phrase: Column) -> Column:
     """Names of three words down to one that end the words; first as they stand, then without filler words."""
 

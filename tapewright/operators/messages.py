@@ -92,7 +92,8 @@ def segments(messages: DataFrame) -> DataFrame:
     before, if there are two; else at blank lines. ``messages`` has norm.
     """
     lines = F.split("norm", "\n")
-    named = F.transform(lines, lambda x: F.transform(I.spots(x, P.OPTION, 2), lambda o: F.concat(o.g1.cast("double").cast("string"), F.left(o.g2, F.lit(1)))))
+    contract = lambda x: F.transform(I.spots(x, P.OPTION, 2), lambda o: F.concat(o.g1.cast("double").cast("string"), F.left(o.g2, F.lit(1))))
+    named = F.transform(lines, lambda x: F.when(x.rlike(r"\d\s*(?:STRIKE\s*)?(?:CE|PE|CALL|PUT)"), contract(x)).otherwise(F.array().cast("array<string>")))
     m = settle(messages.withColumns({"__l": lines, "__n": named}))
     first = F.filter(F.transform("__n", lambda x, i: F.when(F.size(F.array_except(x, F.flatten(F.slice("__n", 1, i)))) > 0, i)), lambda i: i.isNotNull())
     m = settle(m.withColumn("__s", first))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 from ..operators import bars as B
-from ..operators import detect, ledger, linking, replay, report
+from ..operators import contracts, detect, ledger, linking, replay, report
 from . import bindings as V
 
 c = F.col
@@ -420,3 +420,60 @@ def fn_costs(spark, d):
 )
 def fn_rupees(spark, d):
     return V.table(spark, d, "customer").select("c_custkey", numbers.rupees(c("c_acctbal")).alias("rupees"))
+
+
+def _option_tables(spark, d):
+    """Users as option contracts: user u is the contract of symbol u % 30 that expires u // 30 weeks after the first."""
+    user = V.table(spark, d, "events").select(c("user_id").alias("instrument_id")).distinct()
+    of = lambda i: F.concat(F.lit("U"), (i % 30).cast("string"))
+    expiry = F.date_add(F.lit("2024-01-07").cast("date"), (F.floor(c("instrument_id") / 30) * 7).cast("int"))
+    kinds = user.select("instrument_id", of(c("instrument_id")).alias("symbol"), expiry.alias("expiry"), F.lit(1).alias("lot"), F.lit(True).alias("has_options"), F.lit(True).alias("has_futures"))
+    bars = V.bars(spark, d).join(kinds, "instrument_id").withColumns({"strike": F.lit(20.0), "opt_type": F.lit("CE")})
+    today = V.calendar(spark, d).select(c("d").alias("day"), c("dt").alias("today"))
+    null = F.lit(None).cast("int")
+    calls = V.calls(spark, d).drop("hi").withColumns({"symbol": of(c("instrument_id")), "hint_day": null, "hint_month": null, "hi": F.lit(None).cast("double"), "strike": F.lit(20.0), "opt_type": F.lit("CE")}).join(F.broadcast(today), "day")  # a row a trading day
+    return calls, kinds, bars
+
+
+_OPTIONS = """,
+oc AS (SELECT call_id, 'U' || (instrument_id % 30) AS symbol, day, entry_type, lo, cal.dt AS today FROM calls JOIN cal ON cal.d = calls.day),
+oe AS (SELECT DISTINCT 'U' || (user_id % 30) AS symbol, user_id AS instrument_id, DATE '2024-01-07' + CAST(7 * (user_id // 30) AS INTEGER) AS expiry FROM events),
+cand AS (SELECT oc.*, oe.instrument_id, oe.expiry, row_number() OVER (PARTITION BY call_id ORDER BY expiry) AS rank FROM oc JOIN oe USING (symbol) WHERE expiry >= today),
+tried AS (SELECT cand.*, coalesce(CASE WHEN b.l IS NULL THEN false WHEN entry_type = 'none' THEN true WHEN entry_type = 'above' THEN b.h >= lo * 0.98 AND b.l <= lo * 1.6 WHEN entry_type = 'below' THEN b.l <= lo * 1.02 AND b.h >= lo * 0.6 ELSE lo >= b.l * 0.98 AND lo <= b.h * 1.02 END, false) AS fits
+  FROM cand LEFT JOIN bars b ON b.instrument_id = cand.instrument_id AND b.d = cand.day WHERE cand.rank <= 4 AND cand.instrument_id IN (SELECT instrument_id FROM bars)),
+picked AS (SELECT call_id, symbol, expiry, fits FROM tried QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY NOT fits, rank) = 1),
+xday AS (SELECT picked.*, coalesce((SELECT min(d) FROM cal WHERE dt >= expiry), last_day + greatest(1, floor((expiry - (SELECT max(dt) FROM cal)) * 5 / 7.0 + 0.5)))::INTEGER AS expiry_day FROM picked, lastd)
+"""
+
+
+@query(_OPTIONS + "SELECT call_id, symbol, expiry, fits, expiry_day FROM xday")
+def jn_contract(spark, d):
+    """prd_fits and fn_day_index too: the option that a call means, and the trading day on which it ends."""
+    calls, kinds, bars = _option_tables(spark, d)
+    got = contracts.options(calls, kinds, bars)
+    return contracts.day_index(got, V.calendar(spark, d)).select("call_id", "symbol", "expiry", "fits", "expiry_day")
+
+
+@query(_OPTIONS + ", sp AS (SELECT 'U' || (instrument_id % 30) AS symbol, d, min(c) AS price FROM bars GROUP BY 1, 2) SELECT call_id, CASE WHEN price IS NOT NULL THEN greatest(0, price - 20) END AS settlement FROM xday LEFT JOIN sp ON sp.symbol = xday.symbol AND sp.d = expiry_day")
+def jn_settle(spark, d):
+    """What each call's option is worth at the end."""
+    calls, kinds, bars = _option_tables(spark, d)
+    got = contracts.day_index(contracts.options(calls, kinds, bars), V.calendar(spark, d)).withColumns({"strike": F.lit(20.0), "opt_type": F.lit("CE")})
+    return contracts.settlements(got, bars.groupBy("symbol", "d").agg(F.min("c").alias("price"))).select("call_id", "settlement")
+
+
+@query(_OPTIONS + "SELECT call_id, symbol, expiry FROM cand WHERE rank = 1 AND instrument_id IN (SELECT instrument_id FROM bars)")
+def jn_future(spark, d):
+    """The nearest future of each call."""
+    calls, kinds, bars = _option_tables(spark, d)
+    return contracts.futures(calls, kinds, bars).select("call_id", "symbol", "expiry")
+
+
+@query(", o AS (SELECT call_id, i, CASE WHEN (call_id + i) % 4 = 0 THEN lo END AS p, CASE WHEN call_id % 3 = 0 THEN 'open' ELSE 'stated' END AS basis, entry_type FROM calls, range(3) t(i)) SELECT call_id, CASE WHEN count(p) FILTER (basis <> 'open') = 1 AND first(entry_type) <> 'none' THEN 'I' || min(i) FILTER (p IS NOT NULL) END AS symbol FROM o GROUP BY 1")
+def jn_unnamed(spark, d):
+    """Calls whose index is not named, tried on three: the one that fits, if it is the only one."""
+    index = spark.createDataFrame([(f"I{i}", "index") for i in range(3)] + [("S", "stock")], "symbol string, kind string")
+    k = contracts.spread_unnamed(V.calls(spark, d).withColumn("symbol", F.lit("?")), index)
+    i = F.substring("symbol", 2, 1).cast("int")
+    o = k.select("call_id", F.lit("likely").alias("reading"), "symbol", "entry_type", F.when((c("call_id") + i) % 4 == 0, c("lo")).alias("entry_price"), F.when(c("call_id") % 3 == 0, "open").otherwise("stated").alias("entry_basis"))
+    return contracts.inferred(o).select("call_id", "symbol")

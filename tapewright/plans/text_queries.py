@@ -31,9 +31,14 @@ def query(sql: str | None = None):
     return put
 
 
+def _signups(spark: SparkSession, d: str) -> DataFrame:
+    """Signups dealt to all cores: the table is one small file, and reading texts is much work a row."""
+    return V.table(spark, d, "events").where("event_type = 'signup'").repartition(spark.sparkContext.defaultParallelism, "event_id")
+
+
 def tips(spark: SparkSession, d: str) -> DataFrame:
     """Signups as tip texts rendered from their numbers."""
-    e, i = V.table(spark, d, "events").where("event_type = 'signup'"), c("event_id")
+    e, i = _signups(spark, d), c("event_id")
     v = F.floor(c("value") * 100 + 0.5) / 100 + 1
     num = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
     text = F.concat(F.when(i % 2 == 0, "Buy ").otherwise("Sell "), F.lit("SYM"), c("user_id").cast("string"), F.lit(" @ "), num(v), F.lit(" TGT "), num(v + 3), F.lit(" SL "), num(v - 0.5), F.lit("\n"), F.element_at(F.array(*map(F.lit, PHRASES)), (i % len(PHRASES) + 1).cast("int")))
@@ -74,7 +79,7 @@ def extract_calls(spark, d):
 
 def rule_texts(spark: SparkSession, d: str) -> DataFrame:
     """Signups as texts of ten shapes, one for each way in which an instrument and its levels can be written."""
-    e, n = V.table(spark, d, "events").where("event_type = 'signup'"), c("event_id") % 10
+    e, n = _signups(spark, d), c("event_id") % 10
     v = F.floor(c("value") * 100 + 0.5) / 100 + 10
     num = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
     sym, p = F.concat(F.lit("SYM"), c("user_id").cast("string")), num(v)
