@@ -30,16 +30,40 @@ BUY NIFTY 26500 PE At 190
 791 o 10:15"""
 
 
-def test_bubbles_replies_and_overlaps():
-    got = S.read_transcript(CHAT, DAY)
-    assert [(m["text"], m["reply_to"]) for m in got] == [("BUY BANKNIFTY 59400 PE At 380 SL PAID\nTGT 600", None), ("BUY NIFTY 26500 PE At 190", None), ("CMP PRICE 600", 1)]
-    assert got[0]["ts"] == dt.datetime(2025, 12, 1, 4, 39) and S.guess_day(CHAT, dt.date(2026, 10, 2)) == DAY
+def _read(spark, *texts, day=DAY):
+    df = spark.createDataFrame([(i, t, day) for i, t in enumerate(texts)], "doc_id long, text string, day date")
+    return [[r for r in S.transcripts(df).orderBy("doc_id", "msg_id").collect() if r.doc_id == i] for i in range(len(texts))]
 
 
-def test_date_under_the_messages():
+def _guess(spark, text, today):
+    got = S.guess_days(spark.createDataFrame([(1, text, today)], "doc_id long, text string, today date")).first()
+    return got and got.day
+
+
+def test_bubbles_replies_and_overlaps(spark):
+    (got,) = _read(spark, CHAT)
+    assert [(m.text, m.reply_to) for m in got] == [("BUY BANKNIFTY 59400 PE At 380 SL PAID\nTGT 600", None), ("BUY NIFTY 26500 PE At 190", None), ("CMP PRICE 600", 1)]
+    assert got[0].ts == dt.datetime(2025, 12, 1, 4, 39) and _guess(spark, CHAT, dt.date(2026, 10, 2)) == DAY
+
+
+def test_date_under_the_messages(spark):
     text = 'CMP PRICE 480" "100" POINT\nPROFIT 7000 RS/ 2 LOT\n821 © 14:41\nDecember 2, 2025'
-    assert S.guess_day(text, dt.date(2026, 10, 2)) is None
-    assert [m["ts"] for m in S.read_transcript(text, DAY)] == [dt.datetime(2025, 12, 1, 9, 11)]
+    assert _guess(spark, text, dt.date(2026, 10, 2)) is None
+    assert [m.ts for m in _read(spark, text)[0]] == [dt.datetime(2025, 12, 1, 9, 11)]
+
+
+def test_dates_go_forward_and_bubbles_without_a_time_follow(spark):
+    text = "first\n10:00\n30 December\nsecond\n1 January\nthird\n9:05 pm\n5/1/24\nfourth\n12.3K subscribers\nfifth\n0:10"
+    (got,) = _read(spark, text)
+    ist = lambda *a: dt.datetime(*a) - dt.timedelta(minutes=330)
+    assert [(m.text, m.ts) for m in got] == [("first", ist(2025, 12, 1, 10)), ("second", ist(2025, 12, 30, 10, 1)), ("third", ist(2026, 1, 1, 21, 5)), ("fifth", ist(2024, 1, 5, 0, 10))]
+    assert got[0].subscribers == "12.3K"
+
+
+def test_quotes_of_quotes(spark):
+    a, b = "BUY NIFTY 26500 PE AT 190 NOW", "CMP PRICE 250 BOOK HALF OF IT"
+    (got,) = _read(spark, f"{a}\n10:00\n{a}\n{b}\n10:05\nx {b}\nEXIT ALL\n10:10")
+    assert [(m.text, m.reply_to) for m in got] == [(a, None), (b, 1), ("EXIT ALL", 2)]
 
 
 def test_untimed_text_is_split_at_blank_lines(spark):
