@@ -12,6 +12,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import DAY_SALE, DELIVERY, FLAT_FEE, FUTURE_SALE, FUTURES_MARGIN, OPTION_SALE, compound, round2, trading_costs
@@ -61,7 +62,8 @@ def queue(calls: DataFrame, outcomes: DataFrame, params: DataFrame) -> DataFrame
 
 def record(queued: DataFrame, keys: tuple[str, ...] = ("channel_id", "reading", "param_id")) -> DataFrame:
     """The record call by call, as if the stake were always there: one aggregation, combined on the map side."""
-    q = queued.where("status = 'queued'")
+    posted = F.unix_micros(c("ts").cast("timestamp")) if "ts" in queued.columns else c("msg_id").cast("long")
+    q = queued.where("status = 'queued'").withColumn("posted", posted).withColumn("pos", c("pos").cast("int")).withColumn("msg_id", c("msg_id").cast("long"))
     n = lambda cond: F.count_if(cond)
     return q.groupBy(*keys).agg(
         F.count("*").alias("checked"),
@@ -112,7 +114,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     for order, r in enumerate(pdf.itertuples(index=False)):
         close(r.entry_day, order)
         free = balance - (tied if positions else 0.0)
-        row = {"call_id": r.call_id, "status": "no-funds", "entry_day": int(r.entry_day), "exit_day": None}
+        row = {"call_id": r.call_id, "msg_id": r.msg_id, "pos": r.pos, "posted": r.posted, "status": "no-funds", "entry_day": int(r.entry_day), "exit_day": None}
         rows.append(row)
         if r.unit > free:
             continue
@@ -133,21 +135,20 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.reindex(columns=_LINE_COLUMNS)
 
 
-_LINES = "channel_id long, reading string, param_id int, call_id string, status string, cls string, quantity long, lots long, blocked double, gross double, costs double, net double, raw_net double, entry_day int, exit_day int, balance_after double, raw_balance double, settled int, capital double, borrowed_fraction double, loan_monthly_rate double"
+_LINES = "channel_id long, reading string, param_id int, call_id string, msg_id long, pos int, posted long, status string, cls string, quantity long, lots long, blocked double, gross double, costs double, net double, raw_net double, entry_day int, exit_day int, balance_after double, raw_balance double, settled int, capital double, borrowed_fraction double, loan_monthly_rate double"
 _LINE_COLUMNS = [x.split()[0] for x in _LINES.split(", ")]
 
 
 def lines(queued: DataFrame) -> DataFrame:
     """Ledger lines of the funded fold: taken or no-funds, with the balance after each settlement."""
-    need = ["channel_id", "reading", "param_id", "capital", "borrowed_fraction", "loan_monthly_rate", "call_id", "msg_id", "pos", "kind", "side", "cls", "entry_day", "exit_day", "entry_price", "exit_price", "move", "days_held", "lot", "unit", "wanted"]
-    q = queued.where("status = 'queued'").withColumn("call_id", c("call_id").cast("string")).withColumn("lot", c("lot").cast("long"))
+    need = ["channel_id", "reading", "param_id", "capital", "borrowed_fraction", "loan_monthly_rate", "call_id", "msg_id", "pos", "posted", "kind", "side", "cls", "entry_day", "exit_day", "entry_price", "exit_price", "move", "days_held", "lot", "unit", "wanted"]
+    posted = F.unix_micros(c("ts").cast("timestamp")) if "ts" in queued.columns else c("msg_id").cast("long")
+    q = queued.where("status = 'queued'").withColumn("posted", posted).withColumn("pos", c("pos").cast("int")).withColumn("msg_id", c("msg_id").cast("long")).withColumn("call_id", c("call_id").cast("string")).withColumn("lot", c("lot").cast("long"))
     return q.select(*need).groupBy("channel_id", "reading", "param_id").applyInPandas(_fold, _LINES)
 
 
 def account(folded: DataFrame) -> DataFrame:
     """One row per account from its lines: balances, rates, drawdown, loan."""
-    from pyspark.sql import Window as W
-
     keys = ["channel_id", "reading", "param_id"]
     w = W.partitionBy(*keys).orderBy("settled").rowsBetween(W.unboundedPreceding, W.currentRow)
     t = folded.withColumn("peak", F.when(c("settled").isNotNull(), F.greatest(c("capital"), F.max("raw_balance").over(w))))
@@ -182,12 +183,16 @@ def account(folded: DataFrame) -> DataFrame:
 
 
 def running_balance(folded: DataFrame) -> DataFrame:
-    """The displayed balance: net results in posting order over a floor at zero, as an array fold per account."""
+    """The displayed balance: net results in posting order over a floor at zero.
+
+    A sum that is stopped at zero is the plain running sum, lifted by as much
+    as it has been below what the account began with: two windows, no fold.
+    """
     keys = ["channel_id", "reading", "param_id"]
-    g = folded.where("status = 'taken'").groupBy(*keys).agg(F.first("capital").alias("capital"), F.array_sort(F.collect_list(F.struct("entry_day", "call_id", "raw_net"))).alias("x"))
-    step = F.aggregate("x", F.struct(c("capital").alias("b"), F.array().cast("array<double>").alias("all")), lambda a, x: F.struct(F.greatest(F.lit(0.0), a.b + x.raw_net).alias("b"), F.array_append(a.all, F.greatest(F.lit(0.0), a.b + x.raw_net)).alias("all")))
-    g = g.withColumn("run", step.all)
-    return g.select(*keys, F.posexplode(F.arrays_zip(c("x.call_id").alias("call_id"), c("run").alias("run"))).alias("at", "z")).select(*keys, "at", c("z.call_id").alias("call_id"), round2(c("z.run")).alias("balance"))
+    w = W.partitionBy(*keys).orderBy("posted", "msg_id", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = folded.where("status = 'taken'").withColumn("sum", F.sum("raw_net").over(w))
+    t = t.withColumns({"balance": c("sum") + F.greatest(c("capital"), F.max(-c("sum")).over(w)), "at": F.row_number().over(W.partitionBy(*keys).orderBy("posted", "msg_id", "pos")) - 1})
+    return t.select(*keys, "at", "call_id", round2(c("balance")).alias("balance"))
 
 
 def band(accounts: DataFrame) -> DataFrame:

@@ -52,21 +52,38 @@ def reposts(drafts: DataFrame, key: list[str], hours: float = 18.0) -> DataFrame
     return drafts.groupBy("channel_id", *key).applyInPandas(fold, schema)
 
 
+def _latest(posts: DataFrame, calls: DataFrame, by: list[str], within: int, out: str) -> DataFrame:
+    """Rows (channel_id, post_id, out): the latest call not after the post with the same ``by``, at most ``within`` seconds before.
+
+    Both kinds of rows are put in order together and the last call is carried
+    forward: an as-of join without pairs, linear in a busy channel's rows.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    k = calls.select(*by, null("long").alias("post_id"), c("__ct").alias("__t"), F.lit(0).alias("__after"), "__m", "__p", F.struct("call_id", "__ct").alias("__call"))
+    p = posts.select(*by, c("post_id").cast("long").alias("post_id"), "__t", F.lit(1).alias("__after"), null("long").alias("__m"), null("int").alias("__p"), null(k.schema["__call"].dataType.simpleString()).alias("__call"))
+    w = W.partitionBy(*by).orderBy("__t", "__after", "__m", "__p").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = k.unionByName(p).withColumn("__last", F.last("__call", ignorenulls=True).over(w)).where((c("__after") == 1) & (c("__t") - c("__last.__ct") <= within))
+    return t.select("channel_id", "post_id", c("__last.call_id").alias(out))
+
+
 def link_followups(followups: DataFrame, calls: DataFrame) -> DataFrame:
     """Adds ``call_id`` to result posts: a reply's call, the latest call on the named instrument, or the latest call at all.
 
     followups: channel_id, post_id, ts, reply_to, named. calls: channel_id, call_id, msg_id, pos, ts, instrument.
-    The as-of tiers are joins bounded by 15 days and one day, reduced by max_by.
+    Post numbers repeat between channels, so a post is known by both. A named
+    post takes calls of 15 days, a bare one that is no reply those of one day.
     """
-    f = followups.withColumn("__t", c("ts").cast("timestamp").cast("long"))
-    k = calls.select(c("channel_id").alias("__c"), "call_id", c("msg_id").alias("__m"), c("pos").alias("__p"), c("ts").cast("timestamp").cast("long").alias("__ct"), c("instrument").alias("__i"))
-    day = 86_400
-    same = c("named").isNull() | (c("named") == c("__i"))
-    order = F.struct("__ct", "__m", "__p")
-    reply = f.where("reply_to IS NOT NULL").join(k, (c("channel_id") == c("__c")) & (c("reply_to") == c("__m")) & same).groupBy("post_id").agg(F.min_by("call_id", "__p").alias("by_reply"))
-    named = f.where("named IS NOT NULL").join(k, (c("channel_id") == c("__c")) & (c("named") == c("__i")) & (c("__ct") <= c("__t")) & (c("__t") - c("__ct") <= 15 * day)).groupBy("post_id").agg(F.max_by("call_id", order).alias("by_name"))
-    bare = f.where("named IS NULL AND reply_to IS NULL").join(k, (c("channel_id") == c("__c")) & (c("__ct") <= c("__t")) & (c("__t") - c("__ct") <= day)).groupBy("post_id").agg(F.max_by("call_id", order).alias("by_last"))
-    out = f.join(reply, "post_id", "left").join(named, "post_id", "left").join(bare, "post_id", "left")
+    seconds = c("ts").cast("timestamp").cast("long")
+    f = followups.withColumn("__t", seconds)
+    k = calls.select("channel_id", "call_id", c("msg_id").cast("long").alias("__m"), c("pos").cast("int").alias("__p"), seconds.alias("__ct"), c("instrument").alias("named"))
+    day, key = 86_400, ["channel_id", "post_id"]
+    asked = f.where("reply_to IS NOT NULL").select(*key, c("reply_to").cast("long").alias("__m"), c("named").alias("__named"))
+    reply = asked.join(k, ["channel_id", "__m"]).where(c("__named").isNull() | (c("__named") == c("named"))).groupBy(*key).agg(F.min_by("call_id", "__p").alias("by_reply"))
+    named = _latest(f.where("named IS NOT NULL"), k, ["channel_id", "named"], 15 * day, "by_name")
+    bare = _latest(f.where("named IS NULL AND reply_to IS NULL"), k, ["channel_id"], day, "by_last")
+    out = f
+    for tier in (reply, named, bare):
+        out = out.join(tier, key, "left")
     return out.withColumn("call_id", F.coalesce("by_reply", "by_name", "by_last")).drop("__t", "by_reply", "by_name", "by_last")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
+from ..functions.plan import written
 from ..operators import bars as B
 from ..operators import contracts, detect, ledger, linking, replay, report
 from . import bindings as V
@@ -339,11 +340,11 @@ def agg_case(spark, d):
 
 
 @query(
-    ", m AS (SELECT DISTINCT instrument_id, day FROM calls WHERE call_id % 40 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM bars7 WHERE instrument_id IN (SELECT instrument_id FROM m)) "
-    "SELECT instrument_id, d FROM b WHERE rn >= 5 AND rn < n - 2 AND (rn - 5) % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 6)"
+    ", m AS (SELECT DISTINCT instrument_id, day FROM calls), b AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM bars7 WHERE instrument_id IN (SELECT instrument_id FROM m)) "
+    "SELECT instrument_id, d FROM b WHERE rn >= 30 AND rn < n - 12 AND (rn - 30) % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 15)"
 )
 def jn_ordinary(spark, d):
-    """Every call is a mark, at the operator's distances: 30 days of bars hold no such day. The SQL has a fortieth of the marks and shorter distances."""
+    """Every call is a mark, at the operator's distances: the 30 days of bars here hold no such day."""
     return detect.ordinary_days(V.bars(spark, d, sundays=True), V.calls(spark, d)).select("instrument_id", c("d").cast("long").alias("d"))
 
 
@@ -477,3 +478,85 @@ def jn_unnamed(spark, d):
     i = F.substring("symbol", 2, 1).cast("int")
     o = k.select("call_id", F.lit("likely").alias("reading"), "symbol", "entry_type", F.when((c("call_id") + i) % 4 == 0, c("lo")).alias("entry_price"), F.when(c("call_id") % 3 == 0, "open").otherwise("stated").alias("entry_basis"))
     return contracts.inferred(o).select("call_id", "symbol")
+
+
+# ---- what reports show
+
+
+@query("SELECT kind, count(*) AS n FROM (/*own*/ {}) GROUP BY kind".format(SQL["flags"]), name="agg_flag_kinds")
+def agg_flag_kinds(spark, d):
+    return QUERIES["flags"](spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    _REPLAY
+    + ", w AS (SELECT call_id, any_value(b) IS DISTINCT FROM any_value(w) AS doubtful FROM (SELECT call_id, max(struct_pack(a := cls, b := exit_price, c := entry_price, d := exit_day)) FILTER (reading = 'best') AS b, max(struct_pack(a := cls, b := exit_price, c := entry_price, d := exit_day)) FILTER (reading = 'worst') AS w, bool_or(entry_price IS NOT NULL) FILTER (reading <> 'likely') AS en FROM outcomes GROUP BY 1) WHERE en GROUP BY call_id),"
+    " r AS (SELECT o.call_id, o.entry_price IS NOT NULL AND k.confidence <> 'low' AS replayed, o.cls, o.move, coalesce(w.doubtful, false) AS doubtful FROM outcomes o JOIN calls k USING (call_id) LEFT JOIN w USING (call_id) WHERE o.reading = 'likely')"
+    " SELECT call_id, 'all' AS filter FROM r UNION ALL SELECT call_id, 'target' FROM r WHERE replayed AND cls = 'target' UNION ALL SELECT call_id, 'lost' FROM r WHERE replayed AND coalesce(move, 0) < 0 UNION ALL SELECT call_id, 'doubtful' FROM r WHERE doubtful UNION ALL SELECT call_id, 'unchecked' FROM r WHERE NOT replayed"
+)
+def flt_report(spark, d):
+    """Which calls each of the report's filters shows."""
+    o = written(outcomes(spark, d), "outcomes")
+    likely = o.where("reading = 'likely'").select("call_id", "cls", "move", "entry_price").join(V.calls(spark, d).select("call_id", "confidence"), "call_id").join(replay.firm(o), "call_id", "left")
+    return report.filtered(likely.withColumn("replayed", c("entry_price").isNotNull() & (c("confidence") != "low")))
+
+
+@query(_LINK + "SELECT call_id, count(*) AS posts, max(quoted) FILTER (quoted > 0) AS quoted_max FROM linked WHERE call_id IS NOT NULL GROUP BY 1")
+def agg_quoted_max(spark, d):
+    return report.quoted_most(linked(spark, d))
+
+
+@query("SELECT instrument_id, count(*) AS n FROM calls GROUP BY 1 ORDER BY n DESC, instrument_id LIMIT 3")
+def topk_case(spark, d):
+    """The three instruments with most calls."""
+    return V.calls(spark, d).groupBy("instrument_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "instrument_id").limit(3)
+
+
+@query("SELECT channel_id, call_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts, call_id) AS place FROM calls QUALIFY place BETWEEN 41 AND 140")
+def lim_table(spark, d):
+    """srt_messages too: each channel's calls in posting order, the page behind the first forty."""
+    return report.page(V.calls(spark, d), ["channel_id"], ["ts", "msg_id"], 41, 140).select("channel_id", "call_id", c("place").cast("long").alias("place"))
+
+
+@query("/*own*/ SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2")
+def set_dedupe_recos(spark, d):
+    """Of a customer's orders of one priority the last, as of a scrip's recommendations at one time."""
+    return report.one_recommendation(V.table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice"), ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+_NAMES = """/*own*/ SELECT scrip, coalesce(max(symbol) FILTER (p = n), min_by(symbol, seq) FILTER (starts_with(p, n) OR starts_with(n, p))) AS symbol FROM
+(SELECT 'The ' || p_name || ' & ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ' Co. (India) Ltd' ELSE ' Glass Limited' END AS scrip, upper(p_name) || ' AND ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' GLASS' END AS p FROM part) a,
+(SELECT 'P' || p_partkey AS symbol, p_partkey AS seq, upper(p_name) || ' AND ' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN ' WORKS' ELSE '' END AS n FROM part WHERE p_partkey % 5 <> 0) k GROUP BY 1"""
+
+
+@query(_NAMES)
+def jn_case_name(spark, d):
+    """fn_plain as well: company names made of part names, written differently, to symbols. The SQL compares all pairs."""
+    p, i = V.table(spark, d, "part"), c("p_partkey").cast("string")
+    even = c("p_partkey") % 2 == 0
+    asked = p.select(F.concat(F.lit("The "), c("p_name"), F.lit(" & "), i, F.when(even, " Co. (India) Ltd").otherwise(" Glass Limited")).alias("scrip"))
+    k = p.where("p_partkey % 5 <> 0").select(F.concat(F.lit("P"), i).alias("symbol"), c("p_partkey").alias("seq"), F.concat(c("p_name"), F.lit(" & "), i, F.when(c("p_partkey") % 3 == 0, " Works Limited").otherwise(" Company")).alias("name"))
+    return report.case_symbols(asked, k)
+
+
+@query("/*own*/ SELECT reg_no, CASE WHEN s_suppkey % 3 = 0 THEN 'malformed' WHEN s_suppkey % 2 = 0 THEN 'found' ELSE 'missing' END AS state FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'INX' ELSE 'INH' END || lpad(s_suppkey::VARCHAR, 9, '0') AS reg_no FROM supplier)")
+def jn_register_lookup(spark, d):
+    s = V.table(spark, d, "supplier")
+    no = F.concat(F.when(c("s_suppkey") % 3 == 0, "INX").otherwise("INH"), F.lpad(c("s_suppkey").cast("string"), 9, "0"))
+    return report.lookup(s.select(no.alias("reg_no")), s.where("s_suppkey % 2 = 0").select(no.alias("reg_no")))
+
+
+@query("/*own*/ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'entered at ' || user_id || ' on day ' || event_id ELSE 'user ' || user_id || ' left' END AS text FROM events WHERE event_type = 'signup'")
+def fn_note_text(spark, d):
+    """Notes joined with the sentences of a language."""
+    e = V.table(spark, d, "events").where("event_type = 'signup'")
+    notes = e.select("event_id", F.when(c("event_id") % 2 == 0, "in").otherwise("out").alias("k"), F.array(c("user_id").cast("string"), c("event_id").cast("string")).alias("a"))
+    said = spark.createDataFrame([("en", "in", "entered at {0} on day {1}"), ("en", "out", "user {0} left")], "lang string, k string, text string")
+    return report.note_texts(notes, said).select("event_id", "text")
+
+
+@query()
+def agg_window_end(spark, d):
+    """Where each channel's first twenty calls alone would leave the account."""
+    first = report.page(V.calls(spark, d), ["channel_id"], ["ts", "msg_id"], 1, 20)
+    return report.window_ends(ledger.lines(queued(spark, d)), first)

@@ -11,6 +11,7 @@ from ..functions.say import say_column
 from ..operators import instruments as I
 from ..operators import linking
 from ..operators import messages as M
+from ..operators import report
 from ..sources import chats, transcripts
 from . import bindings as V
 
@@ -171,9 +172,24 @@ def fn_oneline(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.squash(c("source")).alias("squashed"), T.one_line(c("text"), 80).alias("line"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+', '[link removed]', 'g'), '(?i)\bwww\.\S+', '[link removed]', 'g'), '@[A-Za-z][A-Za-z0-9_]{3,}', '@[handle removed]', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '(?i)t\.me|wa\.me|whatsapp|[6-9]\d{4}|[\w.-]{3,}@(ybl|okaxis|okhdfcbank|okicici|oksbi|paytm|upi|ibl|axl|apl)')")
+def _scrub_sql(x: str) -> str:
+    for pattern, to in (
+        (r"(?i)https?://t\.me/(?:\+|joinchat/)\S+", "t.me/+[link removed]"),
+        (r"(?i)https?://(?:wa\.me|api\.whatsapp\.com)\S*", "wa.me/[number removed]"),
+        (r"(?i)https?://chat\.whatsapp\.com/\S+", "chat.whatsapp.com/[link removed]"),
+        (r"(?i)https?://\S+", "[link removed]"),
+        (r"(?i)\bwww\.\S+", "[link removed]"),
+        (r"(?i)\b[\w.-]{3,}@(ybl|okaxis|okhdfcbank|okicici|oksbi|paytm|upi|ibl|axl|apl)\b", r"[id removed]@\1"),
+        (r"@[A-Za-z][A-Za-z0-9_]{3,}", "@[handle removed]"),
+        (r"(?:\+?91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}\b", "[number removed]"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+@query(f"SELECT doc_id, {_scrub_sql('text')} AS t FROM documents")
 def prj_scrub(spark, d):
-    """All eight rules over every document; null texts stay null. The SQL has three rules and only the rows that need no other."""
+    """All eight rules over every document; null texts stay null."""
     return V.table(spark, d, "documents").select("doc_id", T.scrub(c("text"), []).alias("t"))
 
 
@@ -259,3 +275,35 @@ def src_ocr_text(spark, d):
     text = F.concat(F.lit("BUY SYM"), i, F.lit(" AT 100 SL 90 TARGET 120\n10:05\nBUY SYM"), i, F.lit(" AT 100...\nTARGET HIT\n11:30\nGOOD MORNING\n9:15 pm"))
     t = V.table(spark, d, "supplier").select(c("s_suppkey").alias("doc_id"), text.alias("text"), F.to_date(F.lit("2025-12-01")).alias("day"))
     return transcripts.transcripts(t)
+
+
+@query("SELECT user_id % 10 AS channel_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE event_type = 'signup' GROUP BY 1")
+def agg_span(spark, d):
+    return report.spans(tips(spark, d))
+
+
+@query(f"WITH {_TIPS} SELECT channel_id, 95.0::DOUBLE AS percent FROM tips WHERE phrase LIKE '%ACCURACY' GROUP BY 1")
+def agg_claimed(spark, d):
+    """The highest accuracy that each channel claims."""
+    return M.claims(tips(spark, d)).groupBy("channel_id").agg(F.max("percent").alias("percent"))
+
+
+@query(f"WITH {_TIPS}, k AS (SELECT channel_id, msg_id, unnest({_KIND}) AS kind FROM tips) SELECT channel_id, kind, min(msg_id) AS msg_id FROM k GROUP BY 1, 2")
+def top1_example(spark, d):
+    """The first message with a cue of each kind."""
+    return report.first_examples(M.cues(tips(spark, d))).select("channel_id", "kind", "msg_id")
+
+
+@query("SELECT conv_id AS channel_id, string_agg(CASE turn % 6 WHEN 0 THEN 'c' WHEN 1 THEN 'p' WHEN 2 THEN 'l' WHEN 3 THEN 's' WHEN 4 THEN 'o' ELSE 'i' END, '' ORDER BY turn) AS letters, count(*) FILTER (turn % 6 = 0) AS call, count(*) FILTER (turn % 6 = 1) AS profit, count(*) FILTER (turn % 6 = 2) AS loss, count(*) FILTER (turn % 6 = 3) AS selling, count(*) FILTER (turn % 6 = 4) AS other, count(*) FILTER (turn % 6 = 5) AS picture FROM conversations GROUP BY 1")
+def agg_tape(spark, d):
+    """One letter a message, in order."""
+    kinds = F.array(*map(F.lit, ("call", "profit", "loss", "selling", "other", "picture")))
+    return report.tape_letters(V.messages(spark, d).select("channel_id", "msg_id", F.element_at(kinds, (c("msg_id") % 6 + 1).cast("int")).alias("cls")))
+
+
+@query("SELECT user_id % 10 AS channel_id, count(*) FILTER (event_id % 3 = 0) AS no_stop, count(*) FILTER (event_id % 4 = 0) AS paywalled FROM events WHERE event_type = 'signup' GROUP BY 1")
+def agg_tape_meta(spark, d):
+    """Calls without a stop, and cues that sell levels."""
+    e, i = V.table(spark, d, "events").where("event_type = 'signup'"), c("event_id")
+    k = e.select((c("user_id") % 10).alias("channel_id"), F.when(i % 3 != 0, c("value")).alias("stop"), F.when(i % 4 == 0, "paywalled-levels").otherwise("contact").alias("kind"))
+    return report.tape_meta(k, k)
