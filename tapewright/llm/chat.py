@@ -166,7 +166,11 @@ def format_records(df: DataFrame, record: str, keep: list[str], layouts=LAYOUTS)
 
 
 def conversation_digests(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """Read back from ``turns(conv_id, turn, at, segment, loss_start, loss_chars)``: one row of digests a conversation."""
+    """Read back from ``turns(conv_id, turn, at, segment, loss_start, loss_chars)``: one row of digests a conversation.
+
+    Rows without a segment (records of no known layout) are no turns.
+    """
+    turns = turns.where(F.col("segment").isNotNull())
     # ties of turn are ordered by role and text, so that any partitioning gives the same conversation
     rows = turns.repartition(parts(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "at", "role", "segment")
 

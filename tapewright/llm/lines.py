@@ -162,7 +162,9 @@ def dedup(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines with a word, how many of them were deleted in how many runs, and the digest of what is left.
 
-    Null texts count as empty; an empty table gives no rows; extra columns are ignored.
+    Null texts count as empty; an empty table gives no rows; extra columns are
+    ignored. A very long text is one row, and its lines are read once. Rows that
+    agree in doc_id and text get one result; ties of place do not occur.
     """
     out = dedup(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), F.sha2(text_of(), 256).alias("kept_sha256"))

@@ -27,6 +27,8 @@ BINS = 1 << BIN_BITS
 BITS = 4
 SHINGLE = 5
 SEED = 42
+#: Bytes of text that a task of the shuffle gets, about.
+TASK_BYTES = 64 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,8 +114,10 @@ def with_next(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> Data
     shuffled once. Bins are cut at quantiles of the keys, so they hold about
     equally many; only their bounds, a few numbers a partition, reach the driver.
     """
-    n = 3 * parts(spark)
     keyed = docs.select(F.col(key).cast("long").alias(key), text_of().alias("text"))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(parts(spark), size // TASK_BYTES + 1)  # so that no task's share grows with the corpus
+    n = 3 * tasks
     cuts = keyed.select(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     cuts = np.array(sorted(set(cuts)), np.int64)
     bounds = spark.sparkContext.broadcast(cuts)
@@ -132,7 +136,7 @@ def with_next(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> Data
         return pd.Series([[2 * b] if (p := before.value.get(x)) is None else [2 * b, 2 * p + 1] for x, b in zip(k.tolist(), own.tolist())])
 
     dealt = keyed.withColumn("slot", F.explode(slots(key))).withColumn("bin", F.expr("slot div 2")).withColumn("after", F.expr("slot % 2 = 1")).drop("slot")
-    return dealt.repartition(parts(spark), "bin").sortWithinPartitions("bin", "after", F.col(key).asc_nulls_last(), "text")
+    return dealt.repartition(tasks, "bin").sortWithinPartitions("bin", "after", F.col(key).asc_nulls_last(), "text")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +144,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts: the all-zero fingerprint, likeness 1 to themselves.
     Rows of one doc_id follow each other by text; null ids come last. A table of
-    one row is followed by itself; an empty one gives no rows.
+    one row is followed by itself; an empty one gives no rows. Texts of any length
+    are hashed whole; extra columns are ignored.
     """
     rows = with_next(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "text", "bin", "after")
 

@@ -204,7 +204,7 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts have size 0 and nothing is taken of them; a null
     source is the last source. Repeated rows are mixed each; an empty table
-    gives no rows. Extra columns: ignored.
+    gives no rows. Extra columns: ignored. Of very long texts only words are counted.
     """
     return mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -7,6 +7,10 @@ share CORE of rows nearest by Mahalanobis distance, re-estimate mean and
 covariance from them) from two deterministic starts, of which the one with the
 smaller determinant is kept. Rows beyond CUTOFF are rejected.
 
+A group has to have more rows than statistics to say much of its own spread: in
+smaller ones the floors are nearly all of the variance, and rows are judged by
+them around the group's mean; a lone row is at its own mean and is kept.
+
 Every step is two small aggregations that combine on the map side: moments per
 group, and a histogram of distances from which the cut of the nearest share is
 read. A group of any size, hot or not, is a row of moments to each task.
@@ -148,6 +152,7 @@ def op5_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no words and fail the base rules. Repeated rows
     are judged each; an empty table gives no rows; extra columns are ignored.
+    Very long texts are arrays of their words in one row; nothing is exploded.
     """
     out = judge(spark, read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -215,7 +215,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: fingerprint in hex and the smallest doc_id of its component.
 
     Null and empty texts have fingerprint zero and link with one another.
-    Repeated rows are returned each; an empty table gives no rows.
+    Repeated rows are returned each; an empty table gives no rows. Texts of any
+    length are read whole, 65,536 shingles at a time; extra columns are ignored.
     """
     c = classes(spark, read_table(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

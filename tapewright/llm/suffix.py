@@ -431,7 +431,8 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, bytes removed, maximal runs removed, digest of what is left.
 
     Null texts are empty; texts under SIZE bytes lose nothing; repeated rows
-    repeat each other, so both lose all; an empty table gives no rows.
+    repeat each other, so both lose all; an empty table gives no rows. A very long
+    text is one row of its runs; extra columns are ignored.
     """
     out = remove(spark, read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -415,7 +415,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity and the prediction at 0.5.
 
     Null and empty texts score 0. Repeated rows are scored each. Without toxic
-    labels every score is 0; an empty table gives no rows.
+    labels every score is 0; an empty table gives no rows. Very long texts are a
+    set of words each, scored in slices; extra columns are ignored.
     """
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     out = score(spark, docs.select("doc_id", "text"), train(spark, docs, labels))

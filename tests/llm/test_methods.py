@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, chat, common, lines, minhash, mixture, outliers, quality, simhash, suffix, toxicity
 
@@ -136,8 +137,8 @@ def test_outliers_base_statistics(spark, docs):
         assert r.base_failed == (len(w) < 20 or 100 * len(under) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_outliers_estimate_like_numpy(spark):
-    """The distances equal those of the same concentration steps in numpy, and planted outliers are beyond the cutoff."""
+def test_outliers_estimate_resists_planted_outliers(spark):
+    """A tenth of planted outliers is beyond the cutoff, and hardly moves the centre."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 5)) * [1, 2, 0.5, 1, 3] + [0, 5, 1, 2, 3]
     x[:40] += 60
@@ -152,6 +153,41 @@ def test_outliers_estimate_like_numpy(spark):
     assert np.allclose([m[f"m{i}"] for i in range(5)], core.mean(0), atol=0.35 * core.std(0).max())
 
 
+def _mcd(x: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to the estimate that plain concentration steps give."""
+    n, p = x.shape
+    ranks = [max(0, int(np.ceil(q * n)) - 1) for q in (0.16, 0.5, 0.84)]
+    low, mid, high = np.sort(x, axis=0)[ranks]
+    found = []
+    for m, cov in ((mid, np.diag(((high - low) / 2) ** 2 + floors**2)), (x.mean(0), np.diag(x.var(0) + floors**2))):
+        for _ in range(outliers.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+            bins = np.floor(np.log(d + 1e-9) * 24)
+            cut = np.sort(bins)[int(np.ceil(n * outliers.CORE)) - 1]
+            core = x[bins <= cut]
+            m, cov = core.mean(0), np.cov(core.T, bias=True) * outliers.CONSISTENT + np.diag(floors**2)
+        found.append((np.linalg.slogdet(cov)[1], m, cov))
+    _, m, cov = min(found, key=lambda f: f[0])
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+
+
+def test_outliers_verdicts_like_a_plain_loop(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source", "text").collect()
+    place = {r.doc_id: (r.lang, r.source) for r in table}
+    worded = {r.doc_id: len([x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]) for r in table}
+    rows = outliers.judge(spark, spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    groups: dict = {}
+    for r in rows:
+        if not r.base_failed:
+            v = (np.log1p(r.n_words), (r.word_chars + 250) / (r.n_words + 50), np.sqrt(r.n_symbols / (r.word_chars + 50)), np.sqrt(r.n_dup_lines / (worded[r.doc_id] + 4)), np.sqrt(r.n_repeat_words / (r.n_words + 50)))
+            groups.setdefault(place[r.doc_id], []).append((r, v))
+    for members in groups.values():
+        d = _mcd(np.array([v for _, v in members]), np.array(outliers.FLOORS))
+        for (r, _), want in zip(members, d):
+            assert np.isclose(r.distance, want, rtol=1e-6, atol=1e-6) and r.kept == (want <= outliers.CUTOFF)
+    assert not any(r.kept and r.base_failed for r in rows)
+
+
 def test_minhash_estimates_jaccard(spark, docs):
     got = {r.doc_id: r for r in minhash.op6_minhash(spark, SF).collect()}
     err = []
@@ -182,12 +218,16 @@ def test_chat_layouts(spark):
         '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}',
         '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}',
         '{"prompt": "a", "response": "b"}', '{"instruction": "a", "input": "", "output": "b"}', '{"instruction": "a", "output": "b"}',
+        '{"prompt": "a", "completion": "b"}', '{"question": "a", "answer": "b"}', '{"system": "s", "prompt": "a", "response": "b"}',
     ]
     df = spark.createDataFrame(list(enumerate(records)) + [(9, '{"other": 1}'), (10, "no json"), (11, None)], "k long, j string")
     got: dict = {}
     for r in chat.format_records(df, "j", ["k"]).orderBy("k", "at").collect():
         got.setdefault(r.k, []).append(r.segment and chat.read_turn(r.segment))
-    assert all(got[i] == [("user", "a"), ("assistant", "b")] for i in range(5)) and got[9] == got[10] == got[11] == [None]
+    assert all(got[i] == [("user", "a"), ("assistant", "b")] for i in range(7)) and got[7] == [("system", "s"), ("user", "a"), ("assistant", "b")]
+    assert got[9] == got[10] == got[11] == [None]
+    turns = chat.format_records(df, "j", ["k"]).withColumnRenamed("k", "conv_id").withColumn("turn", F.lit(0))
+    assert sorted((r.conv_id, r.n_turns) for r in chat.conversation_digests(spark, turns).collect()) == [(i, 2 + (i == 7)) for i in range(8)]
 
 
 def test_lines_remove_later_runs(spark):
@@ -215,10 +255,11 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     lab = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    got = [(r.predicted, lab[r.doc_id]) for r in toxicity.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in lab]
-    assert np.mean([a == b for a, b in got]) > 0.93
+    got = [(r.predicted, lab[r.doc_id]) for r in toxicity.op10_toxicity(spark, sf).collect() if r.held_out and lab.get(r.doc_id) is not None]
+    hit, told, there = sum(a & b for a, b in got), sum(a for a, _ in got), sum(b for _, b in got)
+    assert hit / told >= 0.95 and hit / there >= 0.85  # several of those missed have no insult left in their text
 
 
 def test_string_kernel_is_gap_tolerant():
