@@ -51,7 +51,11 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     sizes = np.fromiter(map(len, words), np.int64, n)
     starts = np.cumsum(sizes + 1) - sizes - 1
     digest, ends = xxhash.xxh64_intdigest, (starts + sizes)[shingle - 1 :]
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends.tolist())], "<u8")
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends.tolist())], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; of none, zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
