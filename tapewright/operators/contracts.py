@@ -30,7 +30,7 @@ def fits(entry_type: Column, lo: Column, hi: Column, low: Column, high: Column)
 
 
 def day_index(dates: DataFrame, calendar: DataFrame, date: str = "expiry", out: str = "expiry_day") -> DataFrame:
-    """Adds the trading-day index of a date: the first day on or after it; past the data 5/7 of the days beyond the last, one at least."""
+    """Adds the trading-day index of a date: the first day on or after it; past the data 5/7 of the days beyond the last, one at least; null of a null date."""
     last = calendar.agg(F.max("dt").alias("__to"), F.max("d").alias("__last"))  # one row
     wanted = dates.select(date).distinct()
     # a map of the dates asked to days: each date meets the days of its week and the next, which holds a trading day
