@@ -345,13 +345,16 @@ def unread(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def tape(messages: DataFrame, calls: DataFrame, posts: DataFrame) -> DataFrame:
-    """Each message's class: call, loss, profit, selling, picture, other, the first that holds."""
-    sell = cues(messages).where(c("kind").isin(*P.SELLING)).select("channel_id", "msg_id").distinct().withColumn("sell", F.lit(True))
-    k = calls.select("channel_id", "msg_id").distinct().withColumn("is_call", F.lit(True))
-    p = posts.groupBy("channel_id", "msg_id").agg(F.bool_or(c("kind") == "stop-hit").alias("loss"), F.bool_or(c("kind").isin("target-hit", "profit")).alias("won"))
-    t = messages.join(k, ["channel_id", "msg_id"], "left").join(p, ["channel_id", "msg_id"], "left").join(sell, ["channel_id", "msg_id"], "left")
-    cls = F.when(c("is_call"), "call").when(c("loss"), "loss").when(c("won"), "profit").when(c("sell"), "selling").when(F.trim("text") == "", "picture").otherwise("other")
-    return t.select("channel_id", "msg_id", cls.alias("cls"))
+    """Each message's class: call, loss, profit, selling, picture, other, the first that holds.
+
+    A result post of any kind but a stopped one counts as profit, and so does boasting of profits or certainty.
+    """
+    said = cues(messages).groupBy(*KEY).agg(F.bool_or(c("kind").isin(*P.SELLING)).alias("sell"), F.bool_or(~c("kind").isin(*P.SELLING)).alias("boast"))
+    k = calls.select(*KEY).distinct().withColumn("is_call", F.lit(True))
+    p = posts.groupBy(*KEY).agg(F.bool_or(c("kind") == "stop-hit").alias("loss"), F.lit(True).alias("result"))
+    t = messages.join(k, KEY, "left").join(p, KEY, "left").join(said, KEY, "left")
+    cls = F.when(c("is_call"), "call").when(c("loss"), "loss").when(c("result") | c("boast"), "profit").when(c("sell"), "selling").when(F.trim("text") == "", "picture").otherwise("other")
+    return t.select(*KEY, cls.alias("cls"))
 
 
 def quiet(tape_rows: DataFrame, most: int = 2) -> DataFrame:

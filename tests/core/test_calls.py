@@ -109,3 +109,11 @@ def test_name_keys(spark, names):
     keys = {(r.key, r.symbol, r.via) for r in names.collect()}
     assert ("TVSMOTOR", "TVSMOTOR", "ticker") in keys and ("VODAFONE", "IDEA", "name") in keys and ("GANDHAROILREFINERY", "GANDHAR", "name") in keys
     assert not any(k == "ABCGOLDETF" for k, _, v in keys if v == "name") and ("BNF", "BANKNIFTY", "alias") in keys
+
+
+def test_tape_classes(spark):
+    texts = ["BUY", "SL HIT", "EXIT NOW", "SURE SHOT JACKPOT", "JOIN OUR VIP GROUP", "DM ME AND PROFIT 50000", " ", "hello"]
+    m = messages(spark, texts)
+    calls = m.where("msg_id = 0").select("channel_id", "msg_id")
+    got = {r.msg_id: r.cls for r in M.tape(m, calls, M.follow_ups(m)).collect()}
+    assert [got[i] for i in range(8)] == ["call", "loss", "profit", "profit", "selling", "profit", "picture", "other"]
