@@ -15,6 +15,7 @@ two stay apart when their joint bytes are merged on their own.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -29,7 +30,7 @@ from .common import read_table, text_of
 # Fixed values of the byte-level scheme: the pre-tokenizer's pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words that each of a worker's two generations of encodings holds; a word met again moves to the younger.
-CACHE_BYTES = 1_200_000
+CACHE_BYTES = 2_500_000
 #: A word is kept from its second sight on; first sights leave one byte in a table of so many (a power of two).
 SIGHTS = 1 << 21
 #: Pairs of tokens whose compatibility is remembered.
@@ -194,14 +195,14 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(path: str, shared) -> Codec:
-    """The worker's codec of a vocabulary file; its tables are kept from task to task, words are not."""
+    """The worker's codec of a vocabulary file, kept from task to task; its tables and words are bounded."""
     if path not in _codecs:
         _codecs.clear()
         _codecs[path] = Codec(shared.value)
     return _codecs[path]
 
 
-def _chunks(batch: pa.RecordBatch, column: str, most_chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def _chunks(batch: pa.RecordBatch, column: str, most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch in slices of bounded size."""
     at, held, size = 0, [], 0
     for i, text in enumerate(batch.column(column)):
@@ -232,7 +233,6 @@ def encode(spark: SparkSession, df: DataFrame, vocabulary_path: str, keep: list[
                 if decode_too:
                     cols["decoded"] = pa.array([codec.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_pydict(cols)
-        codec.forget()
 
     keep_order = [f.name for f in df.schema.fields if f.name in keep]
     return df.select(*keep_order, text_of(text).alias("__text")).mapInArrow(run, schema)
@@ -249,14 +249,17 @@ def digests(spark: SparkSession, df: DataFrame, vocabulary_path: str, key: str =
     def run(batches):
         codec = _codec(vocabulary_path, shared)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
-            for at, texts in _chunks(b, "__text"):
-                out = []
-                for got in codec.records(texts):
-                    decoded = b"".join([r[2] for r in got]).decode("utf-8", "replace")
-                    out.append((sum([r[0] for r in got]), sha(",".join([r[1] for r in got])), sha(decoded)))
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string())))], schema.names)
-        codec.forget()
+        gc.disable()  # the caches hold no cycles; walking them again and again is all that a collection would do
+        try:
+            for b in batches:
+                for at, texts in _chunks(b, "__text"):
+                    out = []
+                    for got in codec.records(texts):
+                        decoded = b"".join([r[2] for r in got]).decode("utf-8", "replace")
+                        out.append((sum([r[0] for r in got]), sha(",".join([r[1] for r in got])), sha(decoded)))
+                    yield pa.RecordBatch.from_arrays([b.column(key).slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string())))], schema.names)
+        finally:
+            gc.enable()
 
     return df.select(key, text_of(text).alias("__text")).mapInArrow(run, schema)
 
