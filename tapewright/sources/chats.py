@@ -107,10 +107,14 @@ def whatsapp_export(lines: DataFrame) -> DataFrame:
 
 
 def pasted(texts: DataFrame, at: str) -> DataFrame:
-    """Blocks between blank lines as messages of one time. texts: doc_id, text."""
-    b = texts.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("n", "b")).withColumn("b", F.regexp_replace("b", r"^\s+|\s+$", "")).where("b <> ''")
+    """Blocks between blank lines as messages of one time; texts that look like a chat export are read as one. texts: doc_id, text."""
+    lines = texts.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    chat = looks_like_whatsapp(lines).where("whatsapp").select("doc_id")
+    told = whatsapp_export(lines.join(chat, "doc_id", "left_semi")).select("doc_id", c("msg_id").cast("int").alias("msg_id"), "ts", "text")
+    plain = texts.join(chat, "doc_id", "left_anti")
+    b = plain.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("n", "b")).withColumn("b", F.regexp_replace("b", r"^\s+|\s+$", "")).where("b <> ''")
     w = W.partitionBy("doc_id").orderBy("n")
-    return b.select("doc_id", F.row_number().over(w).alias("msg_id"), F.to_timestamp(F.lit(at)).alias("ts"), c("b").alias("text"))
+    return b.select("doc_id", F.row_number().over(w).alias("msg_id"), F.to_timestamp(F.lit(at)).alias("ts"), c("b").alias("text")).unionByName(told)
 
 
 def handle(x: Column) -> Column:

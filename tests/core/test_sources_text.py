@@ -67,6 +67,13 @@ def test_whatsapp(spark):
     assert chats.looks_like_whatsapp(lines).first().whatsapp
 
 
+def test_pasted_text_and_pasted_chats(spark):
+    chat = "12/09/25, 9:20 am - Asha: BUY TCS\nabove 100\n12/09/25, 9:30 pm - Asha: SOLD"
+    df = spark.createDataFrame([(1, "one\n\n two \n\n\n"), (2, chat), (3, None)], "doc_id int, text string")
+    got = sorted((r.doc_id, r.msg_id, r.text) for r in chats.pasted(df, "2025-01-01 00:00:00").collect())
+    assert got == [(1, 1, "one"), (1, 2, "two"), (2, 1, "BUY TCS\nabove 100"), (2, 2, "SOLD")]
+
+
 def test_telegram_export(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"name": "Ch", "messages": [{"id": 1, "type": "message", "date": "2025-01-01T10:00:00", "date_unixtime": "1735700400", "text": ["BUY ", {"type": "bold", "text": "TCS"}]}, {"id": 2, "type": "service", "date": "2025-01-01T10:00:00", "text": ""}, {"id": 3, "type": "message", "date": "2025-01-01T10:00:00", "text": "plain", "reply_to_message_id": 1, "photo": "a.jpg"}]}')
     got = chats.telegram_export(spark, f"file://{tmp_path}/r.json").orderBy("msg_id").collect()
