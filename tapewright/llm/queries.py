@@ -16,6 +16,9 @@ _WHERE = {
     "op8_lines": "lines",
     "op9_suffix": "suffix",
     "op10_toxicity": "toxicity",
+    "op11_spelling": "spelling",
+    "op12_lloyd": "lloyd",
+    "op13_content_sort": "content_sort",
 }
 
 
