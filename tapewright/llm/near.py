@@ -11,10 +11,16 @@ hash functions is kept; sets that agree in all values of a band meet there.
 A pair of similarity s meets in some band with probability
 1 - (1 - s^ROWS)^BANDS, which is 0.998 at 0.8.
 
-A band's group of n proposes about 2n pairs, not n^2: each member with the
+A band's group of n proposes about 2n pairs at first, not n^2: each member with the
 group's first, and with its neighbour in the order of the next band, where
 alike sets stand together. Every pair is verified on the whole sets before it
 links; unverified pairs link nothing.
+
+That joins what is alike throughout, however large the group. Where a group is
+still in several parts, or a proposal has failed, a link may be left between the
+parts: all members of those are compared again, by an exact join. Two sets
+at similarity s share one of the n - ceil(s n) + 1 rarest members of each,
+so sets of different parts that share such a member are verified, all of them.
 """
 
 from __future__ import annotations
@@ -78,10 +84,10 @@ def _mapped(docs: DataFrame, columns: list[str], of, made: dict) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cols = list(zip(*(of(x) for x in b.column("__text").to_pylist()))) or [()] * len(made)
+            cols = list(zip(*(of(x) for x in b.column("__near_text").to_pylist()))) or [()] * len(made)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array(c, t) for c, (t, _) in zip(cols, made.values()))], [*columns, *made])
 
-    return docs.select(*columns, "__text").mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"{k} {t}" for k, (_, t) in made.items())]))
+    return docs.select(*columns, "__near_text").mapInArrow(run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"{k} {t}" for k, (_, t) in made.items())]))
 
 
 _KEYS = {"node": (pa.int64(), "long"), "keys": (pa.list_(pa.int64()), "array<long>"), "fp": (pa.int64(), "long")}
@@ -103,15 +109,16 @@ def _node(x: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), 3) - (1 << 63)
 
 
-def proposals(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of ``nodes(node, keys)`` that a band's group proposes."""
+def proposals(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bands' groups (m, cell, node) of more than one member of ``nodes(node, keys)``, and the distinct pairs (a, b) that they propose."""
     turn = F.expr(f"transform(keys, (k, i) -> struct(i AS m, k AS cell, keys[(i + 1) % {BANDS}] AS next))")
     cells = stage(spark, nodes.select("node", F.explode(turn).alias("x")).select("node", "x.*"), "near-cells")
     full = stage(spark, cells.groupBy("m", "cell").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "near-full")
-    met = cells.join(full, ["m", "cell"]).withColumn("piece", F.pmod(F.xxhash64("next"), F.ceil(F.col("n") / PIECE)))
+    shared = stage(spark, cells.join(full, ["m", "cell"]), "near-shared")
+    met = shared.withColumn("piece", F.pmod(F.xxhash64("next"), F.ceil(F.col("n") / PIECE)))
     beside = F.lag("node").over(W.partitionBy("m", "cell", "piece").orderBy("next", "node"))
     pairs = met.withColumn("beside", beside).select("node", F.explode(F.array("first", "beside")).alias("other")).where("other <> node")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return shared.select("m", "cell", "node"), pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def simhash_proposals(spark: SparkSession, nodes: DataFrame, most: int = 4) -> DataFrame:
@@ -134,25 +141,70 @@ def links(spark: SparkSession, pairs: DataFrame, words: DataFrame, least: float
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def unresolved(spark: SparkSession, cells: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes, with their part, of which a link to another part may be missing: members of band groups in several parts,
+    and all of the parts between which a proposal has failed. ``found(node, component)``: parts so far; others are their own."""
+    part = lambda node, name: found.select(F.col("node").alias(node), F.col("component").alias(name))
+    placed = cells.join(found, "node", "left").select("m", "cell", "node", F.coalesce("component", "node").alias("part"))
+    open_cells = placed.groupBy("m", "cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("m", "cell")
+    members = placed.join(open_cells, ["m", "cell"]).select("node", "part")
+    ends = pairs.join(part("a", "pa"), "a", "left").join(part("b", "pb"), "b", "left").select(F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb")).where("pa <> pb")
+    parts_apart = ends.select(F.explode(F.array("pa", "pb")).alias("part")).distinct()
+    all_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    return members.unionByName(all_nodes.join(parts_apart, "part", "left_semi").select("node", "part")).distinct()
+
+
+def across(spark: SparkSession, nodes: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
+    """All pairs (a, b) of ``nodes(node, part)`` of different parts that can be alike: they share a member of both prefixes.
+
+    A prefix is the set's rarest members, as many as one of which an alike set must have. No pair at ``least`` is left out.
+    """
+
+    def run(batches):
+        for b in batches:
+            for node, part, w in zip(b.column("node").to_pylist(), b.column("part").to_pylist(), b.column("words").to_pylist()):
+                h = np.frombuffer(w, "<u8").view("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), part)), pa.array(h), pa.array(np.full(len(h), len(h)))], ["node", "part", "h", "n"])
+
+    sets = stage(spark, nodes.join(words, "node").select("node", "part", "words").mapInArrow(run, "node long, part long, h long, n long"), "near-members")
+    # a member that one set alone has leads to no pair, but has its place in the prefix
+    often = stage(spark, sets.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-often")
+    ranked = sets.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
+    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    keys = stage(spark, ranked.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("node", "part", "h", "n"), "near-prefix")
+    x, y = keys.alias("x"), keys.alias("y")
+    sizes = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9
+    met = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & sizes)
+    return stage(spark, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-across")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents without near copies: of each linked group the row with the smallest doc_id stays.
 
     Texts without a word are copies of one another. Rows that agree in doc_id
     and text are reduced to one; of a doc_id with several texts each is a row
-    of its own. Rows of null doc_id stay. All columns are kept as they are.
+    of its own. Rows of null doc_id stay. All columns are kept as they are
+    (names that begin with ``__near_`` are the stage's own); an empty table gives
+    no rows; a very long text is one set of one row.
     """
-    keyed = docs.where("doc_id is not null").withColumn("__text", text_of())
-    keyed = keyed.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__tid", F.xxhash64("__text"))
-    known = _mapped(keyed, ["__doc", "__tid"], _keys, _KEYS)
+    keyed = docs.where("doc_id is not null").withColumn("__near_text", text_of())
+    keyed = keyed.withColumn("__near_doc", F.col("doc_id").cast("long")).withColumn("__near_tid", F.xxhash64("__near_text"))
+    known = _mapped(keyed, ["__near_doc", "__near_tid"], _keys, _KEYS)
     # equal sets are one row; its text is that of the smallest doc_id
-    lead = known.groupBy("node").agg(F.min(F.struct("__doc", "__tid")).alias("o"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
+    lead = known.groupBy("node").agg(F.min(F.struct("__near_doc", "__near_tid")).alias("o"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     lead = stage(spark, lead.select("node", "o.*", "keys", "fp"), "near-lead")
-    pairs = stage(spark, proposals(spark, lead).unionByName(simhash_proposals(spark, lead.select("node", "fp"))).distinct(), "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(lead.select("node", "__doc", "__tid"), "node")
-    texts = keyed.select("__doc", "__tid", "__text").join(asked, ["__doc", "__tid"]).dropDuplicates(["node"])
+    cells, banded = proposals(spark, lead)
+    pairs = stage(spark, banded.unionByName(simhash_proposals(spark, lead.select("node", "fp"))).distinct(), "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(lead.select("node", "__near_doc", "__near_tid"), "node")
+    texts = keyed.select("__near_doc", "__near_tid", "__near_text").join(asked, ["__near_doc", "__near_tid"]).dropDuplicates(["node"])
     words = stage(spark, _mapped(texts, ["node"], _words, _WORDS), "near-words")
-    found = components(spark, links(spark, pairs, words, least), "near-cc")
+    linked = stage(spark, links(spark, pairs, words, least), "near-links")
+    found = stage(spark, components(spark, linked, "near-cc"), "near-parts")
+    left = stage(spark, unresolved(spark, cells, pairs, found), "near-left")
+    more = links(spark, across(spark, left, words, least), words, least)
+    found = components(spark, linked.unionByName(more), "near-all")
     group = F.coalesce("component", lead.node)
-    stay = lead.join(found, lead.node == found.node, "left").groupBy(group.alias("g")).agg(F.min(F.struct("__doc", "__tid")).alias("o")).select("o.*")
-    kept = keyed.join(stay, ["__doc", "__tid"], "left_semi").dropDuplicates(["__doc", "__tid"])
+    stay = lead.join(found, lead.node == found.node, "left").groupBy(group.alias("g")).agg(F.min(F.struct("__near_doc", "__near_tid")).alias("o")).select("o.*")
+    kept = keyed.join(stay, ["__near_doc", "__near_tid"], "left_semi").dropDuplicates(["__near_doc", "__near_tid"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -224,15 +224,3 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     c = classes(spark, read_table(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, most: int = 4, shingle: int = 4) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest doc_id stays.
-
-    Rows that repeat that doc_id are reduced to one. Rows of null doc_id stay,
-    as nothing tells them apart. All columns are kept as they are.
-    """
-    c = classes(spark, docs.where("doc_id is not null"), shingle=shingle, most=most)
-    stay = c.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tapewright.llm import bpe, chat, lines, minhash, mixture, outliers, quality, simhash, suffix, toxicity
+from tapewright.llm import bpe, chat, lines, minhash, mixture, near, outliers, quality, simhash, suffix, toxicity
 from tapewright.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, ids string, taken long, a long, component_id long"
@@ -83,5 +83,5 @@ def test_empty_texts(spark, tables):
 
 def test_near_copies_reduce_to_one(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
-    kept = [r.doc_id for r in simhash.keep_one(spark, docs).collect()]
+    kept = [r.doc_id for r in near.keep_one(spark, docs).collect()]
     assert kept.count(1) == 1 and 8 not in kept and kept.count(2) == 1 and 3 not in kept and None in kept
