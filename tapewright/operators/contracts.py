@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import OFF_EXCHANGE, pairs
+from ..functions.names import OFF_EXCHANGE
 from ..functions.numbers import intrinsic
 from ..sources.market import candidate_expiries
 from .instruments import UNNAMED
 
 c = F.col
+#: Groups that calls on unnamed indices are dealt to.
+SALTS = 64
 
 
 def fits(entry_type: Column, lo: Column, hi: Column, low: Column, high: Column) -> Column:
@@ -71,9 +73,13 @@ def settlements(chosen: DataFrame, spot: DataFrame) -> DataFrame:
 
 
 def spread_unnamed(calls: DataFrame, underlyings: DataFrame) -> DataFrame:
-    """Calls on an index that is not named, once for each index (a handful of rows); all others as they are."""
-    index = underlyings.where("kind = 'index'").select(c("symbol").alias("__s"))
-    rows = calls.where(c("symbol") == UNNAMED).crossJoin(F.broadcast(index.limit(100))).withColumn("symbol", c("__s")).drop("__s")
+    """Calls on an index that is not named, once for each index; all others as they are.
+
+    Calls are dealt to SALTS groups, each of which has all indices: an equi join that no single task does.
+    """
+    index = underlyings.where("kind = 'index'").select(c("symbol").alias("__s")).distinct().withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_calls = calls.where(c("symbol") == UNNAMED).withColumn("__g", F.pmod(F.xxhash64("call_id"), F.lit(SALTS)).cast("int"))
+    rows = open_calls.join(index, "__g").withColumn("symbol", c("__s")).select(*calls.columns)
     return calls.where(c("symbol") != UNNAMED).unionByName(rows)
 
 
@@ -94,7 +100,7 @@ def unchecked(calls: DataFrame, underlyings: DataFrame, first_day: Column, stock
     """
     u = underlyings.select(c("symbol").alias("__u"), c("kind").alias("__k")).dropDuplicates(["__u"])
     t = calls.join(u, c("symbol") == c("__u"), "left")
-    outside = c("symbol").isin(*[s for s, _ in pairs(OFF_EXCHANGE)]) & c("__u").isNull()
+    outside = c("symbol").isin(*OFF_EXCHANGE) & c("__u").isNull()
     derivative = c("kind") != "equity"
     code = (
         F.when(c("today").isNull(), "too-recent")

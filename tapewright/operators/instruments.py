@@ -34,7 +34,7 @@ def dictionary(spark: SparkSession, symbols: DataFrame, underlyings: DataFrame,
     first word of five letters or more. Such a key counts only if it points at
     one company, and no ticker or alias has it.
     """
-    made = lambda text, cols: spark.createDataFrame(N.pairs(text), cols)
+    made = lambda mapping, cols: spark.createDataFrame(list(mapping.items()), cols)
     aliases = made(N.STOCK_ALIASES, "alias string, symbol string") if aliases is None else aliases
     fo = underlyings.select("symbol", c("kind").alias("fo_kind")).dropDuplicates(["symbol"])
     info = symbols.select("symbol", "name", c("first_d").cast("int").alias("first_d"), c("last_d").cast("int").alias("last_d")).dropDuplicates(["symbol"])
@@ -92,7 +92,7 @@ def within_edits(asked: DataFrame, targets: DataFrame) -> DataFrame:
     An equi join on remains, verified by the distance; never all against all.
     """
     a = asked.select("word", "most", F.explode(remains(c("word"), c("most") > 1)).alias("__r"))
-    b = targets.select("target", F.explode(remains(c("target"), F.length("target") >= 7)).alias("__r"))
+    b = targets.select("target", F.explode(remains(c("target"), F.lit(True))).alias("__r"))
     met = a.join(b, "__r").where(F.abs(F.length("word") - F.length("target")) <= c("most")).select("word", "most", "target").distinct()
     return met.where(osa_distance("word", "target") <= c("most")).select("word", "target")
 
@@ -256,7 +256,7 @@ def resolve(found: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     slips = found.where("x.mode = 'near'").select(c("x.key").alias("word")).distinct()
     fo_slips = found.where("x.mode = 'underlying'").select(c("x.key").alias("word")).distinct()
     fuzzy = near_names(slips, names).withColumn("mode", F.lit("near")).unionByName(near_underlyings(fo_slips, names).withColumn("mode", F.lit("underlying")))
-    outside = [s for s, _ in N.pairs(N.OFF_EXCHANGE)]
+    outside = list(N.OFF_EXCHANGE)
     n = names.select(c("key").alias("__key"), "symbol", "kind", "via", "rank", "first_d", "last_d", "seq", "in_fo")
     exact = found.where("x.mode IN ('exact', 'strict')").join(n, c("x.key") == c("__key"))
     alive = F.coalesce((c("d") >= c("first_d") - 10) & (c("d") <= c("last_d") + 10), F.lit(True))

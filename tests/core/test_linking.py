@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tapewright.operators import contracts, ledger, linking
+from tapewright.operators import contracts, instruments, ledger, linking
 
 DAY0 = dt.datetime(2025, 1, 1)
 
@@ -63,3 +63,17 @@ def test_days_past_the_data_and_fits(spark):
     f = spark.createDataFrame(rows, "t string, lo double, hi double, l double, h double")
     got = [r[0] for r in f.select(contracts.fits(F.col("t"), F.col("lo"), F.col("hi"), F.col("l"), F.col("h"))).collect()]
     assert got == [True, True, False, True, True, False, False]
+
+
+def test_unnamed_calls_meet_every_index(spark):
+    calls = spark.createDataFrame([(k, contracts.UNNAMED, 1.0) for k in range(3)] + [(9, "X", 2.0)], "call_id long, symbol string, lo double")
+    under = spark.createDataFrame([(f"I{k}", "index") for k in range(150)] * 2 + [("S", "stock")], "symbol string, kind string")
+    got = contracts.spread_unnamed(calls, under)
+    assert got.columns == calls.columns and got.count() == 3 * 150 + 1 and got.where("call_id = 1").select("symbol").distinct().count() == 150
+
+
+def test_two_slips_in_short_words(spark):
+    asked = spark.createDataFrame([("ABCDEF", 2), ("ABXCE", 2), ("AB", 2), ("ABCDEF", 1)], "word string, most int")
+    targets = spark.createDataFrame([("ABXYEF",), ("ABCDFE",), ("B",), ("QQQQQQ",)], "target string")
+    got = {(r.word, r.target) for r in instruments.within_edits(asked, targets).collect()}
+    assert got == {("ABCDEF", "ABXYEF"), ("ABCDEF", "ABCDFE"), ("AB", "B"), ("ABXCE", "ABXYEF")}
