@@ -1,4 +1,4 @@
-"""Extension: rules of the batch operators as Structured Streaming. The batch operators are the reference for results."""
+"""Extension: rules of the batch operators as Structured Streaming. The batch operators are the reference for results; rules with state of their own are in ``stateful``."""
 
 from __future__ import annotations
 
@@ -19,11 +19,3 @@ def selling_per_hour(messages: DataFrame, lateness: str = "10 minutes") -> DataF
         if kind in P.SELLING:
             selling = selling | both.rlike(P.bounded(pattern))
     return found.groupBy("channel_id", F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.count_if(selling).alias("selling"))
-
-
-def without_reposts(drafts: DataFrame, key: list[str], hours: int = 18) -> DataFrame:
-    """Drafts less those seen within the watermark's 18 hours. The batch rule anchors at the last one kept; this one at the first."""
-    return drafts.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["channel_id", *key])
-
-
-__all__ = ["selling_per_hour", "without_reposts"]
