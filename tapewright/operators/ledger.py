@@ -1,16 +1,18 @@
 """From outcomes to a follower's account: the record, the funded fold, loans and what-if grids.
 
 Measures that need no balance are plain aggregations. Only affordability feeds
-back into the balance, so only that is a fold: one group per (channel, reading,
-parameter set), streamed in the order of entry. A group is one channel's calls.
+back into the balance, so only that is a fold: one account per (channel, reading,
+parameter set), streamed in the order of entry. Its state is the money and the
+open positions.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,56 +97,76 @@ def _cents(x: float) -> float:
     return math.floor(x * 100 + 0.5) / 100
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One account: a heap of open positions by exit, emptied up to each entry."""
-    pdf = pdf.sort_values(["entry_day", "msg_id", "pos"], kind="stable").reset_index(drop=True)
-    balance = float(pdf.capital[0])
-    tied, positions, rows = 0.0, [], []
-    seq = 0
-
-    def close(until: float, order: float) -> None:
-        nonlocal balance, tied, seq
-        while positions and (positions[0][0] < until or (positions[0][0] == until and positions[0][1] < order)):
-            day, at, net, held = heapq.heappop(positions)
-            balance = max(0.0, balance + net)
-            tied -= held
-            rows[at].update(balance_after=_cents(balance), raw_balance=balance, settled=seq)
-            seq += 1
-
-    for order, r in enumerate(pdf.itertuples(index=False)):
-        close(r.entry_day, order)
-        free = balance - (tied if positions else 0.0)
-        row = {"call_id": r.call_id, "msg_id": r.msg_id, "pos": r.pos, "posted": r.posted, "status": "no-funds", "entry_day": int(r.entry_day), "exit_day": None}
-        rows.append(row)
-        if r.unit > free:
-            continue
-        units = max(1, min(int(r.wanted), int(free // r.unit))) if r.wanted * r.unit > free else int(r.wanted)
-        quantity = units * int(r.lot)
-        bought, sold = (r.entry_price, r.exit_price) if r.side == "long" else (r.exit_price, r.entry_price)
-        gross = quantity * r.move
-        costs = _costs(r.kind, quantity * bought, quantity * sold, r.days_held == 0)
-        held = units * r.unit
-        exit_day = r.entry_day if pd.isna(r.exit_day) else r.exit_day
-        row.update(status="taken", cls=r.cls, quantity=quantity, lots=None if r.kind == "equity" else units, blocked=_cents(held), gross=_cents(gross), costs=_cents(costs), net=_cents(gross - costs), raw_net=gross - costs, exit_day=int(exit_day))
-        heapq.heappush(positions, (exit_day, order, gross - costs, held))
-        tied += held
-    close(math.inf, math.inf)
-    out = pd.DataFrame(rows)
-    for k in ("channel_id", "reading", "param_id", "capital", "borrowed_fraction", "loan_monthly_rate"):
-        out[k] = pdf[k][0]
-    return out.reindex(columns=_LINE_COLUMNS)
-
-
+_KEYS = ("channel_id", "reading", "param_id")
+_KEPT = ("capital", "borrowed_fraction", "loan_monthly_rate")
 _LINES = "channel_id long, reading string, param_id int, call_id string, msg_id long, pos int, posted long, status string, cls string, quantity long, lots long, blocked double, gross double, costs double, net double, raw_net double, entry_day int, exit_day int, balance_after double, raw_balance double, settled int, capital double, borrowed_fraction double, loan_monthly_rate double"
-_LINE_COLUMNS = [x.split()[0] for x in _LINES.split(", ")]
+_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in _LINES.split(", ")])
+
+
+class _Account:
+    """One follower's money: a heap of open positions by exit. A call's line is complete once its position is closed,
+    so what is held at any time are the positions that the money pays for, not the account's calls."""
+
+    def __init__(self, r: dict):
+        self.head = {k: r[k] for k in (*_KEYS, *_KEPT)}
+        self.balance, self.tied, self.open, self.order, self.settled = float(r["capital"]), 0.0, [], 0, 0
+
+    def close(self, until: float) -> Iterator[dict]:
+        """Lines of the positions that end up to a day, in order of exit and entry."""
+        while self.open and self.open[0][0] <= until:
+            _, _, net, held, line = heapq.heappop(self.open)
+            self.balance = max(0.0, self.balance + net)
+            self.tied -= held
+            yield line | {"balance_after": _cents(self.balance), "raw_balance": self.balance, "settled": self.settled}
+            self.settled += 1
+
+    def enter(self, r: dict) -> Iterator[dict]:
+        """Lines that the next call completes: of positions closed by its day, and its own where it cannot be paid for."""
+        yield from self.close(r["entry_day"])
+        self.order += 1
+        free = self.balance - (self.tied if self.open else 0.0)
+        line = self.head | {k: r[k] for k in ("call_id", "msg_id", "pos", "posted")} | {"status": "no-funds", "entry_day": int(r["entry_day"])}
+        if r["unit"] > free:
+            yield line
+            return
+        units = max(1, min(r["wanted"], int(free // r["unit"]))) if r["wanted"] * r["unit"] > free else r["wanted"]
+        quantity = units * r["lot"]
+        bought, sold = (r["entry_price"], r["exit_price"]) if r["side"] == "long" else (r["exit_price"], r["entry_price"])
+        gross = quantity * r["move"]
+        costs = _costs(r["kind"], quantity * bought, quantity * sold, r["days_held"] == 0)
+        held, exit_day = units * r["unit"], int(r["entry_day"] if r["exit_day"] is None else r["exit_day"])
+        lots = None if r["kind"] == "equity" else units
+        line |= {"status": "taken", "cls": r["cls"], "quantity": quantity, "lots": lots, "blocked": _cents(held), "gross": _cents(gross), "costs": _cents(costs), "net": _cents(gross - costs), "raw_net": gross - costs, "exit_day": exit_day}
+        heapq.heappush(self.open, (exit_day, self.order, gross - costs, held, line))
+        self.tied += held
+
+
+def _fold(batches: Iterator[pa.RecordBatch], most: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Accounts of a partition one after the other, each carried from batch to batch; rows come by account and in order of entry."""
+    account, key, out = None, None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if (mine := tuple(r[k] for k in _KEYS)) != key:
+                out += account.close(math.inf) if account else ()
+                account, key = _Account(r), mine
+            out += account.enter(r)
+            if len(out) >= most:
+                yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+                out = []
+    out += account.close(math.inf) if account else ()
+    yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
 def lines(queued: DataFrame) -> DataFrame:
-    """Ledger lines of the funded fold: taken or no-funds, with the balance after each settlement."""
-    need = ["channel_id", "reading", "param_id", "capital", "borrowed_fraction", "loan_monthly_rate", "call_id", "msg_id", "pos", "posted", "kind", "side", "cls", "entry_day", "exit_day", "entry_price", "exit_price", "move", "days_held", "lot", "unit", "wanted"]
+    """Ledger lines of the funded fold: taken or no-funds, with the balance after each settlement.
+
+    Spark deals accounts out and sorts each by entry (spilling if need be); a task streams them and holds the open positions of one.
+    """
+    need = [*_KEYS, *_KEPT, "call_id", "msg_id", "pos", "posted", "kind", "side", "cls", "entry_day", "exit_day", "entry_price", "exit_price", "move", "days_held", "lot", "unit", "wanted"]
     posted = F.unix_micros(c("ts").cast("timestamp")) if "ts" in queued.columns else c("msg_id").cast("long")
     q = queued.where("status = 'queued'").withColumn("posted", posted).withColumn("pos", c("pos").cast("int")).withColumn("msg_id", c("msg_id").cast("long")).withColumn("call_id", c("call_id").cast("string")).withColumn("lot", c("lot").cast("long"))
-    return q.select(*need).groupBy("channel_id", "reading", "param_id").applyInPandas(_fold, _LINES)
+    ordered = q.select(*need).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "entry_day", c("msg_id").asc_nulls_last(), c("pos").asc_nulls_last())
+    return ordered.mapInArrow(_fold, _LINES)
 
 
 def account(folded: DataFrame) -> DataFrame:

@@ -31,6 +31,21 @@ def bars(spark: SparkSession, sf_dir: str, sundays: bool = False) -> DataFrame:
     return raw_bars(spark, sf_dir).join(days, "dt").select("instrument_id", "d", "dt", "o", "h", "l", "c", "v")
 
 
+def long_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bar a supplier and ship date of ``lineitem``: histories of some years; d counts the dates."""
+    t = table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("dt"), c("l_extendedprice").alias("p"), F.struct("l_orderkey", "l_linenumber").alias("k"))
+    b = t.groupBy("instrument_id", "dt").agg(F.min_by("p", "k").alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", "k").alias("c"), F.count("*").alias("v"))
+    return b.join(F.broadcast(trading_calendar(b, F.lit(False))), "dt")  # a row a date
+
+
+def long_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of fifty pieces as calls on their supplier, on the day of shipment."""
+    t = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity = 50")
+    days = long_bars(spark, sf_dir).select("dt", c("d").alias("day")).distinct()
+    k = t.select(c("l_orderkey").alias("call_id"), c("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("dt"))
+    return k.join(F.broadcast(days), "dt")  # a row a date
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups as calls: side, entry type, horizon and confidence follow from the event's number."""
     e = table(spark, sf_dir, "events").where("event_type = 'signup'")

@@ -260,6 +260,11 @@ def agg_field(spark, d):
     return g.where("n >= 30").select("channel_id", *[r4(c(x), x) for x in ("chance", "hit", "best", "worst")])
 
 
+def _account(rows: DataFrame) -> DataFrame:
+    """Ratios of sums to six decimals: the last bits depend on the order of addition."""
+    return rows.withColumns({x: F.floor(c(x) * 1_000_000 + 0.5) / 1_000_000 for x in ("hit_rate", "profitable_rate", "profit_factor")})
+
+
 @query()
 def ledger_lines(spark, d):
     """The funded fold: what is taken, what is not affordable, and the balance after each settlement."""
@@ -269,13 +274,13 @@ def ledger_lines(spark, d):
 @query()
 def ledger_account(spark, d):
     """agg_rates, win_drawdown, fn_compound, agg_band inputs: one row an account."""
-    return ledger.account(ledger.lines(queued(spark, d))).withColumn("verdict", ledger.verdict())
+    return _account(ledger.account(ledger.lines(queued(spark, d)))).withColumn("verdict", ledger.verdict())
 
 
 @query()
 def what_if(spark, d):
     """The accounts of the what-if grid under the likely reading."""
-    return ledger.account(ledger.lines(queued(spark, d, ledger.what_if(spark), ("likely",))))
+    return _account(ledger.account(ledger.lines(queued(spark, d, ledger.what_if(spark), ("likely",)))))
 
 
 @query()
@@ -339,13 +344,16 @@ def agg_case(spark, d):
     return detect.case_rates(s, "marked")
 
 
-@query(
-    ", m AS (SELECT DISTINCT instrument_id, day FROM calls), b AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM bars7 WHERE instrument_id IN (SELECT instrument_id FROM m)) "
-    "SELECT instrument_id, d FROM b WHERE rn >= 30 AND rn < n - 12 AND (rn - 30) % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 15)"
-)
+_LONG = """, lb AS (SELECT l_suppkey AS instrument_id, CAST(l_shipdate AS DATE) AS dt, count(*) AS v FROM lineitem GROUP BY 1, 2), lcal AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS d FROM (SELECT DISTINCT dt FROM lb)),
+m AS (SELECT DISTINCT l_suppkey AS instrument_id, d AS day FROM lineitem JOIN lcal ON lcal.dt = CAST(l_shipdate AS DATE) WHERE l_linenumber = 1 AND l_quantity = 50),
+b AS (SELECT instrument_id, d, row_number() OVER (PARTITION BY instrument_id ORDER BY d) - 1 AS rn, count(*) OVER (PARTITION BY instrument_id) AS n FROM lb JOIN lcal USING (dt) WHERE instrument_id IN (SELECT instrument_id FROM m))
+"""
+
+
+@query(_LONG + "SELECT instrument_id, d FROM b WHERE rn >= 30 AND rn < n - 12 AND (rn - 30) % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.instrument_id = b.instrument_id AND abs(m.day - b.d) < 15)")
 def jn_ordinary(spark, d):
-    """Every call is a mark, at the operator's distances: the 30 days of bars here hold no such day."""
-    return detect.ordinary_days(V.bars(spark, d, sundays=True), V.calls(spark, d)).select("instrument_id", c("d").cast("long").alias("d"))
+    """Ordinary days of suppliers' histories of some years, at the operator's distances; every call is a mark."""
+    return detect.ordinary_days(V.long_bars(spark, d), V.long_calls(spark, d)).select("instrument_id", c("d").cast("long").alias("d"))
 
 
 # ---- linking

@@ -2,8 +2,8 @@
 
 import datetime
 
+from tapewright.operators import detect
 from tapewright.plans import bindings as V
-from tapewright.plans import market_queries
 
 
 def test_days_are_far_from_every_call(spark, tmp_path):
@@ -19,5 +19,6 @@ def test_days_are_far_from_every_call(spark, tmp_path):
         days.setdefault(r.instrument_id, []).append(r.d)
     assert len(marks) == 4 and all(len(x) == 120 for x in days.values())
     want = {(i, sorted(x)[k]) for i, x in days.items() if any(m[0] == i for m in marks) for k in range(30, len(x) - 12, 5) if all(abs(m - sorted(x)[k]) >= 15 for j, m in marks if j == i)}
-    got = [tuple(r) for r in market_queries.jn_ordinary(spark, str(tmp_path)).collect()]
+    found = detect.ordinary_days(V.bars(spark, str(tmp_path), sundays=True), V.calls(spark, str(tmp_path)))
+    got = [(r.instrument_id, r.d) for r in found.collect()]
     assert {i for i, _ in got} == {1, 2} and set(got) == want and len(got) == len(want)

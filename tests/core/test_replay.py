@@ -103,3 +103,24 @@ def test_loan(spark):
 def test_drawdown(spark):
     _, line, acc = accounts(spark, [(1, 10, 10, 100, 200, "target"), (2, 11, 11, 100, 0, "expired")])
     assert acc.max_drawdown_pct > 15 and sum(r.balance_after is not None for r in line.values()) == 2
+
+
+def test_accounts_are_carried_from_batch_to_batch():
+    """The streamed fold gives one result however its rows are cut into batches, and holds open positions only."""
+    import random
+
+    import pyarrow as pa
+
+    rng, rows = random.Random(6), []
+    for channel in (1, 2, 3):
+        for k in range(200):
+            price = rng.choice((40.0, 900.0, 7_000.0))
+            out = price * rng.choice((0.2, 0.9, 1.3))
+            rows.append(dict(channel_id=channel, reading="likely", param_id=0, capital=20_000.0, borrowed_fraction=0.0, loan_monthly_rate=0.03, call_id=f"{channel}.{k}", msg_id=k, pos=0, posted=k, kind="equity", side="long", cls="target",
+                             entry_day=k // 3, exit_day=None if k % 50 == 0 else k // 3 + rng.randrange(6), entry_price=price, exit_price=out, move=out - price, days_held=0, lot=1, unit=price, wanted=max(1, int(4_000 // price))))
+    whole = pa.RecordBatch.from_pylist(rows)
+    one = [r for b in ledger._fold(iter([whole])) for r in b.to_pylist()]
+    for size in (1, 7, 200, 333):
+        cut = [r for b in ledger._fold((whole.slice(i, size) for i in range(0, len(rows), size)), most=5) for r in b.to_pylist()]
+        assert cut == one
+    assert len(one) == 600 and {r["status"] for r in one} == {"taken", "no-funds"} and [b.num_rows for b in ledger._fold(iter([]))] == [0]
