@@ -179,6 +179,17 @@ def across(spark: SparkSession, nodes: DataFrame, words: DataFrame, least: float
     return stage(spark, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-across")
 
 
+def joined(spark: SparkSession, found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found(node, component)`` with the parts that ``more(a, b)`` links as one; a node without a part is its own."""
+    if more.isEmpty():
+        return found
+    part = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"p{name}"))
+    ends = more.join(part("a"), "a", "left").join(part("b"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")).distinct()
+    whole = stage(spark, components(spark, ends, "near-all").select(F.col("node").alias("part"), F.col("component").alias("whole")), "near-whole")
+    merged = found.join(whole, found.component == whole.part, "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return merged.unionByName(whole.join(found, whole.part == found.node, "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component")))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents without near copies: of each linked group the row with the smallest doc_id stays.
 
@@ -202,8 +213,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> Data
     linked = stage(spark, links(spark, pairs, words, least), "near-links")
     found = stage(spark, components(spark, linked, "near-cc"), "near-parts")
     left = stage(spark, unresolved(spark, cells, pairs, found), "near-left")
-    more = links(spark, across(spark, left, words, least), words, least)
-    found = components(spark, linked.unionByName(more), "near-all")
+    found = joined(spark, found, stage(spark, links(spark, across(spark, left, words, least), words, least), "near-more"))
     group = F.coalesce("component", lead.node)
     stay = lead.join(found, lead.node == found.node, "left").groupBy(group.alias("g")).agg(F.min(F.struct("__near_doc", "__near_tid")).alias("o")).select("o.*")
     kept = keyed.join(stay, ["__near_doc", "__near_tid"], "left_semi").dropDuplicates(["__near_doc", "__near_tid"])
