@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,25 +73,26 @@ def packed_bars(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "key string, d int, o double, h double, l double, c double, v long")
 
 
-def _fields(lines: DataFrame) -> DataFrame:
+def fields(lines: DataFrame) -> DataFrame:
+    """The named fields of lines of thirty or more, beside the other columns."""
     f = lines.withColumn("f", F.split("line", ",")).where("size(f) >= 30")
     return f.select(*[x for x in lines.columns if x != "line"], *[F.trim(c("f")[i]).alias(k) for k, i in CSV.items()])
 
 
 def cash_bars(lines: DataFrame) -> DataFrame:
-    """Per symbol and day the best-ranked series' bar. lines: day, line."""
+    """Per symbol and day the best-ranked series' bar, the first of its lines. lines: day, line, and line_no if a series may repeat."""
     rank = F.array_position(F.array(*map(F.lit, SERIES)), c("series"))
-    t = _fields(lines).withColumn("rank", rank).where("rank > 0").withColumn("v", F.coalesce(F.expr("try_cast(v AS bigint)"), F.lit(0)))
-    one = t.groupBy("symbol", "day").agg(F.min_by(F.struct("name", "series", "o", "h", "l", "c", "prev", "v"), "rank").alias("r")).select("symbol", "day", "r.*").where("v > 0")
+    t = fields(lines).withColumn("rank", rank).where("rank > 0").withColumn("v", F.coalesce(F.expr("try_cast(v AS bigint)"), F.lit(0)))
+    one = t.groupBy("symbol", "day").agg(F.min_by(F.struct("name", "series", "o", "h", "l", "c", "prev", "v"), F.struct("rank", *[x for x in ("line_no",) if x in t.columns])).alias("r")).select("symbol", "day", "r.*").where("v > 0")
     return one.select("symbol", "day", "name", "series", *[(paise(c(x)) / 100).alias(x) for x in ("o", "h", "l", "c", "prev")], "v")
 
 
-def derivative_bars(lines: DataFrame, index_only: bool = False) -> DataFrame:
-    """Option and future bars; a close out of the day's range becomes the last trade drawn into it."""
-    t = _fields(lines).where(c("type").isin("IDO", "STO", "IDF", "STF"))
+def derivative_bars(lines: DataFrame, index_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Option and future bars; a close out of the day's range becomes the last trade drawn into it. ``keep``: further columns of the lines."""
+    t = fields(lines).where(c("type").isin("IDO", "STO", "IDF", "STF"))
     t = t.where(c("type").startswith("I")) if index_only else t
     t = t.withColumns({x: paise(c(x)) / 100 for x in ("o", "h", "l", "c", "last", "strike", "under")} | {"v": F.coalesce(F.expr("try_cast(v AS bigint)"), F.lit(0)), "lot": F.expr("try_cast(lot AS int)")})
-    return t.where("v > 0").select("symbol", "day", F.when(c("type").endswith("O"), "option").otherwise("future").alias("kind"), F.when(c("type").startswith("I"), "index").otherwise("stock").alias("of"), F.to_date("expiry").alias("expiry"), "strike", "opt_type", "o", "h", "l", traded_close().alias("c"), "v", "lot", "under")
+    return t.where("v > 0").select("symbol", "day", F.when(c("type").endswith("O"), "option").otherwise("future").alias("kind"), F.when(c("type").startswith("I"), "index").otherwise("stock").alias("of"), F.to_date("expiry").alias("expiry"), "strike", "opt_type", "o", "h", "l", traded_close().alias("c"), "v", "lot", "under", *keep)
 
 
 def symbol_info(bars: DataFrame) -> DataFrame:
@@ -99,9 +100,10 @@ def symbol_info(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max_by("name", "day").alias("name"), F.max_by("series", "day").alias("series"), F.min("day").alias("a"), F.max("day").alias("z"), F.bool_or(c("series").isin("SM", "ST")).alias("sme"))
 
 
-def contracts(bars: DataFrame) -> DataFrame:
+def contracts(bars: DataFrame, order: str | Column = "day") -> DataFrame:
     """Per symbol and expiry: last non-zero lot, and whether options and futures traded."""
-    return bars.groupBy("symbol", "expiry").agg(F.max_by("lot", F.when(c("lot") > 0, c("day"))).alias("lot"), F.bool_or(c("kind") == "option").alias("has_options"), F.bool_or(c("kind") == "future").alias("has_futures"))
+    order = c(order) if isinstance(order, str) else order
+    return bars.groupBy("symbol", "expiry").agg(F.max_by("lot", F.when(c("lot") > 0, order)).alias("lot"), F.bool_or(c("kind") == "option").alias("has_options"), F.bool_or(c("kind") == "future").alias("has_futures"))
 
 
 def spot(lines_bars: DataFrame) -> DataFrame:
