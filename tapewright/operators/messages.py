@@ -54,13 +54,18 @@ def claims(messages: DataFrame) -> DataFrame:
     return m.where("percent BETWEEN 50 AND 100").select("channel_id", "msg_id", "percent")
 
 
-def registrations(messages: DataFrame, register: DataFrame | None) -> DataFrame:
+def registrations(messages: DataFrame, register: DataFrame | None, channels: DataFrame | None = None) -> DataFrame:
     """Each claimed number once per channel, where it comes first, with its row of the register; no register: on_register is null.
 
-    register: reg_no, kind, name, valid_from, valid_to.
+    register: reg_no, kind, name, valid_from, valid_to. channels: channel_id, description, which comes before all messages
+    (msg_id null, place description).
     """
-    nums = messages.select("channel_id", "msg_id", F.explode(F.regexp_extract_all(F.upper("text"), F.lit(P.bounded(P.REG_NO)), F.lit(0))).alias("reg_no"))
-    one = nums.groupBy("channel_id", "reg_no").agg(F.min("msg_id").alias("msg_id"))
+    numbers = lambda text: F.explode(F.regexp_extract_all(F.upper(text), F.lit(P.bounded(P.REG_NO)), F.lit(0))).alias("reg_no")
+    nums = messages.select("channel_id", "msg_id", numbers("text"))
+    if channels is not None:
+        nums = nums.unionByName(channels.select("channel_id", F.lit(None).cast(messages.schema["msg_id"].dataType).alias("msg_id"), numbers("description")))
+    one = nums.groupBy("channel_id", "reg_no").agg(F.min_by("msg_id", F.coalesce("msg_id", F.lit(-(1 << 62)))).alias("msg_id"), F.bool_or(c("msg_id").isNull()).alias("__d"))
+    one = one.withColumn("place", F.when(c("__d"), "description").otherwise("message")).withColumn("msg_id", F.when(~c("__d"), c("msg_id"))).drop("__d")
     one = one.withColumn("type", F.when(c("reg_no").startswith("INH"), "research-analyst").otherwise("investment-adviser"))
     if register is None:
         return one.withColumn("on_register", F.lit(None).cast("boolean"))
