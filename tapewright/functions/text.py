@@ -71,11 +71,15 @@ def html_to_text(c: Column) -> Column:
 def normalise(c: Column) -> Column:
     """Upper-cased text with Hindi and Hinglish trade words in English, and numbers that are no prices taken out. Order matters."""
     c = F.translate(nfkc(c), P.DEVANAGARI_DIGITS, "0123456789")
+    hindi = c
     for pattern, to in P.HINDI:
-        c = F.regexp_replace(c, P.bounded(pattern), to)
-    c = F.upper(c)
+        hindi = F.regexp_replace(hindi, pattern, to)
+    # most texts have no Devanagari at all
+    c = F.upper(F.when(c.rlike(r"[\x{900}-\x{97F}]"), hindi).otherwise(c))
+    # letters of other scripts are blanks in the end; until then they are no part of words, for which Java's boundaries take them
+    c = F.regexp_replace(c, r"[^\x00-\x7F₹]", "\x01")
     for pattern, to in P.HINGLISH:
-        c = F.regexp_replace(c, P.bounded(pattern), to)
+        c = F.regexp_replace(c, pattern, to)
     # fixed values: numbers in brackets, broker shorthand, refusals, currency, thousands, amounts, list marks, charset
     for pattern, to in (
         (r"\(\s*(\d+(?:\.\d+)?)\s*\)", " $1 "),
@@ -91,7 +95,7 @@ def normalise(c: Column) -> Column:
         (r"[^A-Z0-9\n .,/\-+@%&:=>#$'()]", " "),
         (r"[ \t]+", " "),
     ):
-        c = F.regexp_replace(c, P.bounded(pattern), to)
+        c = F.regexp_replace(c, pattern, to)
     return c
 
 
@@ -146,7 +150,7 @@ def option_key(strike: Column, opt_type: Column) -> Column:
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:
-    """The first match's group, null where there is none."""
-    return F.nullif(F.regexp_extract(c, P.bounded(pattern), group), F.lit(""))
+    """The first match's group, null where there is none. In texts of other scripts the pattern has to be ``bounded``."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 

@@ -146,8 +146,8 @@ def _bound(x: Column, f) -> Column:
 
 
 def spots(x: Column, pattern: str, groups: int = 0) -> Column:
-    """All matches of a pattern: array of (at, upto, g1, ..): first place, the place behind, and groups."""
-    lead = F.lit(f"(?s)(.*?)(?:{P.bounded(pattern)})")
+    """All matches of a pattern in a normalised text: array of (at, upto, g1, ..): first place, the place behind, and groups."""
+    lead = F.lit(f"(?s)(.*?)(?:{pattern})")
     got = F.arrays_zip(*[F.regexp_extract_all(x, lead, F.lit(i)).alias(f"p{i}") for i in range(groups + 2)])
 
     def placed(every: Column) -> Column:
@@ -191,7 +191,7 @@ def with_marks(texts: DataFrame) -> DataFrame:
     """Adds what candidates are read from beside options and actions: label, tag and the first line, with their places."""
     norm = c("norm")
     return texts.withColumns({
-        "label": F.regexp_extract(norm, P.bounded(LABEL), 0), "label_at": F.regexp_instr(norm, F.lit(P.bounded(LABEL))), "labelled": F.regexp_extract(norm, P.bounded(LABEL), 1),
+        "label": F.regexp_extract(norm, LABEL, 0), "label_at": F.regexp_instr(norm, F.lit(LABEL)), "labelled": F.regexp_extract(norm, LABEL, 1),
         "tag": F.regexp_extract(norm, TAG, 0), "tag_at": F.regexp_instr(norm, F.lit(TAG)), "first_line": F.substring_index(F.regexp_replace(norm, r"^\s+|\s+$", ""), "\n", 1),
     })
 
