@@ -3,6 +3,10 @@
 Toxic documents go, repeated runs of lines go, of near copies one stays, sources
 are mixed to target weights, and what is left is encoded and decoded. Every
 stage is written as Parquet and reread as the next one's input.
+
+Of every stage: an empty table gives no rows; whole texts are read, however
+long, each as one value of one row; further columns go along unread, but
+names that begin with two underscores are the stages' own.
 """
 
 from __future__ import annotations
