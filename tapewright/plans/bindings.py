@@ -67,11 +67,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases and clicks as result posts on their user's channel."""
+    """Purchases and clicks as result posts on their user's channel; every fifth replies to the event at the fifty before it, which may be a call."""
     e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')")
     i = c("event_id")
     e = e.select(
-        i.alias("post_id"), (c("user_id") % 10).alias("channel_id"), c("ts"), F.when(i % 3 == 0, c("user_id")).alias("named"), F.lit(None).cast("long").alias("reply_to"),
+        i.alias("post_id"), (c("user_id") % 10).alias("channel_id"), c("ts"), F.when(i % 3 == 0, c("user_id")).alias("named"), F.when(i % 5 == 0, i - i % 50).cast("long").alias("reply_to"),
         F.when(c("event_type") == "purchase", "target-hit").when(i % 2 == 0, "stop-hit").otherwise("profit").alias("kind"),
         (c("event_type") == "purchase").alias("claims_target"), F.when(i % 4 == 1, c("value")).alias("quoted"),
     )
@@ -79,9 +79,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as channels of messages, one a minute."""
+    """Conversations as channels of messages, 8 minutes apart and every third time 33."""
     m = table(spark, sf_dir, "conversations")
-    ts = F.timestamp_seconds(F.lit(1_700_000_000) + c("conv_id") * 86_400 + c("turn") * 480)
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + c("conv_id") * 86_400 + c("turn") * 480 + F.floor(c("turn") / 3) * 1_500)
     return m.select(c("conv_id").alias("channel_id"), c("turn").alias("msg_id"), ts.alias("ts"), "role", "text")
 
 
@@ -103,7 +103,7 @@ calls AS (SELECT p.*, CASE WHEN NOT trading THEN 'closed-day' WHEN imin < 555 TH
   fwd + CASE WHEN trading AND imin >= 930 THEN 1 ELSE 0 END AS day, CASE WHEN trading AND imin >= 555 AND imin < 930 THEN imin - 555 END AS minutes_in, last_day,
   CASE WHEN kind = 'option' THEN fwd + CASE WHEN trading AND imin >= 930 THEN 1 ELSE 0 END + 7 END AS expiry_day, call_id % 3 = 0 AS announced
   FROM placed p, lastd WHERE fwd + CASE WHEN trading AND imin >= 930 THEN 1 ELSE 0 END <= last_day),
-posts AS (SELECT event_id AS post_id, user_id % 10 AS channel_id, ts, CASE WHEN event_id % 3 = 0 THEN user_id END AS named, value,
+posts AS (SELECT event_id AS post_id, user_id % 10 AS channel_id, ts, CASE WHEN event_id % 3 = 0 THEN user_id END AS named, CASE WHEN event_id % 5 = 0 THEN event_id - event_id % 50 END AS reply_to, value,
   CASE WHEN event_type = 'purchase' THEN 'target-hit' WHEN event_id % 2 = 0 THEN 'stop-hit' ELSE 'profit' END AS kind, event_type = 'purchase' AS claims_target,
   CASE WHEN event_id % 4 = 1 THEN value END AS quoted, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS idate FROM events WHERE event_type IN ('purchase', 'click')),
 posts_u AS (SELECT posts.*, cal.d AS until FROM posts ASOF LEFT JOIN cal ON posts.idate >= cal.dt)

@@ -358,9 +358,10 @@ def jn_ordinary(spark, d):
 
 # ---- linking
 
-_LINK = """, t2 AS (SELECT p.post_id, max_by(k.call_id, (k.ts, k.call_id)) AS x FROM posts p JOIN calls k ON k.channel_id = p.channel_id AND k.instrument_id = p.named AND date_trunc('second', k.ts) <= date_trunc('second', p.ts) AND date_trunc('second', p.ts) - date_trunc('second', k.ts) <= INTERVAL 15 DAY GROUP BY 1),
-t3 AS (SELECT p.post_id, max_by(k.call_id, (date_trunc('second', k.ts), k.call_id)) AS x FROM posts p JOIN calls k ON k.channel_id = p.channel_id AND date_trunc('second', k.ts) <= date_trunc('second', p.ts) AND date_trunc('second', p.ts) - date_trunc('second', k.ts) <= INTERVAL 1 DAY WHERE p.named IS NULL GROUP BY 1),
-linked AS (SELECT p.*, coalesce(t2.x, t3.x) AS call_id FROM posts_u p LEFT JOIN t2 USING (post_id) LEFT JOIN t3 USING (post_id))
+_LINK = """, t1 AS (SELECT p.post_id, min(k.call_id) AS x FROM posts p JOIN calls k ON k.channel_id = p.channel_id AND k.call_id = p.reply_to WHERE p.named IS NULL OR p.named = k.instrument_id GROUP BY 1),
+t2 AS (SELECT p.post_id, max_by(k.call_id, (k.ts, k.call_id)) AS x FROM posts p JOIN calls k ON k.channel_id = p.channel_id AND k.instrument_id = p.named AND date_trunc('second', k.ts) <= date_trunc('second', p.ts) AND date_trunc('second', p.ts) - date_trunc('second', k.ts) <= INTERVAL 15 DAY GROUP BY 1),
+t3 AS (SELECT p.post_id, max_by(k.call_id, (date_trunc('second', k.ts), k.call_id)) AS x FROM posts p JOIN calls k ON k.channel_id = p.channel_id AND date_trunc('second', k.ts) <= date_trunc('second', p.ts) AND date_trunc('second', p.ts) - date_trunc('second', k.ts) <= INTERVAL 1 DAY WHERE p.named IS NULL AND p.reply_to IS NULL GROUP BY 1),
+linked AS (SELECT p.*, coalesce(t1.x, t2.x, t3.x) AS call_id FROM posts_u p LEFT JOIN t1 USING (post_id) LEFT JOIN t2 USING (post_id) LEFT JOIN t3 USING (post_id))
 """
 
 

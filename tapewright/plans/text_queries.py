@@ -203,15 +203,15 @@ def jn_register(spark, d):
     return M.registrations(said, register).select(c("channel_id").alias("s_suppkey"), "reg_no", "on_register")
 
 
-@query("SELECT conv_id AS channel_id, turn AS msg_id, CASE WHEN turn > 0 THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS previous FROM conversations")
+@query("SELECT conv_id AS channel_id, turn AS msg_id, CASE WHEN turn % 3 <> 0 THEN lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS previous FROM conversations")
 def win_prev_msg(spark, d):
     """Previous message at most 15 minutes before."""
     return linking.previous_within(V.messages(spark, d)).select("channel_id", "msg_id", "previous")
 
 
-@query("WITH m AS (SELECT *, CASE WHEN turn % 3 = 0 THEN 'SYM' || turn END AS named, CASE WHEN turn % 4 = 1 THEN 0 END AS reply_to FROM conversations) SELECT m.conv_id AS channel_id, m.turn AS msg_id, CASE WHEN m.named IS NULL THEN coalesce(p.named, b.named) END AS source FROM m LEFT JOIN m p ON p.conv_id = m.conv_id AND p.turn = m.reply_to LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1")
+@query("WITH m AS (SELECT *, CASE WHEN turn % 5 = 0 THEN 'SYM' || turn END AS named, CASE WHEN turn % 4 = 1 THEN 0 END AS reply_to FROM conversations) SELECT m.conv_id AS channel_id, m.turn AS msg_id, CASE WHEN m.named IS NULL THEN coalesce(p.named, b.named) END AS source FROM m LEFT JOIN m p ON p.conv_id = m.conv_id AND p.turn = m.reply_to LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1 AND m.turn % 3 <> 0")
 def jn_inherit(spark, d):
-    m = V.messages(spark, d).withColumn("named", F.when(c("msg_id") % 3 == 0, F.concat(F.lit("SYM"), c("msg_id").cast("string")))).withColumn("reply_to", F.when(c("msg_id") % 4 == 1, 0))
+    m = V.messages(spark, d).withColumn("named", F.when(c("msg_id") % 5 == 0, F.concat(F.lit("SYM"), c("msg_id").cast("string")))).withColumn("reply_to", F.when(c("msg_id") % 4 == 1, 0))
     return linking.inherit(m).select("channel_id", "msg_id", "source")
 
 
