@@ -18,13 +18,14 @@ links; unverified pairs link nothing.
 
 That joins what is alike throughout, however large the group. Where a group is
 still in several parts, or a proposal has failed, a link may be left between the
-parts: all members of those are compared again, by an exact join. Two sets
-at similarity s share one of the n - ceil(s n) + 1 rarest members of each,
-so sets of different parts that share such a member are verified, all of them.
+parts: all members of those are compared again, by an exact join on their
+rarest members, and what can be alike is verified, all of it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,6 +40,8 @@ from .minhash import shingle_hashes
 #: Least five-word Jaccard similarity of near copies.
 LEAST = 0.8
 BANDS, ROWS = 16, 5
+#: Sizes of sets within such a factor of one another are joined as one.
+SIZES = 1.05
 #: Neighbours of a group with more rows are sought in pieces of about so many.
 PIECE = 1024
 
@@ -155,9 +158,10 @@ def unresolved(spark: SparkSession, cells: DataFrame, pairs: DataFrame, found: D
 
 
 def across(spark: SparkSession, nodes: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
-    """All pairs (a, b) of ``nodes(node, part)`` of different parts that can be alike: they share a member of both prefixes.
+    """All pairs (a, b) of ``nodes(node, part)`` of different parts that can be alike, by the first member that both have, rarest first.
 
-    A prefix is the set's rarest members, as many as one of which an alike set must have. No pair at ``least`` is left out.
+    What comes before it is not shared, so its place in either set bounds what they can share, and with it the sizes that may meet:
+    joined are only rows of sizes that each other's place allows. The first shared member of a pair at ``least`` always passes.
     """
 
     def run(batches):
@@ -170,13 +174,23 @@ def across(spark: SparkSession, nodes: DataFrame, words: DataFrame, least: float
     # a member that one set alone has leads to no pair, but has its place in the prefix
     often = stage(spark, sets.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-often")
     ranked = sets.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    rank = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
-    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    keys = stage(spark, ranked.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("node", "part", "h", "n"), "near-prefix")
-    x, y = keys.alias("x"), keys.alias("y")
-    sizes = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - 1e-9
-    met = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & sizes)
-    return stage(spark, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-across")
+    # at place ``at`` of the order a set of n has n - at members left: if that is the first that two sets share, they share no more
+    at = F.row_number().over(W.partitionBy("node").orderBy("df", "h")) - 1
+    most = F.least(F.floor((F.col("n") - F.col("at")) * (1 + least) / least - F.col("n") + 1e-9), F.floor(F.col("n") / least + 1e-9))
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZES)).cast("int")
+    keys = ranked.withColumn("at", at).where("df > 1").withColumns({"from": F.ceil(F.lit(least) * F.col("n") - 1e-9), "most": most}).where("from <= most")
+    keys = keys.select("node", "part", "h", "n", "at", size(F.col("n")).alias("own"), F.explode(F.sequence(size(F.col("from")), size(F.col("most")))).alias("other"))
+    keys = stage(spark, keys, "near-prefix")
+    # sizes meet if each may be the other's; where all that meet are of one part there is nothing to join
+    parts_of = keys.groupBy("h", "own", "other").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    mirror = parts_of.select("h", F.col("own").alias("other"), F.col("other").alias("own"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    mixed = parts_of.join(mirror, ["h", "own", "other"]).where(F.least("lo", "lo2") < F.greatest("hi", "hi2")).select("h", "own", "other")
+    x = keys.join(mixed, ["h", "own", "other"])
+    y = x.select("h", F.col("own").alias("other"), F.col("other").alias("own"), F.col("node").alias("node2"), F.col("part").alias("part2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    needed = F.ceil((F.col("n") + F.col("n2")) * least / (1 + least) - 1e-9)
+    can = (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= needed)
+    met = x.join(y, ["h", "own", "other"]).where(can)
+    return stage(spark, met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "near-across")
 
 
 def joined(spark: SparkSession, found: DataFrame, more: DataFrame) -> DataFrame:
