@@ -355,14 +355,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | No
                     who.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(who, pa.int32())], ["k", "y"])
 
-    wide = lambda rows: np.frombuffer(b"".join(rows), np.float32).reshape(-1, len(marks.strings))
-    rows = sample.select("text", "toxic").mapInArrow(examples, "k binary, y int").collect()
-    k, y = wide(r.k for r in rows), np.array([r.y for r in rows])
+    # bounded samples come as Arrow tables and are read in place: rows as Python objects would take several times the room
+    rows = sample.select("text", "toxic").mapInArrow(examples, "k binary, y int").toArrow()
+    k, y = _matrix(rows["k"], np.float32, len(marks.strings)), rows["y"].to_numpy()
     if not (y == 0).any():
         return None
     # the landmarks themselves and their forms with an inserted character count as seen in toxic sentences
     more = marks.kernel([f"<{v}>" for s in bad if len(w := s.strip("<>")) > 3 for v in (w, *variants(w))])
     positive, negative = np.r_[k[y == 1], more], k[y == 0]
+    del rows, k
     for again in range(MINING + 1):
         model = Model(marks, positive, negative)
         fitted = spark.sparkContext.broadcast(model)
@@ -380,16 +381,26 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | No
                     out.append((k[top[:PER_MINED]].tobytes(), padded.tobytes()))
                 yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)), b.column("toxic").cast(pa.int32())], ["k", "m", "y"])
 
-        got = sample.select("text", "toxic").mapInArrow(worst, "k binary, m binary, y int").collect()
+        got = sample.select("text", "toxic").mapInArrow(worst, "k binary, m binary, y int").toArrow()
         fitted.destroy()
-        tops = np.frombuffer(b"".join(g.m for g in got), np.float64).reshape(-1, TOP)
-        negative = np.r_[negative, wide(g.k for g, m in zip(got, tops) if not g.y and m[0] > NOTHING)]
+        tops, toxic = _matrix(got["m"], np.float64, TOP), got["y"].to_numpy().astype(np.float64)
+        wrong = got.filter(pa.array((toxic == 0) & (tops[:, 0] > NOTHING)))
+        negative = np.r_[negative, _matrix(wrong["k"], np.float32, len(marks.strings))]
     for b in (seen, shared):
         b.destroy()
-    model.fit_curve(tops, np.array([float(g.y) for g in got]))
+    model.fit_curve(tops, toxic)
     return model
 
 
+def _matrix(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    """The bytes of a binary column as rows of numbers, not copied but for the joining of its chunks."""
+    if not len(column):
+        return np.zeros((0, width), kind)
+    whole = pa.concat_arrays(column.chunks)
+    ends = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, int(ends[0])).reshape(-1, width)
+
+
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; 0 for all where there is no model. One narrow pass, the model is some kB."""
     shared, names = spark.sparkContext.broadcast(model), docs.columns
