@@ -101,6 +101,22 @@ def level_start(soft: bool) -> str:
     return rf"\b(?:{TARGET_KEY}|{STOP_KEY}" + (f"|{SOFT_TARGET_KEY}|{SOFT_STOP_KEY}" if soft else "") + r")\b"
 
 
+def led(pattern: str) -> str:
+    """The same pattern with the word boundary that begins every alternative taken out in front of all: it is then tried
+    at the edges of words only, not each alternative at each place. As it is where an alternative begins otherwise."""
+    parts, depth, inside, i = [""], 0, False, 0
+    while i < len(pattern):
+        x = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(x)
+        inside = x == "[" or (inside and x != "]")
+        depth += 0 if inside else (x == "(") - (x == ")")
+        if x == "|" and depth == 0 and not inside:
+            parts.append("")
+        else:
+            parts[-1] += x
+    return r"\b(?:" + "|".join(p[2:] for p in parts) + ")" if all(p.startswith(r"\b") for p in parts) else pattern
+
+
 def bounded(pattern: str) -> str:
     """The pattern with ASCII word boundaries, which Java's own are not beside other scripts."""
     return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import patterns as P
+from ..functions.plan import written
 from ..functions.text import osa_distance, squash
 
 c = F.col
@@ -147,7 +148,8 @@ def _bound(x: Column, f) -> Column:
 
 def spots(x: Column, pattern: str, groups: int = 0) -> Column:
     """All matches of a pattern in a normalised text: array of (at, upto, g1, ..): first place, the place behind, and groups."""
-    lead = F.lit(f"(?s)(.*?)(?:{pattern})")
+    # each match goes on where the last one ended; without \G a text's rest without a match would be tried from each of its places
+    lead = F.lit(rf"\G(?s)(.*?)(?:{pattern})")
     got = F.arrays_zip(*[F.regexp_extract_all(x, lead, F.lit(i)).alias(f"p{i}") for i in range(groups + 2)])
 
     def placed(every: Column) -> Column:
@@ -252,10 +254,6 @@ def resolve(found: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     as what once had the name. In running text ("strict") tickers that are
     words, of two letters, or single words of company names do not count.
     """
-    # one row per asked spelling and mode: texts repeat names, so the fuzzy joins see each spelling once
-    slips = found.where("x.mode = 'near'").select(c("x.key").alias("word")).distinct()
-    fo_slips = found.where("x.mode = 'underlying'").select(c("x.key").alias("word")).distinct()
-    fuzzy = near_names(slips, names).withColumn("mode", F.lit("near")).unionByName(near_underlyings(fo_slips, names).withColumn("mode", F.lit("underlying")))
     outside = list(N.OFF_EXCHANGE)
     n = names.select(c("key").alias("__key"), "symbol", "kind", "via", "rank", "first_d", "last_d", "seq", "in_fo")
     exact = found.where("x.mode IN ('exact', 'strict')").join(n, c("x.key") == c("__key"))
@@ -264,8 +262,15 @@ def resolve(found: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     refused = strict & (c("rank") >= 0) & (c("x.key").isin(*N.words(N.WORD_TICKERS)) | (F.length("x.key") <= 2) | (c("via") == "name"))
     refused = refused | ((c("x.mode") == "strict") & (c("rank") < 0) & c("symbol").isin(*outside) & ~c("in_fo"))
     exact = exact.where(~refused & (alive | (c("seq") < 9))).withColumn("order", F.struct(F.when(alive & (c("seq") < 9), 0).when(alive, 1).otherwise(2).alias("a"), "seq", "symbol"))
-    exact = exact.select(*by, "x", "order", "symbol", "kind", "via")
-    slipped = found.join(fuzzy.withColumnRenamed("mode", "__mode"), (c("x.key") == c("word")) & (c("x.mode") == c("__mode")))
-    slipped = slipped.select(*by, "x", F.struct(F.lit(0).alias("a"), F.lit(0).alias("seq"), "symbol").alias("order"), "symbol", "kind", F.lit("name").alias("via"))
     inst = F.struct("symbol", "kind", "via", c("x.n").alias("words"), c("x.how").alias("how"), c("x.mode").alias("mode"), c("x.key").alias("key"), c("x.prio").alias("prio"), c("x.rest_at").alias("rest_at"), c("x.phrase").alias("phrase"))
-    return exact.unionByName(slipped).groupBy(*by).agg(F.min_by(inst, F.struct("x.prio", "order")).alias("inst"))
+    best = lambda t: t.groupBy(*by).agg(F.min(F.struct(F.struct("x.prio", "order").alias("at"), inst.alias("inst"))).alias("b"))
+    exact = written(best(exact), "exact")
+    # only what counts before a text's first exact name can still mean something else; each asked spelling is sought once
+    open_ = found.where("x.mode IN ('near', 'underlying')").join(exact.select(*by, c("b.at.prio").alias("__prio")), by, "left").where("__prio IS NULL OR x.prio < __prio").drop("__prio")
+    open_ = written(open_, "slips")
+    slips = open_.where("x.mode = 'near'").select(c("x.key").alias("word")).distinct()
+    fo_slips = open_.where("x.mode = 'underlying'").select(c("x.key").alias("word")).distinct()
+    fuzzy = near_names(slips, names).withColumn("mode", F.lit("near")).unionByName(near_underlyings(fo_slips, names).withColumn("mode", F.lit("underlying")))
+    slipped = open_.join(fuzzy.withColumnRenamed("mode", "__mode"), (c("x.key") == c("word")) & (c("x.mode") == c("__mode")))
+    slipped = slipped.select(*by, "x", F.struct(F.lit(0).alias("a"), F.lit(0).alias("seq"), "symbol").alias("order"), "symbol", "kind", F.lit("name").alias("via"))
+    return exact.unionByName(best(slipped)).groupBy(*by).agg(F.min_by("b.inst", "b.at").alias("inst"))

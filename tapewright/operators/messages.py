@@ -17,7 +17,7 @@ c = F.col
 
 def _has(norm: Column, pattern: str) -> Column:
     """Whether a normalised text, which is ASCII, holds the pattern: Java's own word boundaries are right there, and much cheaper."""
-    return norm.rlike(pattern)
+    return norm.rlike(P.led(pattern))
 
 
 def with_norm(messages: DataFrame) -> DataFrame:
@@ -32,8 +32,13 @@ def with_norm(messages: DataFrame) -> DataFrame:
 def cues(messages: DataFrame) -> DataFrame:
     """Rows (channel_id, msg_id, kind, match): the first match of each kind in each message."""
     m = messages.where(F.trim("text") != "").withColumn("both", F.concat(normalise(c("text")), F.lit("\n"), F.upper("text")))
-    each = F.array_compact(F.array(*[F.when(hit.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.left(F.trim(hit), F.lit(60)).alias("match"))) for kind, pattern in P.PROMO for hit in [found(c("both"), P.bounded(pattern))]]))
-    return m.select("channel_id", "msg_id", F.explode(each).alias("x")).select("channel_id", "msg_id", "x.kind", "x.match")
+    # worked out once a row, or each pattern would normalise the text again
+    m = settle(m.select("channel_id", "msg_id", "both"))
+    # Java's own word boundaries are right in ASCII, and much cheaper than those spelt out
+    m = settle(m.withColumn("ascii", ~c("both").rlike(r"[^\x00-\x7F]")))
+    first = lambda pattern: F.when(c("ascii"), found(c("both"), P.led(pattern))).otherwise(found(c("both"), P.bounded(P.led(pattern))))
+    m = settle(m.select("channel_id", "msg_id", F.array(*[F.struct(F.lit(kind).alias("kind"), first(pattern).alias("match")) for kind, pattern in P.PROMO]).alias("all")))
+    return m.select("channel_id", "msg_id", F.explode(F.filter("all", lambda x: x.match.isNotNull())).alias("x")).select("channel_id", "msg_id", "x.kind", F.left(F.trim("x.match"), F.lit(60)).alias("match"))
 
 
 def promo_kinds(messages: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def with_instrument(texts: DataFrame, dictionary: DataFrame, by: list[str]) -> D
 
     An option whose index is not named is symbol "?". texts: by, d, norm, options, actions.
     """
-    x = settle(I.with_marks(texts)).select(*by, "d", F.explode(I.candidates()).alias("x"))
+    x = written(settle(I.with_marks(texts)).select(*by, "d", F.explode(I.candidates()).alias("x")), "candidates")
     t = texts.join(I.resolve(x, I.completed(dictionary), by), by, "left")
     i, n_options = c("inst"), F.size("options")
     several = F.expr(OPTION_DISTINCT) > 1

@@ -32,3 +32,27 @@ def test_expiries_are_sought_by_symbol_and_day(spark):
     assert found[1, "A"] == found[1, "B"] == found[2, "A"] == four
     assert found[3, "A"] == [datetime.date(2024, 2, 28)] and found[4, "A"] == [datetime.date(2024, 1, 10)] and (5, "A") not in found
     assert "windowspecdefinition(call_id" not in plan(got)
+
+
+def test_boundaries_are_taken_out_in_front(spark):
+    from tapewright.functions import patterns as P
+
+    assert P.led(r"\bA(?:\b|\|)[|(]|\bB\b") == r"\b(?:A(?:\b|\|)[|(]|B\b)" and P.led(r"\bA|B") == r"\bA|B"
+    import re
+
+    text = "JOIN OUR VIP GROUP NOW T.ME/+A @ X.Y-Z@UPI SURE SHOT 100 % FIXED PROFIT 5K PROFIT SL : PAID _DM DM HURRY"
+    for _, pattern in P.PROMO:
+        assert P.led(pattern) != pattern and [m.span() for m in re.finditer(pattern, text)] == [m.span() for m in re.finditer(P.led(pattern), text)]
+
+
+def test_slips_are_sought_only_before_the_first_exact_name(spark, monkeypatch):
+    from tapewright.operators import instruments as I
+
+    asked = []
+    monkeypatch.setattr(I, "near_names", lambda words, names, f=I.near_names: (asked.extend(r.word for r in words.collect()), f(words, names))[1])
+    x = "struct<prio: int, key: string, n: int, mode: string, how: string, rest_at: int, phrase: string>"
+    cand = lambda prio, key, mode: (prio, key, 1, mode, "action", 1, "")
+    rows = [(1, None, cand(2, "RELIANCES", "exact")), (1, None, cand(5, "RELIANCEX", "near")), (2, None, cand(3, "INFOSYSTM", "near")), (2, None, cand(9, "RELIANCES", "exact"))]
+    names = I.completed(spark.createDataFrame([("RELIANCES", "RELIANCES", "stock"), ("INFOSYSTEM", "INFOSYSTEM", "stock")], "key string, symbol string, kind string"))
+    got = {r.msg_id: r.inst.symbol for r in I.resolve(spark.createDataFrame(rows, f"msg_id int, d int, x {x}"), names, ["msg_id"]).collect()}
+    assert got == {1: "RELIANCES", 2: "INFOSYSTEM"} and asked == ["INFOSYSTM"]
