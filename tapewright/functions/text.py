@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,23 +25,38 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edits between two strings, a swap of neighbours counting one; null with null."""
-
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        before, last = None, list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            row = [i]
-            for j, q in enumerate(y, 1):
-                best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q))
-                if before is not None and j > 1 and p == y[j - 2] and q == x[i - 2]:
-                    best = min(best, before[j - 2] + 1)
-                row.append(best)
+    """Edits between two strings, a swap of neighbours counting one; null with null. One table of distances for all pairs of a batch."""
+
+    def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points, a row a place and a column a text, and lengths."""
+        size = np.array([len(x) for x in texts])
+        wide = max(int(size.max()), 1)
+        flat = np.frombuffer("".join(x.ljust(wide, "\0") for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.ascontiguousarray(flat.reshape(len(texts), wide).T), size
+
+    def table(a: list[str], b: list[str]) -> np.ndarray:
+        (x, n), (y, m) = letters(a), letters(b)
+        out = np.where(n == 0, m, 0).astype(np.int32)
+        before, last = None, np.repeat(np.arange(len(y) + 1, dtype=np.int32)[:, None], len(a), 1)
+        for i in range(1, int(n.max()) + 1):
+            row = np.empty_like(last)
+            row[0] = i
+            row[1:] = np.minimum(last[1:] + 1, last[:-1] + (x[i - 1] != y))
+            if before is not None:
+                swap = (x[i - 1] == y[:-1]) & (x[i - 2] == y[1:])
+                row[2:] = np.where(swap, np.minimum(row[2:], before[:-2] + 1), row[2:])
+            for j in range(1, len(row)):
+                np.minimum(row[j], row[j - 1] + 1, out=row[j])
+            done = n == i
+            out[done] = row[m[done], done.nonzero()[0]]
             before, last = last, row
-        return last[-1]
+        return out
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int32")
+    out = pd.Series(pd.NA, index=a.index, dtype="Int32")
+    known = a.notna() & b.notna()
+    if known.any():
+        out[known] = table(a[known].tolist(), b[known].tolist())
+    return out
 
 
 @F.pandas_udf(T.StringType())

@@ -92,9 +92,11 @@ def within_edits(asked: DataFrame, targets: DataFrame) -> DataFrame:
 
     An equi join on remains, verified by the distance; never all against all.
     """
+    # a word of one edit shares a remain of one deletion: those of two are for words of two
     a = asked.select("word", "most", F.explode(remains(c("word"), c("most") > 1)).alias("__r"))
-    b = targets.select("target", F.explode(remains(c("target"), F.lit(True))).alias("__r"))
-    met = a.join(b, "__r").where(F.abs(F.length("word") - F.length("target")) <= c("most")).select("word", "most", "target").distinct()
+    rests = lambda two: F.explode(remains(c("target"), F.lit(two))).alias("__r")
+    b = targets.select("target", F.lit(1).alias("__m"), rests(False)).unionByName(targets.select("target", F.lit(2).alias("__m"), rests(True)))
+    met = a.withColumn("__m", F.when(c("most") > 1, 2).otherwise(1)).join(b, ["__r", "__m"]).where(F.abs(F.length("word") - F.length("target")) <= c("most")).select("word", "most", "target").distinct()
     return met.where(osa_distance("word", "target") <= c("most")).select("word", "target")
 
 

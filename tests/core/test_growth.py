@@ -56,3 +56,33 @@ def test_slips_are_sought_only_before_the_first_exact_name(spark, monkeypatch):
     names = I.completed(spark.createDataFrame([("RELIANCES", "RELIANCES", "stock"), ("INFOSYSTEM", "INFOSYSTEM", "stock")], "key string, symbol string, kind string"))
     got = {r.msg_id: r.inst.symbol for r in I.resolve(spark.createDataFrame(rows, f"msg_id int, d int, x {x}"), names, ["msg_id"]).collect()}
     assert got == {1: "RELIANCES", 2: "INFOSYSTEM"} and asked == ["INFOSYSTM"]
+
+
+def test_distances_of_a_batch():
+    import random
+
+    import pandas as pd
+
+    from tapewright.functions.text import osa_distance
+
+    def plain(x, y):
+        t = [[i + j if i * j == 0 else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+        return t[-1][-1]
+
+    r = random.Random(5)
+    words = lambda: ["".join(r.choices("ab\0é", k=r.randint(0, 7))) for _ in range(3000)]
+    a, b = words(), words()
+    got = osa_distance.func(pd.Series([*a, None, "x", ""]), pd.Series([*b, "x", None, ""]))
+    assert got[:3000].tolist() == [plain(x, y) for x, y in zip(a, b)] and got[3000:3002].isna().all() and got[3002] == 0
+
+    # CPU seconds of these: 13 pair by pair, 0.8 in one table
+    import time
+
+    began = time.process_time()
+    osa_distance.func(pd.Series(["SUPPLIER000012345"] * 100_000), pd.Series(["SUPPLIER000013254"] * 100_000))
+    assert time.process_time() - began < 6
