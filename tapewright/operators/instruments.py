@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import patterns as P
-from ..functions.plan import written
+from ..functions.plan import settle, written
 from ..functions.text import osa_distance, squash
 
 c = F.col
 UNNAMED = "?"
 #: Name sources in the order they count.
 RANK = {"ticker": 0, "alias": 1, "name": 2}
-LONG = 8
+#: Names of fewer letters are not sought with slips: in a dictionary, and among underlyings.
+LONG, SHORT = 8, 5
 DICTIONARY = "key string, symbol string, kind string, via string, rank int, first_d int, last_d int, seq int, long boolean, in_fo boolean"
 
 
@@ -118,7 +119,7 @@ def near_underlyings(asked: DataFrame, names: DataFrame) -> DataFrame:
     A word without such a ticker is asked again without its last S.
     """
     fo = names.where(c("in_fo") & (c("via") == "ticker")).select("symbol", "kind", squash(c("symbol")).alias("target")).dropDuplicates(["symbol"])
-    w = asked.where(F.length("word") >= 5).select("word", F.when(F.length("word") >= 9, 2).otherwise(1).alias("most")).distinct()
+    w = asked.where(F.length("word") >= SHORT).select("word", F.when(F.length("word") >= 9, 2).otherwise(1).alias("most")).distinct()
     whole = within_edits(w, fo.select("target").distinct())
     rest = w.join(whole.select("word").distinct(), "word", "left_anti").where(c("word").endswith("S"))
     cut = rest.select(c("word").alias("full"), F.expr("left(word, length(word) - 1)").alias("word"), "most")
@@ -140,7 +141,12 @@ def tokens(x: Column) -> Column:
 
 
 def _filler(t: Column) -> Column:
-    return F.array_contains(F.split(F.lit(" ".join(N.words(N.FILLER))), " "), t)  # the list folds into a constant
+    return t.isin(*N.words(N.FILLER))  # a lookup in a set
+
+
+def _key(words: Column) -> Column:
+    """Tokens as a key: of what ``squash`` takes out they can have hyphens only."""
+    return F.replace(F.array_join(words, ""), F.lit("-"), F.lit(""))
 
 
 def _bound(x: Column, f) -> Column:
@@ -158,31 +164,33 @@ def spots(x: Column, pattern: str, groups: int = 0) -> Column:
         end = lambda i: F.aggregate(F.slice(every, 1, i + 1), F.lit(1), lambda n, m: n + F.length(m.p0))
         return F.transform(every, lambda m, i: F.struct((end(i) - F.length(m.p0) + F.length(m.p1)).alias("at"), end(i).alias("upto"), *[m[f"p{g + 1}"].alias(f"g{g}") for g in range(1, groups + 1)]))
 
-    return _bound(got, placed)
+    none = F.array().cast("array<struct<at: int, upto: int" + "".join(f", g{g}: string" for g in range(1, groups + 1)) + ">>")
+    return F.when(x.rlike(pattern), _bound(got, placed)).otherwise(none)  # most texts have none, which one search tells
 
 
-def _candidate(prio, key: Column, n, mode: str, how: str, rest: Column, phrase: Column) -> Column:
+def _candidate(prio, key: Column, n, mode: str, how: str, rest: Column, at) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(lit(prio).cast("int").alias("prio"), key.alias("key"), lit(n).cast("int").alias("n"), F.lit(mode).alias("mode"), F.lit(how).alias("how"), rest.cast("int").alias("rest_at"), phrase.alias("phrase"))
+    return F.struct(lit(prio).cast("int").alias("prio"), key.alias("key"), lit(n).cast("int").alias("n"), F.lit(mode).alias("mode"), F.lit(how).alias("how"), rest.cast("int").alias("rest_at"), lit(at).cast("int").alias("at"))
 
 
-def _ending(words: Column, prio, how: str, rest: Column, phrase: Column) -> Column:
-    """Names of three words down to one that end the words; first as they stand, then without filler words."""
+def _ending(words: Column, prio, how: str, rest: Column, at) -> Column:
+    """Names of three words down to one that end the words; first as they stand, then without filler words, if there are any."""
 
     def of(t: Column, i: Column) -> Column:
         tail = lambda n: F.slice(t, F.size(t) - n + 1, n)
-        key = lambda n: F.when(F.size(t) >= n, squash(F.array_join(tail(n), "")))
-        return F.array(*[_candidate(prio + i * 3 + 3 - n, F.when(~_filler(F.try_element_at(t, F.lit(-1))), key(1)) if n == 1 else key(n), n, "exact", how, rest, phrase) for n in (3, 2, 1)])
+        key = lambda n: F.when(F.size(t) >= n, _key(tail(n)))
+        return F.when(F.size(t) > 0, F.array(*[_candidate(prio + i * 3 + 3 - n, F.when(~_filler(F.try_element_at(t, F.lit(-1))), key(1)) if n == 1 else key(n), n, "exact", how, rest, at) for n in (3, 2, 1)])).otherwise(_none())
 
-    return _bound(words, lambda w: F.flatten(F.transform(F.array(w, F.filter(w, lambda t: ~_filler(t))), of)))
+    less = lambda w: _bound(F.filter(w, lambda t: ~_filler(t)), lambda f: F.when(F.size(f) < F.size(w), F.array(w, f)).otherwise(F.array(w)))
+    return _bound(words, lambda w: F.flatten(F.transform(less(w), of)))
 
 
-def _starting(words: Column, prio, how: str, rest: Column, phrase: Column, modes: tuple) -> Column:
+def _starting(words: Column, prio, how: str, rest: Column, at, modes: tuple) -> Column:
     """Names of three words down to one that start the words behind leading filler words."""
 
     def of(t: Column) -> Column:
-        key = lambda n: F.when(F.size(t) >= n, squash(F.array_join(F.slice(t, 1, n), "")))
-        return F.array(*[_candidate(prio + 3 * k + 3 - n, key(n), n, mode, how, rest, phrase) for k, mode in enumerate(modes) for n in (3, 2, 1)])
+        key = lambda n: F.when(F.size(t) >= n, _key(F.slice(t, 1, n)))
+        return F.when(F.size(t) > 0, F.array(*[_candidate(prio + 3 * k + 3 - n, key(n), n, mode, how, rest, at) for k, mode in enumerate(modes) for n in (3, 2, 1)])).otherwise(_none())
 
     def behind(w: Column) -> Column:
         first = F.array_position(F.transform(w, lambda t: ~_filler(t)), F.lit(True)).cast("int")
@@ -194,58 +202,86 @@ def _starting(words: Column, prio, how: str, rest: Column, phrase: Column, modes
 def with_marks(texts: DataFrame) -> DataFrame:
     """Adds what candidates are read from beside options and actions: label, tag and the first line, with their places."""
     norm = c("norm")
-    return texts.withColumns({
-        "label": F.regexp_extract(norm, LABEL, 0), "label_at": F.regexp_instr(norm, F.lit(LABEL)), "labelled": F.regexp_extract(norm, LABEL, 1),
-        "tag": F.regexp_extract(norm, TAG, 0), "tag_at": F.regexp_instr(norm, F.lit(TAG)), "first_line": F.substring_index(F.regexp_replace(norm, r"^\s+|\s+$", ""), "\n", 1),
-    })
+    t = settle(texts.withColumns({"label_at": F.regexp_instr(norm, F.lit(LABEL)), "tag_at": F.regexp_instr(norm, F.lit(TAG))}))
+    at = lambda place, pattern, group: F.when(c(place) > 0, F.regexp_extract(norm, pattern, group)).otherwise("")
+    return t.withColumns({"label": at("label_at", LABEL, 0), "labelled": at("label_at", LABEL, 1), "tag": at("tag_at", TAG, 0), "first_line": first_line()})
+
+
+def first_line() -> Column:
+    return F.substring_index(F.regexp_replace("norm", r"^\s+|\s+$", ""), "\n", 1)
+
+
+def _between(a, b) -> Column:
+    return F.substring("norm", a, F.greatest(b - a, F.lit(0)))
+
+
+def _one(n: Column) -> Column:
+    return F.greatest(n, F.lit(1))
+
+
+def around_option(o: Column) -> Column:
+    return _between(_one(o["at"] - 40), o["upto"] + 22)
+
+
+def phrase(i: Column) -> Column:
+    """The words about a candidate, in which hints of it are sought: worked out of what counted alone, not of every candidate."""
+    option, action = F.get("options", i["at"]), F.get("actions", i["at"])
+    how = lambda x: i["how"] == x
+    other = F.when(how("label"), F.regexp_extract("norm", LABEL, 0)).when(how("tag"), F.regexp_extract("norm", TAG, 0)).when(how("scan"), first_line())
+    return F.when(how("option"), around_option(option)).when(how("action"), _between(_one(action["at"] - 40), action["at"] + 60)).otherwise(other)
 
 
 def candidates() -> Column:
-    """All candidate names of a text: (prio, key, n, mode, how, rest_at, phrase), prio in the order in which they count.
+    """All candidate names of a text that can mean something: (prio, key, n, mode, how, rest_at, at), prio in the order in
+    which they count, at the number of the option or action beside which they stand.
 
     Reads norm, options, actions and the columns of ``with_marks``.
     """
     norm = c("norm")
-    between = lambda a, b: F.substring(norm, a, F.greatest(b - a, F.lit(0)))
-    one = lambda n: F.greatest(n, F.lit(1))
 
     def at_option(o: Column, i: Column) -> Column:
-        phrase = between(one(o["at"] - 40), o["upto"] + 22)
         last = lambda w: F.try_element_at(F.filter(w, lambda t: ~_filler(t)), F.lit(-1))
         return _bound(
-            between(one(o["at"] - 60), o["at"]),
+            _between(_one(o["at"] - 60), o["at"]),
             lambda before: F.concat(
-                _bound(tokens(F.substring_index(before, "\n", -1)), lambda w: F.concat(_ending(w, i * 100, "option", o["upto"], phrase), F.array(_candidate(i * 100 + 20, squash(last(w)), 1, "underlying", "option", o["upto"], phrase)))),
-                _ending(tokens(before), i * 100 + 10, "option", o["upto"], phrase),
+                _bound(tokens(F.substring_index(before, "\n", -1)), lambda w: F.concat(_ending(w, i * 100, "option", o["upto"], i), F.array(_candidate(i * 100 + 20, squash(last(w)), 1, "underlying", "option", o["upto"], i)))),
+                _ending(tokens(before), i * 100 + 10, "option", o["upto"], i),
             ),
         )
 
     def at_action(a: Column, i: Column) -> Column:
-        base, phrase, rest = i * 100 + 2_000_000, between(one(a["at"] - 40), a["at"] + 60), a["upto"]
+        base, rest = i * 100 + 2_000_000, a["upto"]
         after = F.substring_index(F.substring(norm, a["upto"], F.length(norm)), "\n", 1)
-        before = F.substring_index(between(F.lit(1), a["at"]), "\n", -1)
-        above = lambda b: F.substring_index(F.regexp_replace(between(F.lit(1), a["at"] - F.length(b)), r"\s+$", ""), "\n", -1)
+        before = F.substring_index(_between(F.lit(1), a["at"]), "\n", -1)
+        above = lambda b: F.substring_index(F.rtrim(_between(F.lit(1), a["at"] - F.length(b)), F.lit(" \t\n\x0b\f\r")), "\n", -1)
         return F.concat(
-            _starting(tokens(after), base, "action", rest, phrase, ("exact", "near")),
-            _bound(before, lambda b: F.concat(_ending(tokens(b), base + 10, "action", rest, phrase), _starting(tokens(above(b)), base + 20, "action", rest, phrase, ("exact", "near")))),
+            _starting(tokens(after), base, "action", rest, i, ("exact", "near")),
+            _bound(before, lambda b: F.concat(_ending(tokens(b), base + 10, "action", rest, i), _starting(tokens(above(b)), base + 20, "action", rest, i, ("exact", "near")))),
         )
 
     def scan(words: Column) -> Column:
-        at_word = lambda t, i: _starting(F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))), i * 10 + 4_000_000, "scan", F.instr(norm, t) + F.length(t), c("first_line"), ("strict",))
+        # names behind a filler word are those behind the word after it: they are taken once, where they count first
+        anew = lambda i: (i == 0) | ~_filler(F.get(words, i - 1))
+        at_word = lambda t, i: F.when(anew(i), _starting(F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))), i * 10 + 4_000_000, "scan", F.instr(norm, t) + F.length(t), 0, ("strict",))).otherwise(_none())
         return F.flatten(F.transform(F.slice(words, 1, 8), at_word))
 
     tag, tag_end = squash(c("tag")), c("tag_at") + F.length("tag")
     every = F.concat(
         F.flatten(F.transform("options", at_option)),
-        F.when(c("label_at") > 0, _starting(tokens(c("labelled")), 1_000_000, "label", c("label_at") + F.length("label"), c("label"), ("exact", "near"))).otherwise(F.array().cast(_CANDIDATE)),
+        F.when(c("label_at") > 0, _starting(tokens(c("labelled")), 1_000_000, "label", c("label_at") + F.length("label"), 0, ("exact", "near"))).otherwise(_none()),
         F.flatten(F.transform("actions", at_action)),
-        F.array(*[_candidate(3_000_000 + k, F.when(c("tag_at") > 0, tag), 1, mode, "tag", tag_end, c("tag")) for k, mode in enumerate(("exact", "near"))]),
+        F.when(c("tag_at") > 0, F.array(*[_candidate(3_000_000 + k, tag, 1, mode, "tag", tag_end, 0) for k, mode in enumerate(("exact", "near"))])).otherwise(_none()),
         _bound(tokens(c("first_line")), scan),
     )
-    return F.filter(every, lambda x: x.key.isNotNull() & (x.key != ""))
+    # shorter words are no slips of anything
+    return F.filter(every, lambda x: F.length(x.key) >= F.when(x.mode == "near", LONG).when(x.mode == "underlying", SHORT).otherwise(1))
+
+
+_CANDIDATE = "array<struct<prio: int, key: string, n: int, mode: string, how: string, rest_at: int, at: int>>"
 
 
-_CANDIDATE = "array<struct<prio: int, key: string, n: int, mode: string, how: string, rest_at: int, phrase: string>>"
+def _none() -> Column:
+    return F.array().cast(_CANDIDATE)
 
 
 def resolve(found: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
@@ -264,7 +300,7 @@ def resolve(found: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     refused = strict & (c("rank") >= 0) & (c("x.key").isin(*N.words(N.WORD_TICKERS)) | (F.length("x.key") <= 2) | (c("via") == "name"))
     refused = refused | ((c("x.mode") == "strict") & (c("rank") < 0) & c("symbol").isin(*outside) & ~c("in_fo"))
     exact = exact.where(~refused & (alive | (c("seq") < 9))).withColumn("order", F.struct(F.when(alive & (c("seq") < 9), 0).when(alive, 1).otherwise(2).alias("a"), "seq", "symbol"))
-    inst = F.struct("symbol", "kind", "via", c("x.n").alias("words"), c("x.how").alias("how"), c("x.mode").alias("mode"), c("x.key").alias("key"), c("x.prio").alias("prio"), c("x.rest_at").alias("rest_at"), c("x.phrase").alias("phrase"))
+    inst = F.struct("symbol", "kind", "via", c("x.n").alias("words"), c("x.how").alias("how"), c("x.mode").alias("mode"), c("x.key").alias("key"), c("x.prio").alias("prio"), *[c(f"x.{k}").alias(k) for k in ("rest_at", "at") if k in found.schema["x"].dataType.names])
     best = lambda t: t.groupBy(*by).agg(F.min(F.struct(F.struct("x.prio", "order").alias("at"), inst.alias("inst"))).alias("b"))
     exact = written(best(exact), "exact")
     # only what counts before a text's first exact name can still mean something else; each asked spelling is sought once

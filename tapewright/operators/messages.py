@@ -88,7 +88,7 @@ def follow_kind(norm: Column) -> Column:
     """stop-hit, then target-hit or profit, then exit; null where none."""
     won = _has(norm, P.RESULT)
     profit = _has(norm, r"\bPROFIT|\bBOOK") & ~_has(norm, r"\b(?:HITS?|DONE|ACHIEVED|ACHIVED|GIVEN)\b")
-    return F.when(_has(norm, P.STOPPED), "stop-hit").when(won & profit, "profit").when(won, "target-hit").when(_has(norm, P.EXITED), "exit")
+    return F.when(_has(norm, P.STOPPED), "stop-hit").when(won, F.when(profit, "profit").otherwise("target-hit")).when(_has(norm, P.EXITED), "exit")
 
 
 # ---- one text of a message -> one call
@@ -113,9 +113,10 @@ def segments(messages: DataFrame) -> DataFrame:
     by_contract = F.transform("__s", lambda i, k: F.array_join(F.slice("__l", begin(i, k) + 1, upto(k) - begin(i, k)), "\n"))
     blocks = F.filter(F.split("norm", r"\n\s*\n"), lambda x: F.trim(x) != "")
     parts = F.when(F.size("__s") > 1, by_contract).otherwise(blocks)
-    m = m.withColumn("parts", F.when(F.size(parts) > 1, F.concat(F.array("norm"), parts)).otherwise(F.array("norm")))
+    m = settle(m.withColumn("__p", parts))
+    m = m.withColumn("parts", F.when(F.size("__p") > 1, F.concat(F.array("norm"), "__p")).otherwise(F.array("norm")))
     m = m.select(*messages.columns, F.posexplode("parts").alias("part", "__seg")).drop("norm").withColumnRenamed("__seg", "norm")
-    return settle(m.withColumns({"options": I.spots(c("norm"), P.OPTION, 2), "actions": I.spots(c("norm"), P.ACTION)}))
+    return settle(m.withColumns({"options": I.spots(c("norm"), P.OPTION, 2), "actions": I.spots(c("norm"), P.led(P.ACTION))}))
 
 
 def with_instrument(texts: DataFrame, dictionary: DataFrame, by: list[str]) -> DataFrame:
@@ -123,25 +124,25 @@ def with_instrument(texts: DataFrame, dictionary: DataFrame, by: list[str]) -> D
 
     An option whose index is not named is symbol "?". texts: by, d, norm, options, actions.
     """
-    x = written(settle(I.with_marks(texts)).select(*by, "d", F.explode(I.candidates()).alias("x")), "candidates")
+    marked = settle(I.with_marks(texts.select(*by, "d", "norm", "options", "actions")))
+    x = written(marked.select(*by, "d", F.explode(I.candidates()).alias("x")), "candidates")
     t = texts.join(I.resolve(x, I.completed(dictionary), by), by, "left")
     i, n_options = c("inst"), F.size("options")
     several = F.expr(OPTION_DISTINCT) > 1
     own = i["how"] == "option"
     borrowed = i.isNotNull() & ~own & (n_options > 0) & ~several
     unnamed = i.isNull() & (n_options > 0) & (F.size("actions") > 0) & (F.get("options", F.lit(0))["g1"].cast("double") >= 5000)
-    at = F.when(own, (i["prio"] / 100).cast("int")).when(borrowed | unnamed, 0)
+    at = F.when(own, i["at"]).when(borrowed | unnamed, 0)
     t = settle(t.withColumns({"__o": F.get("options", at), "__own": own, "__unnamed": unnamed, "__several": several}))
     i, o = c("inst"), c("__o")
     slip = i["mode"] == "underlying"
-    around = F.substring("norm", F.greatest(o["at"] - 40, F.lit(1)), o["upto"] + 22 - F.greatest(o["at"] - 40, F.lit(1)))
     notes = F.array_compact(F.array(F.when(slip, F.concat_ws(" ", F.lit("readAs"), i["key"], i["symbol"])), F.when(c("__own") & c("__several"), "firstContract"), F.when(c("__unnamed"), "indexUnnamed")))
     named = F.struct(
         F.when(c("__unnamed"), I.UNNAMED).otherwise(i["symbol"]).alias("symbol"), F.when(c("__unnamed"), "index").otherwise(i["kind"]).alias("of"),
         F.when(c("__unnamed"), "name").otherwise(i["via"]).alias("via"), F.when(c("__unnamed"), 0).otherwise(i["words"]).alias("words"),
         F.when(o.isNotNull(), "option").otherwise(i["how"]).alias("how"), o["g1"].cast("double").alias("strike"),
         F.when(o["g2"].startswith("C"), "CE").when(o.isNotNull(), "PE").alias("opt_type"),
-        F.when(o.isNotNull(), o["upto"]).otherwise(i["rest_at"]).alias("rest_at"), F.when(c("__unnamed"), around).otherwise(i["phrase"]).alias("phrase"),
+        F.when(o.isNotNull(), o["upto"]).otherwise(i["rest_at"]).alias("rest_at"), F.when(c("__unnamed"), I.around_option(o)).otherwise(I.phrase(i)).alias("phrase"),
         F.when(c("__own") & c("__several"), "low").when(slip | c("__unnamed"), "medium").otherwise("high").alias("doubt"), notes.alias("notes"),
     )
     t = t.withColumn("named", F.when(i.isNotNull() | c("__unnamed"), named))
@@ -153,20 +154,20 @@ def _month(name: Column) -> Column:
 
 
 def _hint(m: DataFrame) -> DataFrame:
-    """Adds hint_day and hint_month: the expiry that the text gives, of options and futures."""
+    """Adds hint_day and hint_month: the expiry that the text gives, of options and futures. Nothing else is searched for one."""
     phrase, n = c("named.phrase"), c("norm")
+    has = c("kind") != "equity"
     either = lambda p, g: F.coalesce(found(phrase, p, g), found(n, p, g))
-    m = m.withColumns({
+    said = {
         "__dd": either(P.DAY_MONTH, 1).cast("int"), "__dm": either(P.DAY_MONTH, 2),
         "__md": found(phrase, P.MONTH_DAY, 2).cast("int"), "__mm": found(phrase, P.MONTH_DAY, 1), "__mt": found(phrase, P.MONTH_DAY, 0),
         "__mo": F.coalesce(found(phrase, P.MONTH_ONLY[0], 1), found(n, P.MONTH_ONLY[1], 1), found(n, P.MONTH_ONLY[2], 1)),
-    })
-    m = settle(m)
+    }
+    m = settle(m.withColumns({k: F.when(has, x) for k, x in said.items()}))
     # a month and two digits written together are a month and a year
     year = c("__mt").rlike(r"[A-Z]\d") & c("__md").between(24, 29)
     first = c("__dd").between(1, 31)
     second = c("__md").between(1, 31) & ~c("__md").cast("double").eqNullSafe(c("named.strike")) & ~year
-    has = c("kind") != "equity"
     day = F.when(first, c("__dd")).when(second, c("__md"))
     month = F.when(first, c("__dm")).when(second, c("__mm")).when(c("__mo") != "MAY", c("__mo"))
     return m.withColumns({"hint_day": F.when(has, day), "hint_month": F.when(has, _month(month))}).drop("__dd", "__dm", "__md", "__mm", "__mt", "__mo")
@@ -177,7 +178,8 @@ def _entry(m: DataFrame) -> DataFrame:
     front = c("front")
     num = lambda ps: F.coalesce(*[found(front, p, 1).cast("double") for p in ps])
     pair = lambda f: F.when(found(front, f, 1).isNotNull(), F.struct(found(front, f, 1).alias("x"), found(front, f, 2).alias("y")))
-    m = settle(m.withColumns({"__above": num(P.ENTRY_ABOVE), "__below": num(P.ENTRY_BELOW), "__pair": F.coalesce(*map(pair, P.ENTRY_AT))}))
+    m = settle(m.withColumns({"__above": num(P.ENTRY_ABOVE), "__below": num(P.ENTRY_BELOW)}))
+    m = settle(m.withColumn("__pair", F.when(c("__above").isNull() & c("__below").isNull(), F.coalesce(*map(pair, P.ENTRY_AT)))))
     raw_x, raw_y = c("__pair.x"), c("__pair.y")
     whole = F.substring_index(raw_x, ".", 1)
     m = m.withColumns({"__x": raw_x.cast("double"), "__full": F.concat(F.left(whole, F.length(whole) - F.length(raw_y)), raw_y).cast("double"), "__short": F.length(raw_y) < F.length(whole)})
@@ -194,7 +196,7 @@ def _entry(m: DataFrame) -> DataFrame:
 def read_levels(texts: DataFrame) -> DataFrame:
     """Adds what a text says of its instrument ``named``: kind, side, horizon, expiry hint, entry, ref, targets, stop, stop_zero, has_action, levels."""
     n, i = c("norm"), c("named")
-    m = texts.withColumns({"has_action": _has(n, P.ACTION), "rest": F.substring(n, i["rest_at"], F.length(n))})
+    m = texts.withColumns({"has_action": F.size("actions") > 0 if "actions" in texts.columns else _has(n, P.ACTION), "rest": F.substring(n, i["rest_at"], F.length(n))})
     m = settle(m.withColumn("soft", c("has_action") | i["strike"].isNotNull() | _has(n, P.TRADE_HEAD)))
     by_soft = lambda f: F.when(c("soft"), f(True)).otherwise(f(False))
     m = settle(m.withColumn("__at", by_soft(lambda soft: F.regexp_instr("rest", F.lit(P.level_start(soft))))))
@@ -215,7 +217,8 @@ def read_levels(texts: DataFrame) -> DataFrame:
     m = m.withColumns({"ref": F.when(c("entry.type") == "range", (c("entry.lo") + c("entry.hi")) / 2).otherwise(c("entry.lo")), "way": F.when(c("side") == "long", 1).otherwise(-1)})
     lists = by_soft(lambda soft: F.arrays_zip(*[F.regexp_extract_all("rest", F.lit(P.target_level(soft)), F.lit(g)).alias(f"p{g}") for g in (1, 2)]))
     stop = by_soft(lambda soft: F.struct(found(c("rest"), P.stop_level(soft), 1).cast("double").alias("n"), F.regexp_extract("rest", P.stop_level(soft), 2).alias("away")))
-    m = settle(m.withColumns({"__lists": lists, "__stop": stop, "__to": found(c("front"), P.TARGETS_AFTER_TO, 1)}))
+    m = settle(m.withColumns({"__lists": lists, "__stop": stop}))
+    to = found(c("front"), P.TARGETS_AFTER_TO, 1)
 
     def level(x: Column, away: Column, way: Column) -> Column:  # a price as it is, points or percent from the entry
         moved = F.when(away.contains("%"), c("ref") * (1 + way * x / 100)).otherwise(c("ref") + way * x)
@@ -224,14 +227,14 @@ def read_levels(texts: DataFrame) -> DataFrame:
     said = F.flatten(F.transform("__lists", lambda g: F.transform(numbers_in(g.p1), lambda x: level(x, g.p2, c("way")))))
     said = F.filter(said, lambda x: x.isNotNull())
     m = settle(m.withColumns({"__said": said, "__s": level(c("__stop.n"), c("__stop.away"), -c("way"))}))
-    targets = F.when((F.size("__said") == 0) & c("entry.lo").isNotNull() & c("__to").isNotNull(), numbers_in(c("__to"))).otherwise(c("__said"))
+    targets = F.when((F.size("__said") == 0) & c("entry.lo").isNotNull() & to.isNotNull(), numbers_in(to)).otherwise(c("__said"))
     m = settle(m.withColumn("__t", F.array_distinct(F.filter(targets, lambda x: (x > 0) & ~x.eqNullSafe(i["strike"])))))
     m = m.withColumns({
         "targets": F.when(c("side") == "long", F.array_sort("__t")).otherwise(F.reverse(F.array_sort("__t"))),
         "stop": F.nullif("__s", F.lit(0.0)), "stop_zero": F.coalesce(c("__s") == 0, F.lit(False)),
         "levels": (F.size("__t") > 0) | F.coalesce(c("__s") != 0, F.lit(False)),
     })
-    return settle(m.drop("rest", "front", "head", "soft", "__at", "__lists", "__stop", "__to", "__said", "__s", "__t"))
+    return settle(m.drop("rest", "front", "head", "soft", "__at", "__lists", "__stop", "__said", "__s", "__t"))
 
 
 def _is_call() -> Column:
@@ -296,7 +299,7 @@ def follow_ups(messages: DataFrame, dictionary: DataFrame | None = None) -> Data
         m = settle(m.withColumn("__text", text))
         text = c("__text")
     t = m.select(*KEY, "d", c("__text").alias("norm"))
-    t = with_instrument(settle(t.withColumns({"options": I.spots(c("norm"), P.OPTION, 2), "actions": I.spots(c("norm"), P.ACTION)})), dictionary, KEY)
+    t = with_instrument(settle(t.withColumns({"options": I.spots(c("norm"), P.OPTION, 2), "actions": I.spots(c("norm"), P.led(P.ACTION))})), dictionary, KEY)
     return m.join(t.select(*KEY, "named"), KEY).select(*KEY, *told, "named.symbol", "named.strike", "named.opt_type")
 
 

@@ -86,3 +86,33 @@ def test_distances_of_a_batch():
     began = time.process_time()
     osa_distance.func(pd.Series(["SUPPLIER000012345"] * 100_000), pd.Series(["SUPPLIER000013254"] * 100_000))
     assert time.process_time() - began < 6
+
+
+def test_a_name_is_a_candidate_once(spark):
+    from pyspark.sql import functions as F
+
+    from tapewright.functions import patterns as P
+    from tapewright.operators import instruments as I
+
+    t = spark.createDataFrame([("BUY NOW RELIANCES LTD TGT 15",), ("TODAY BUY SBIN CMP",), ("NIFTY 24500 CE BUY",), ("GOOD MORNING",)], "norm string")
+    t = t.withColumns({"options": I.spots(F.col("norm"), P.OPTION, 2), "actions": I.spots(F.col("norm"), P.led(P.ACTION))})
+    rows = I.with_marks(t).select("norm", F.explode(I.candidates()).alias("x")).select("norm", "x.*").collect()
+    # the words BUY, NOW and RELIANCES lead to one name: it was asked for from each of them
+    scanned = [(r.norm, r.key, r.n) for r in rows if r.how == "scan"]
+    assert len(scanned) == len(set(scanned)) and ("BUY NOW RELIANCES LTD TGT 15", "RELIANCES", 1) in scanned
+    # it counts where the first of them stands
+    assert [r.rest_at for r in rows if r.how == "scan" and r.key == "RELIANCES"] == [len("BUY") + 1]
+    assert {r.key for r in rows if r.mode == "near"} == {"RELIANCES", "RELIANCESLTD", "RELIANCESLTDTGT"}  # SBIN is too short for a slip
+    option = [r for r in rows if r.how == "option" and r.key == "NIFTY"]
+    assert [(r.mode, r.at) for r in option] == [("exact", 0), ("underlying", 0), ("exact", 0)] and "phrase" not in rows[0].asDict()
+
+
+def test_equities_have_no_hint(spark):
+    from pyspark.sql import functions as F
+
+    from tapewright.operators import messages as M
+
+    rows = [("equity", "BUY SBIN 25 SEP", 1.0), ("option", "NIFTY 25 SEP 24000 PE", 24000.0), ("future", "NIFTY FUT SEP EXPIRY", None)]
+    t = spark.createDataFrame(rows, "kind string, norm string, strike double").withColumn("named", F.struct(F.col("norm").alias("phrase"), "strike"))
+    got = {r.kind: (r.hint_day, r.hint_month) for r in M._hint(t).collect()}
+    assert got == {"equity": (None, None), "option": (25, 9), "future": (None, 9)}
