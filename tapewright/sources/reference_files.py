@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import written
+
 c = F.col
+#: Parts into which recommendations are dealt, however few bytes they are on the way: keys take several times as much when they are grouped.
+DEALT = 200
 #: Cells of a line that are read.
 WIDEST = 40
 # ---- fixed values: how the register's columns are called, and what its numbers begin with
@@ -53,19 +57,29 @@ def annexure(documents: DataFrame, names: dict[str, tuple[str, ...]] | None = No
 
 
 def coverage(rows: DataFrame, by: str) -> DataFrame:
-    """How much of a case the prices cover: for each value of ``by``, and over all (``by`` null, whole true), in one pass of grouping sets.
+    """How much of a case the prices cover: for each value of ``by``, and over all (``by`` null, whole true).
 
-    rows: scrip, reco_date, reco_time, symbol (null where the prices have none), measured.
+    rows: scrip, reco_date, reco_time, symbol (null where the prices have none), measured. Distinct values are keys of
+    plain groupings, one after the other: distinct counts beside each other would hold every row once for each of them.
     """
-    reco = F.struct("scrip", "reco_date", "reco_time")
-    inside = c("symbol").isNotNull()
-    return rows.groupingSets([[c(by)], []], c(by)).agg(
-        (F.grouping(by) == 1).alias("whole"),
-        F.count("*").alias("rows"),
-        F.count_distinct(reco).alias("recommendations"),
-        F.count_distinct("scrip").alias("scrips"),
-        F.count_distinct(F.when(inside, c("scrip"))).alias("scrips_in_data"),
-        F.count_distinct(F.when(c("measured"), reco)).alias("measured"),
-        F.count_distinct(F.when(~c("measured"), reco)).alias("not_measured"),
-        F.count_distinct(F.when(c("measured"), c("symbol"))).alias("stocks_measured"),
-    )
+    reco, inside = ["scrip", "reco_date", "reco_time"], c("symbol").isNotNull()
+    rows = written(rows.select(by, *reco, "symbol", "measured"), "coverage")
+    dealt = rows.repartition(DEALT, *reco)
+    yes = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+
+    def counts(of: list) -> DataFrame:
+        one = dealt.groupBy(*of, *reco).agg(F.count("*").alias("rows"), yes(inside).alias("inside"), yes(c("measured")).alias("m"), yes(~c("measured")).alias("u"))
+        scrip = one.groupBy(*of, "scrip").agg(F.sum("rows").alias("rows"), F.count("*").alias("n"), F.bool_or("inside").alias("inside"), F.count_if("m").alias("m"), F.count_if("u").alias("u"))
+        return scrip.groupBy(*of).agg(
+            F.sum("rows").alias("rows"), F.sum("n").alias("recommendations"), F.count("scrip").alias("scrips"), F.count_if(c("inside") & c("scrip").isNotNull()).alias("scrips_in_data"),
+            F.sum("m").alias("measured"), F.sum("u").alias("not_measured"),
+        )
+
+    null = F.lit(None).cast(rows.schema[by].dataType).alias(by)
+    all_ = counts([]).where("rows IS NOT NULL")  # of no rows there is nothing to say
+    out = counts([by]).withColumn("whole", F.lit(False)).unionByName(all_.select(null, F.lit(True).alias("whole"), *all_.columns))
+    traded = rows.where(c("measured") & inside).groupBy(by, "symbol").agg(F.lit(1).alias("one"))
+    of, whole = traded.groupBy(by).agg(F.count("*").alias("n")), traded.select("symbol").distinct().agg(F.count("*").alias("n"))
+    stocks = of.select(c(by).alias("__by"), F.lit(False).alias("__whole"), c("n").alias("stocks_measured")).unionByName(whole.select(null.alias("__by"), F.lit(True).alias("__whole"), c("n").alias("stocks_measured")))
+    out = out.join(stocks, c(by).eqNullSafe(c("__by")) & (c("whole") == c("__whole")), "left")
+    return out.select(by, "whole", "rows", "recommendations", "scrips", "scrips_in_data", "measured", "not_measured", F.coalesce("stocks_measured", F.lit(0)).alias("stocks_measured"))

@@ -116,3 +116,24 @@ def test_equities_have_no_hint(spark):
     t = spark.createDataFrame(rows, "kind string, norm string, strike double").withColumn("named", F.struct(F.col("norm").alias("phrase"), "strike"))
     got = {r.kind: (r.hint_day, r.hint_month) for r in M._hint(t).collect()}
     assert got == {"equity": (None, None), "option": (25, 9), "future": (None, 9)}
+
+
+def test_coverage_holds_a_row_once(spark):
+    import random
+
+    from tapewright.sources import reference_files
+
+    r = random.Random(3)
+    pick = lambda *x: r.choice(x)
+    rows = [(pick("a", "b", None), pick("A", "B", "C", None), pick("d1", "d2"), pick("t", None), pick("S1", "S2", None), pick(True, False, None)) for _ in range(60)]
+    rows += [("z", "Z", "d1", "t", None, False)]
+    got = reference_files.coverage(spark.createDataFrame(rows, "board string, scrip string, reco_date string, reco_time string, symbol string, measured boolean"), "board")
+    count = lambda xs: len({x for x in xs if x is not None})
+
+    def plain(board, whole):
+        of = [x for x in rows if whole or x[0] == board]
+        return (board, whole, len(of), count(x[1:4] for x in of), count(x[1] for x in of), count(x[1] for x in of if x[4]), count(x[1:4] for x in of if x[5]), count(x[1:4] for x in of if x[5] is False), count(x[4] for x in of if x[5]))
+
+    assert set(map(tuple, got.collect())) == {plain(b, False) for b in ("a", "b", "z", None)} | {plain(None, True)}
+    # distinct counts beside each other hold each row once for each of them, marked gid
+    assert "gid" not in got._jdf.queryExecution().optimizedPlan().toString()
