@@ -41,6 +41,18 @@ PROMO = (
     ("paywalled-levels", r"\b(?:SL|S\.L|STOP\s*LOSS|STOPLOSS|TARGETS?|TGT)\s*[:\-]*\s*(?:IS\s+|IN\s+)?(?:PAID|PREMIUM|VIP|CLICK\s+HERE)\b|\b(?:TARGET|STOP\s*LOSS|STOPLOSS)[^\n]{0,40}\bEXCLUSIVELY\s+FOR\b"),
     ("account-handling", r"\bACCOUNT\s+(?:HANDLING|MANAGEMENT|HANDLE)|\bHANDL(?:E|ING)\s+YOUR\s+ACCOUNT|\bPROFIT\s+SHARING\b|\bPMS\s+SERVICE|\bWE\s+(?:WILL\s+)?TRADE\s+(?:IN|ON)\s+YOUR"),
 )
+# every match of a kind holds one of these: texts without them need no search
+PROMO_WORDS = {
+    "paid-group": ("PREMIUM", "VIP", "PAID", "SUBSCRIPTION", "MEMBERSHIP", "PAY", "LIFETIME"),
+    "payment": ("@YBL", "@OK", "@IBL", "@AXL", "@APL", "@FBL", "@KOTAK", "@SBI", "@ICICI", "@HDFCBANK", "@AXISBANK", "UPI", "PHONEPE", "GPAY", "GOOGLE", "PAYTM", "RAZORPAY", "RZP.IO", "ONETAPAY", "COSMOFEED", "SUPERPROFILE", "GRAPHY", "TOPMATE", "A/C", "IFSC", "SCAN"),
+    "contact": ("DM", "INBOX", "PING", "MSG", "MESSAGE", "WHATSAPP", "WA.ME", "CONTACT", "CALL"),
+    "join-link": ("T.ME/", "TELEGRAM.ME/", "CHAT.WHATSAPP", "JOIN"),
+    "guarantee": ("SURE", "100", "GUARANTEE", "JACKPOT", "LOSS", "RISK", "DOUBLE", "FIXED", "DAILY", "MULTIBAGGER", "ROCKET", "RETURN"),
+    "profit-brag": ("PROFIT", "GAIN", "EARN", "MADE"),
+    "urgency": ("LIMITED", "LAST", "HURRY", "OFFER", "ONLY", "MISS", "FAST"),
+    "paywalled-levels": ("PAID", "PREMIUM", "VIP", "CLICK", "EXCLUSIVELY"),
+    "account-handling": ("ACCOUNT", "SHARING", "PMS", "TRADE"),
+}
 SELLING = ("paid-group", "payment", "contact", "join-link", "urgency", "account-handling", "paywalled-levels")
 # ---- fixed values: result posts
 RESULT = r"\b(?:TARGETS?|TGT|TG)\s*(?:[123]|1ST|2ND|3RD|FIRST|SECOND|THIRD|FINAL|ALL|BOTH)?\s*(?:FULL\s+|ALMOST\s+)?(?:HITS?|DONE|ACHIEVED|ACHIVED|COMPLETED?|GIVEN|REACHED)\b|\b(?:HITS?|ACHIEVED|ACHIVED|OVERACHIEVED|OVERACHIVED)\b|\bBOOK(?:ED|ING)?\s+(?:FULL\s+|PARTIAL\s+|PART\s+|YOUR\s+|SOME\s+|HALF\s+)?PROFITS?\b|\bPROFITS?\s+BOOK(?:ED)?\b|\bBOOKED\b|\bHIGH\s+MADE\b|\bMADE\s+(?:A\s+|NEW\s+)?(?:LIFETIME\s+)?(?:HIGH|LOW)\b|\b\d+\s*(?:POINTS?|PTS)\s*(?:PROFIT|GAIN|UP|DONE|MOVE)|\bDOUBLED?\b|\bREACHED\s+ALL\b|\bTODAY\s+\d+(?:\.\d+)?\s*%\s*\+?\s*UP\b|\bPROFITS?\b"

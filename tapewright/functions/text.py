@@ -84,9 +84,41 @@ def html_to_text(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+# fixed values: trade words, then numbers in brackets, broker shorthand, refusals, currency, thousands, amounts, list marks, charset.
+# The charset names what it takes out: Java tries the ranges of a negated class one by one, at many times the cost
+_REWRITES = (
+    *P.HINGLISH,
+    (r"\(\s*(\d+(?:\.\d+)?)\s*\)", " $1 "),
+    (r"\bNSECALL\s+([A-Z&-]+)\s+(\S+)\s+(\d+(?:\.\d+)?)", "$1 $2 $3 CE"),
+    (r"\bNSEPUT\s+([A-Z&-]+)\s+(\S+)\s+(\d+(?:\.\d+)?)", "$1 $2 $3 PE"),
+    (r"\b(?:DON'?T|DO\s+NOT|NOT\s+A)\s+BUY\b", " "),
+    (r"\bRS\.?(?=\s*\d)|\bINR\b", " "),
+    (r"₹", " "),
+    (r"/-", " "),
+    (r"\b(\d{1,2}),(\d{2}),(\d{3})\b", "$1$2$3"),
+    (r"\b(\d{1,2}),(\d{3})\b(?!,\d)", "$1$2"),
+    (r"(?<![\d.])\d+(?:\.\d+)?\s*(?:K|LAKHS?|LACS?|CR|CRORES?|X+)\b", " "),
+    (r"(?<![\d.])[1-4]\)", " "),
+    (r"[\x00-\x09\x0B-\x1F!\"*;<?\[-\x{10FFFF}]", " "),
+    (r"[ \t]+", " "),
+)
+
+
+def _changes() -> str:
+    """A pattern found in every text that a rewrite changes; where it is not found, each of them leaves the text as it was.
+
+    One blank for one is no change. What may not stand before a number is left out, which finds more.
+    """
+    asked = [p for p, _ in _REWRITES[:-1]]
+    words = [p for p in asked if P.led(p) != p]
+    others = [p.removeprefix(r"(?<![\d.])") for p in asked if p not in words]  # none of them begins with a letter
+    return P.led("|".join(words)) + r"|(?![A-Z])(?:" + "|".join([*others, r"[ \t]{2,}|\t"]) + ")"
+
+
 def normalise(c: Column) -> Column:
     """Upper-cased text with Hindi and Hinglish trade words in English, and numbers that are no prices taken out. Order matters."""
-    c = F.translate(nfkc(c), P.DEVANAGARI_DIGITS, "0123456789")
+    raw = nfkc(c)
+    c = F.translate(raw, P.DEVANAGARI_DIGITS, "0123456789")
     hindi = c
     for pattern, to in P.HINDI:
         hindi = F.regexp_replace(hindi, pattern, to)
@@ -94,25 +126,16 @@ def normalise(c: Column) -> Column:
     c = F.upper(F.when(c.rlike(r"[\x{900}-\x{97F}]"), hindi).otherwise(c))
     # letters of other scripts are blanks in the end; until then they are no part of words, for which Java's boundaries take them
     c = F.regexp_replace(c, r"[^\x00-\x7F₹]", "\x01")
-    for pattern, to in P.HINGLISH:
-        c = F.regexp_replace(c, pattern, to)
-    # fixed values: numbers in brackets, broker shorthand, refusals, currency, thousands, amounts, list marks, charset
-    for pattern, to in (
-        (r"\(\s*(\d+(?:\.\d+)?)\s*\)", " $1 "),
-        (r"\bNSECALL\s+([A-Z&-]+)\s+(\S+)\s+(\d+(?:\.\d+)?)", "$1 $2 $3 CE"),
-        (r"\bNSEPUT\s+([A-Z&-]+)\s+(\S+)\s+(\d+(?:\.\d+)?)", "$1 $2 $3 PE"),
-        (r"\b(?:DON'?T|DO\s+NOT|NOT\s+A)\s+BUY\b", " "),
-        (r"₹|\bRS\.?(?=\s*\d)|\bINR\b", " "),
-        (r"/-", " "),
-        (r"\b(\d{1,2}),(\d{2}),(\d{3})\b", "$1$2$3"),
-        (r"\b(\d{1,2}),(\d{3})\b(?!,\d)", "$1$2"),
-        (r"(?<![\d.])\d+(?:\.\d+)?\s*(?:K|LAKHS?|LACS?|CR|CRORES?|X+)\b", " "),
-        (r"(?<![\d.])[1-4]\)", " "),
-        (r"[^A-Z0-9\n .,/\-+@%&:=>#$'()]", " "),
-        (r"[ \t]+", " "),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    # as many bytes as characters: ASCII, which has nothing of this
+    c = F.when(F.octet_length(raw) == F.length(raw), F.upper(raw)).otherwise(c)
+
+    def rewritten(x: Column) -> Column:
+        for pattern, to in _REWRITES:
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    # a lambda's variable is worked out once, however often it is named
+    return F.get(F.transform(F.array(c), lambda x: F.when(x.rlike(_changes()), rewritten(x)).otherwise(x)), F.lit(0))
 
 
 def scrub(c: Column, names: list[str]) -> Column:

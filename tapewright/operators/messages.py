@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,14 +34,17 @@ def with_norm(messages: DataFrame) -> DataFrame:
 
 def cues(messages: DataFrame) -> DataFrame:
     """Rows (channel_id, msg_id, kind, match): the first match of each kind in each message."""
-    m = messages.where(F.trim("text") != "").withColumn("both", F.concat(normalise(c("text")), F.lit("\n"), F.upper("text")))
+    m = messages.where(F.trim("text") != "").select("channel_id", "msg_id", normalise(c("text")).alias("norm"), F.upper("text").alias("upper"))
     # worked out once a row, or each pattern would normalise the text again
-    m = settle(m.select("channel_id", "msg_id", "both"))
+    m = settle(m).withColumn("both", F.concat("norm", F.lit("\n"), "upper"))
+    # words are sought once where both parts are the same; none of them holds a line break
+    m = settle(m.select("channel_id", "msg_id", "both", F.when(c("norm") == c("upper"), c("norm")).otherwise(c("both")).alias("sought"), (F.octet_length("both") == F.length("both")).alias("ascii")))
     # Java's own word boundaries are right in ASCII, and much cheaper than those spelt out
-    m = settle(m.withColumn("ascii", ~c("both").rlike(r"[^\x00-\x7F]")))
-    first = lambda pattern: F.when(c("ascii"), found(c("both"), P.led(pattern))).otherwise(found(c("both"), P.bounded(P.led(pattern))))
-    m = settle(m.select("channel_id", "msg_id", F.array(*[F.struct(F.lit(kind).alias("kind"), first(pattern).alias("match")) for kind, pattern in P.PROMO]).alias("all")))
-    return m.select("channel_id", "msg_id", F.explode(F.filter("all", lambda x: x.match.isNotNull())).alias("x")).select("channel_id", "msg_id", "x.kind", F.left(F.trim("x.match"), F.lit(60)).alias("match"))
+    match = lambda pattern: F.regexp_extract("both", pattern, 0)
+    holds = lambda kind: reduce(or_, [c("sought").contains(x) for x in P.PROMO_WORDS[kind]])
+    first = lambda kind, pattern: F.when(holds(kind), F.when(c("ascii"), match(P.led(pattern))).otherwise(match(P.bounded(P.led(pattern))))).otherwise("")
+    m = settle(m.select("channel_id", "msg_id", F.array(*[F.struct(F.lit(kind).alias("kind"), first(kind, pattern).alias("match")) for kind, pattern in P.PROMO]).alias("all")))
+    return m.select("channel_id", "msg_id", F.explode(F.filter("all", lambda x: x.match != "")).alias("x")).select("channel_id", "msg_id", "x.kind", F.left(F.trim("x.match"), F.lit(60)).alias("match"))
 
 
 def promo_kinds(messages: DataFrame) -> DataFrame:

@@ -33,8 +33,12 @@ def query(sql: str | None = None):
 
 
 def _signups(spark: SparkSession, d: str) -> DataFrame:
-    """Signups dealt to all cores: the table is one small file, and reading texts is much work a row."""
-    return V.table(spark, d, "events").where("event_type = 'signup'").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    """Signups dealt to all cores: the table is one small file, and reading texts is much work a row.
+
+    A cluster's session knows of two cores until its executors have come, hence the shuffle's partitions as well.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return V.table(spark, d, "events").where("event_type = 'signup'").repartition(parts, "event_id")
 
 
 def tips(spark: SparkSession, d: str) -> DataFrame:

@@ -137,3 +137,78 @@ def test_coverage_holds_a_row_once(spark):
     assert set(map(tuple, got.collect())) == {plain(b, False) for b in ("a", "b", "z", None)} | {plain(None, True)}
     # distinct counts beside each other hold each row once for each of them, marked gid
     assert "gid" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_dealt_out_before_executors_have_come(spark):
+    from tapewright.plans import text_queries as Q
+
+    # a new cluster session reports two cores: the deal may not rest on them alone
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert Q._signups(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def _texts(n: int, asked: list[str] | None = None) -> list[str]:
+    """Random texts of what the patterns ask for, and of what breaks words apart."""
+    import random
+    import re
+
+    from tapewright.functions import patterns as P
+    from tapewright.functions import text as T
+
+    r = random.Random(11)
+    often = 5 if asked else 1
+    asked = asked or [p for _, p in P.PROMO] + [p for p, _ in T._REWRITES]
+    words = sorted({w for p in asked for w in re.findall(r"[A-Z][A-Z.@/]*[A-Z]|[A-Z]", re.sub(r"\\[bsdSW]", " ", p.replace("\\/", "/").replace("\\.", ".")))}) * often
+    words += ["T.ME/+", "T.ME/JOINCHAT", "TELEGRAM.ME/", "CHAT.WHATSAPP.COM/", "A/C NO", "1X RETURN", "12", "1,234", "1,23,456", "2)", "(15.5)", "100", "5K", "3 LAKH", "95 %", "RS.", "RS₹", "₹", "/-", "DON'T BUY", "LE LO", "BUY KARO", "KE UPAR", "NSECALL SBIN JAN 24.5", "A@YBL", "ABC.D@UPI", "टारगेट", "बाय", "२४", "é", "\x01", "!", "_", "ß", "ﬁ", "７"]
+    return ["".join(r.choice(words) + r.choice(["", " ", " ", "\n", "  ", "\t", ",", ".", "-", ":"]) for _ in range(r.randint(1, 9))) for _ in range(n)]
+
+
+def test_rewrites_are_left_out_only_where_they_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tapewright.functions import text as T
+
+    rows = [(x,) for x in [*_texts(6000), "BUY SBIN @ 12.5 TGT 15", "", None]]
+    t = spark.createDataFrame(rows, "text string").repartition(4).withColumn("norm", T.normalise(F.col("text")))
+    plain = F.col("x")
+    for pattern, to in T._REWRITES:
+        plain = F.regexp_replace(plain, pattern, to)
+    # what the rewrites are given: a text of ASCII that is upper-cased
+    ascii_only = t.where(F.octet_length("text") == F.length("text")).withColumn("x", F.upper("text"))
+    assert ascii_only.count() > 1500 and ascii_only.where(~F.col("norm").eqNullSafe(plain)).count() == 0
+    # the guard finds some texts unchanged and others not
+    guard = ascii_only.groupBy(F.col("x").rlike(T._changes()).alias("found")).agg(F.count("*").alias("n"), F.count_if(F.col("x") != F.col("norm")).alias("changed")).collect()
+    assert {g.found: g.changed > 0 for g in guard} == {True: True, False: False}
+    # the charset: all that is not on the list, of every plane
+    allowed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\n .,/-+@%&:=>#$'()"
+    every = spark.createDataFrame([(chr(i),) for i in [*range(0xD800), *range(0xE000, 0x11000)]], "x string").repartition(4)
+    assert {r.x for r in every.where(~F.col("x").rlike(T._REWRITES[-2][0])).collect()} == set(allowed)
+
+
+def test_every_cue_holds_one_of_its_words(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tapewright.functions import patterns as P
+    from tapewright.operators import messages as M
+
+    texts = []
+    for kind, pattern in P.PROMO:
+        own = _texts(8000, [pattern])
+        hits = [x for x in own if re.search(pattern, x)]
+        assert len(hits) > 30 and all(any(w in x for w in P.PROMO_WORDS[kind]) for x in hits), kind
+        texts += own[:600]
+    # the operator against the patterns themselves
+    rows = [(1, i, x) for i, x in enumerate(texts) if x.isascii()]
+    m = spark.createDataFrame(rows, "channel_id int, msg_id int, text string")
+    from tapewright.functions.text import normalise
+
+    both = {r.msg_id: r.norm + "\n" + r.up for r in m.select("msg_id", normalise(F.col("text")).alias("norm"), F.upper("text").alias("up")).collect()}
+    want = {(i, kind, hit[0].strip(" ")[:60]) for i, x in both.items() if x.split("\n", 1)[1].strip(" ") for kind, pattern in P.PROMO if (hit := re.search(pattern, x, re.ASCII))}
+    got = {(r.msg_id, r.kind, r.match) for r in M.cues(m).collect()}
+    assert got == want and len(got) > 500
