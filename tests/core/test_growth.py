@@ -212,3 +212,18 @@ def test_every_cue_holds_one_of_its_words(spark):
     want = {(i, kind, hit[0].strip(" ")[:60]) for i, x in both.items() if x.split("\n", 1)[1].strip(" ") for kind, pattern in P.PROMO if (hit := re.search(pattern, x, re.ASCII))}
     got = {(r.msg_id, r.kind, r.match) for r in M.cues(m).collect()}
     assert got == want and len(got) > 500
+
+
+def test_a_complaint_replays_once(spark, monkeypatch):
+    from tapewright.operators import detect, ledger, replay
+    from tapewright.plans import bindings as V
+    from tapewright.plans import market_queries as Q
+
+    d, asked = "/root/testdata/sf0.001", []
+    plain = replay.replay
+    monkeypatch.setattr(replay, "replay", lambda *a: (asked.append(a), plain(*a))[1])
+    got = Q.snk_complaint(spark, d).collect()
+    assert len(asked) == 1 and len(got) > 0
+    f = detect.follow_through(V.calls(spark, d), Q.outcomes(spark, d, ("likely",)), Q.linked(spark, d).where("call_id IS NOT NULL"))
+    want = report.complaint(ledger.account(ledger.lines(Q.queued(spark, d, None, ("likely",)))), f).collect()
+    assert sorted(got) == sorted(want)
