@@ -67,7 +67,8 @@ count(DISTINCT (scrip, reco_date, reco_time)) FILTER (NOT measured) AS not_measu
 )
 def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
     """src_case too: orders as annexures in JSON, one a day, every second row under other names; what of them the prices cover, by board and in all."""
-    o = V.table(spark, d, "orders").join(V.table(spark, d, "customer").select(c("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    # names grow with the customers: both joins are merges, as a broadcast would hold all of them in the driver
+    o = V.table(spark, d, "orders").join(V.table(spark, d, "customer").select(c("c_custkey").alias("o_custkey"), "c_name").hint("merge"), "o_custkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     plain = F.to_json(F.struct((c("o_orderkey") % 37).alias("page"), c("c_name").alias("scrip"), day.alias("recoDate"), c("o_orderpriority").alias("recoTime"), day.alias("effDateT")))
     other = F.to_json(F.struct(F.lit(None).cast("int").alias("page"), c("c_name").alias("Scrip Name"), day.alias("reco_date"), c("o_orderpriority").alias("reco_time"), F.array("o_totalprice").alias("amounts")))
@@ -75,7 +76,7 @@ def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
     # a day's orders are a document; a few of them a task, however few bytes they are before they are text
     documents = o.repartition(400, day).groupBy(day.alias("document")).agg(F.concat(F.lit('{"pdf": "x", "rows": ['), F.array_join(F.collect_list(text), ","), F.lit("]}")).alias("value"))
     symbols = V.table(spark, d, "customer").select(c("c_name").alias("scrip"), F.when(c("c_custkey") % 3 != 0, F.concat(F.lit("S"), c("c_custkey").cast("string"))).alias("symbol"), F.when(c("c_custkey") % 5 == 0, "sme").otherwise("main").alias("board"))
-    rows = R.annexure(documents).join(symbols, "scrip")
+    rows = R.annexure(documents).join(symbols.hint("merge"), "scrip")
     return R.coverage(rows.withColumn("measured", c("symbol").isNotNull() & (c("reco_date") >= "1996-01-01")), "board")
 
 

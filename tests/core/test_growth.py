@@ -227,3 +227,11 @@ def test_a_complaint_replays_once(spark, monkeypatch):
     f = detect.follow_through(V.calls(spark, d), Q.outcomes(spark, d, ("likely",)), Q.linked(spark, d).where("call_id IS NOT NULL"))
     want = report.complaint(ledger.account(ledger.lines(Q.queued(spark, d, None, ("likely",)))), f).collect()
     assert sorted(got) == sorted(want)
+
+
+def test_names_of_a_case_are_not_broadcast(spark, monkeypatch):
+    from tapewright.plans import evidence_queries as Q
+
+    monkeypatch.setattr(Q.R, "coverage", lambda rows, by: rows)
+    rows = plan(Q.agg_coverage(spark, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin" not in rows and rows.count("SortMergeJoin") >= 2
