@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import patterns as P
 from ..functions.plan import settle, written
-from ..functions.text import osa_distance, squash
+from ..functions.text import squash
 
 c = F.col
 UNNAMED = "?"
@@ -23,6 +23,8 @@ UNNAMED = "?"
 RANK = {"ticker": 0, "alias": 1, "name": 2}
 #: Names of fewer letters are not sought with slips: in a dictionary, and among underlyings.
 LONG, SHORT = 8, 5
+#: Tasks that names are dealt to before letters are deleted, at most: a name is a few bytes, what is left of it many rows.
+DEALT = 48
 DICTIONARY = "key string, symbol string, kind string, via string, rank int, first_d int, last_d int, seq int, long boolean, in_fo boolean"
 
 
@@ -76,29 +78,56 @@ def completed(names: DataFrame) -> DataFrame:
 
 
 # ---- misspelt names
+_OF_WORD, _OF_TARGET = [("__r", *(f"__{side}_{k}" for k in ("n", "first", "second", "a", "b"))) for side in ("word", "target")]
 
 
-def _without_one(x: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+def _remains(df: DataFrame, word: str, two: Column, to: tuple[str, ...]) -> DataFrame:
+    """A row for every way to delete one letter of a word or none, and two where ``two`` holds: adds, under the names ``to``, what is
+    left, how many are deleted, their places from 0 (the word's length stands for none), and their letters."""
+    rest, n, first, second, a, b = to
+    x, size = c(word), F.length(word)
+    places = F.transform(F.sequence(F.lit(0), size), lambda i: F.struct(i.alias("i"), F.when(two & (i < size), F.sequence(i + 1, size)).otherwise(F.array(size)).alias("js")))
+    out = df.select("*", F.explode(places).alias("__p")).select("*", c("__p.i").alias(first), F.explode("__p.js").alias(second)).drop("__p")
+    i, j = c(first), c(second)
+    left = F.concat(F.left(x, i), F.substring(x, i + 2, j - i - 1), F.substring(x, j + 2, size))
+    letter = lambda at: F.ascii(F.substring(x, at + 1, F.lit(1)))  # noqa: E731  its code point
+    return out.withColumns({rest: left, n: (i < size).cast("int") + (j < size).cast("int"), a: letter(i), b: letter(j)})
 
 
-def remains(x: Column, two: Column) -> Column:
-    """The word, and what is left when one letter is deleted; where ``two`` holds, or two. Words within so many edits share one of them."""
-    one = _without_one(x)
-    return F.array_distinct(F.concat(F.array(x), one, F.when(two, F.flatten(F.transform(one, _without_one))).otherwise(F.array().cast("array<string>"))))
+def _near_enough() -> Column:
+    """Whether a word and a target that leave the same are ``most`` edits apart by these deletions.
+
+    A deletion on one side alone is an edit. One on either side are one edit together if they stand for one another: at one place, a
+    letter for another; or as a swap, with the word's first letter of two deleted and the target's second, which are the same.
+    Edits do not overlap: nothing deleted stands between the two letters of a swap.
+    """
+    n, i1, i2, a1, a2 = map(c, _OF_WORD[1:])
+    m, j1, j2, b1, b2 = map(c, _OF_TARGET[1:])
+    yes = F.lit(True)
+    pair = lambda i, j, a, b, free: (i == j) | ((i + 1 == j) & (a == b) & free)  # noqa: E731  places among what is left
+    other = lambda i, j, a, b: (i != j) | (a != b)  # noqa: E731  a letter for itself is no edit: such words meet with fewer deletions
+    word_free, target_free = i2 != i1 + 1, j1 != j2 - 1
+    one_two = pair(i1, j1, a1, b1, yes) | pair(i1, j2 - 1, a1, b2, target_free)
+    two_one = pair(i1, j1, a1, b1, word_free) | pair(i2 - 1, j1, a2, b1, yes)
+    two_two = pair(i1, j1, a1, b1, word_free) & other(i1, j1, a1, b1) & pair(i2, j2, a2, b2, target_free) & other(i2, j2, a2, b2)
+    many = F.when((n == 2) & (m == 2), two_two).when(n == 1, one_two).otherwise(two_one)
+    return F.when(n + m <= c("most"), True).when((n == 1) & (m == 1), pair(i1, j1, a1, b1, yes)).when(c("most") < 2, False).otherwise(many)
 
 
 def within_edits(asked: DataFrame, targets: DataFrame) -> DataFrame:
     """Pairs (word, target) of ``asked(word, most)`` and ``targets(target)`` at most ``most`` (1 or 2) edits apart, a swap being one.
 
-    An equi join on remains, verified by the distance; never all against all.
+    An equi join on what is left when letters are deleted, which the places and letters of the deletions verify; never all against all.
+    Few bytes of names leave many rows: they are dealt over the shuffle's partitions, as sizes would leave them in one task, and never broadcast.
     """
-    # a word of one edit shares a remain of one deletion: those of two are for words of two
-    a = asked.select("word", "most", F.explode(remains(c("word"), c("most") > 1)).alias("__r"))
-    rests = lambda two: F.explode(remains(c("target"), F.lit(two))).alias("__r")
-    b = targets.select("target", F.lit(1).alias("__m"), rests(False)).unionByName(targets.select("target", F.lit(2).alias("__m"), rests(True)))
-    met = a.withColumn("__m", F.when(c("most") > 1, 2).otherwise(1)).join(b, ["__r", "__m"]).where(F.abs(F.length("word") - F.length("target")) <= c("most")).select("word", "most", "target").distinct()
-    return met.where(osa_distance("word", "target") <= c("most")).select("word", "target")
+    spark = asked.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # by the name itself the deal would be left out behind a distinct; each task of it writes for all parts of the join
+    dealt = lambda df, of: df.repartition(min(parts, DEALT), F.hash(of))
+    a = _remains(dealt(asked.select("word", "most"), "word"), "word", c("most") > 1, _OF_WORD)
+    b = _remains(dealt(targets.select("target"), "target"), "target", F.lit(True), _OF_TARGET)
+    met = a.repartition(parts, "__r").join(b.repartition(parts, "__r").hint("merge"), "__r").where(_near_enough())
+    return met.select("word", "target").distinct()
 
 
 def near_names(asked: DataFrame, names: DataFrame) -> DataFrame:

@@ -235,3 +235,24 @@ def test_names_of_a_case_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(Q.R, "coverage", lambda rows, by: rows)
     rows = plan(Q.agg_coverage(spark, "/root/testdata/sf0.001"))
     assert "BroadcastHashJoin" not in rows and rows.count("SortMergeJoin") >= 2
+
+
+def test_slips_are_told_by_their_places(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tapewright.functions.text import osa_distance
+    from tapewright.operators import instruments as I
+
+    r = random.Random(7)
+    some = lambda: sorted({"".join(r.choices(abc, k=r.randint(0, 6))) for abc in ("AB", "ABC", "é\U0001f600\U0001f601") for _ in range(120)})
+    asked = spark.createDataFrame([(x, 1 + r.randrange(2)) for x in some()], "word string, most int")
+    targets = spark.createDataFrame([(x,) for x in some()], "target string")
+    got = I.within_edits(asked, targets)
+    want = asked.crossJoin(targets).where(osa_distance("word", "target") <= F.col("most")).select("word", "target")
+    steps = plan(got)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 2500
+    # no distance is worked out pair by pair in Python, what is left of names is not broadcast, and few bytes are dealt to many tasks
+    assert "ArrowEvalPython" not in steps and "BroadcastHashJoin" not in steps and steps.count("REPARTITION_BY_NUM") == 4
